@@ -14,6 +14,7 @@ from ..operators import mentions as mt
 from ..operators import pairs as pr
 from ..operators.interactions import TARGET, reference_id
 from ..operators.sentences import sentences
+from ..operators.sizing import spread
 
 WIDE = 1600
 SERIES_KEYS = ["user_id", "event_type"]
@@ -29,7 +30,7 @@ def pub_date(doc_id="doc_id"):
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: a line is a paragraph."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("article_id"),
         F.split("text", "\n").alias("paragraphs"),
