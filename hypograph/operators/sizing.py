@@ -56,3 +56,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows read back from a table in the shared scratch folder.
+
+    Cuts the lineage where several jobs follow on one result; the files outlive lost executors.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from ..operators import evaluation as ev
 from ..operators import facts as fc
 from ..operators import pairs as pr
 from ..operators import relevance as rl
+from ..operators.sizing import written
 from . import fixtures as fx
 from .fixtures import with_cte
 
@@ -212,14 +213,14 @@ def hypothesis_scores(spark, d):
 
 def relevance_model(spark, d):
     tagged = fc.tag_facts(*_tagging(spark, d)).filter(F.col("code").isin(1, 2))
-    data = rl.labelled(tagged).persist()
+    data = written(rl.labelled(tagged), "labelled")
     train, _ = rl.split_80_20(data)
     scored = rl.score(rl.fit_relevance(train), data)
     return scored.select("article_id", "code", "l", "r", "label", "prediction", F.round("p", 4).alias("p"))
 
 
 def hypotheses(spark, d):
-    tagged = fc.tag_facts(*_tagging(spark, d)).persist()
+    tagged = written(fc.tag_facts(*_tagging(spark, d)), "tagged")
     out = rl.ranked_hypotheses(tagged)
     return out.select("a", "b", "c", F.round("score", 4).alias("score"))
 

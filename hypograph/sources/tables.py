@@ -67,10 +67,13 @@ def read_kinase_synonyms(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_gene_protein(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of objects with optional ``Genes`` and ``Proteins`` maps -> (kind, key, synonym)."""
+def read_gene_protein(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Objects with optional ``Genes`` and ``Proteins`` maps -> (kind, key, synonym).
+
+    One JSON array per file, or with ``multi_line=False`` one object per line, which can be split.
+    """
     schema = "Genes map<string,array<string>>, Proteins map<string,array<string>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     kinds = F.array(
         F.struct(F.lit("gene").alias("kind"), F.col("Genes").alias("names")),
         F.struct(F.lit("protein").alias("kind"), F.col("Proteins").alias("names")),
@@ -88,6 +91,11 @@ def read_term_list(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", "array<string>")).alias("term"))
 
 
+def read_term_list_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON array of strings per line -> (term): the form a large list is written in."""
+    return spark.read.text(path).select(F.explode(F.from_json("value", "array<string>")).alias("term"))
+
+
 def read_gene_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """Canonical name and a quoted comma list -> (synonym, canonical), lower-cased."""
     raw = read_delimited(spark, path, 2, comment=None).filter(F.col("c1").isNotNull())
