@@ -14,22 +14,17 @@ COORDS = ["doc_pos", "para_pos", "sent_pos"]
 def tokens(sents: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Cleaned tokens with their position number inside the sentence."""
     return (
-        sents.select(id_col, "para_pos", "sent_pos", F.posexplode(F.split("text", " ")).alias("tok_pos", "raw"))
-        .withColumn("token", tx.clean_token(F.col("raw")))
+        sents.select(
+            id_col, "para_pos", "sent_pos", F.posexplode(tx.token_split(F.col("text"))).alias("tok_pos", "raw")
+        )
+        .withColumn("token", tx.trim_token(F.col("raw")))
         .filter(F.col("token") != "")
         .drop("raw")
     )
 
 
-def _words(sents: DataFrame, id_col: str) -> DataFrame:
-    return sents.select(
-        id_col,
-        "para_pos",
-        "sent_pos",
-        "offset",
-        "text",
-        F.posexplode(F.split("text", " ")).alias("i", "raw"),
-    )
+def _words(sents: DataFrame, id_col: str, split: Column) -> DataFrame:
+    return sents.select(id_col, "para_pos", "sent_pos", "offset", "text", F.posexplode(split).alias("i", "raw"))
 
 
 def single_word_mentions(
@@ -41,10 +36,10 @@ def single_word_mentions(
     is computed first, so that the shuffle carries numbers and not the sentence text.
     """
     terms, is_small = small_side(vocab.filter(~F.col("term").contains(" ")).select("cat", "term"))
-    token = tx.clean_token(F.col("raw"))
+    token = tx.trim_token(F.col("raw"))
     if strip_punct:
         token = tx.strip_punctuation(token)
-    words = _words(sents, id_col).withColumn("token", token).filter(F.col("token") != "")
+    words = _words(sents, id_col, tx.token_split(F.col("text"))).withColumn("token", token)
     position = (F.col("offset") + tx.token_offset(F.col("text"), F.col("i"))).alias("doc_pos")
     keep = [id_col, "para_pos", "sent_pos"]
     if is_small:
@@ -67,7 +62,7 @@ def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "artic
         .withColumn("lead", tx.lead_width(F.col("term")))
     )
     words = (
-        _words(sents, id_col)
+        _words(sents, id_col, F.split("text", " "))
         .withColumn("word_key", tx.lead_key(F.col("raw")))
         .filter(F.col("word_key") != "")
     )
@@ -122,7 +117,7 @@ def padded_mentions(
         .select("cat", "term")
         .withColumn("key", F.substring_index("term", " ", 1))
     )
-    spaced = sents.withColumn("text", F.translate("text", ".", " "))
+    spaced = sents.withColumn("text", tx.dots_to_blanks(F.col("text")))
     words = spaced.select(
         id_col,
         "para_pos",

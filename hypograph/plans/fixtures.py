@@ -14,7 +14,7 @@ from ..operators import mentions as mt
 from ..operators import pairs as pr
 from ..operators.interactions import TARGET, reference_id
 from ..operators.sentences import sentences
-from ..operators.sizing import spread
+from ..operators.sizing import spread, written
 
 WIDE = 1600
 SERIES_KEYS = ["user_id", "event_type"]
@@ -84,9 +84,16 @@ def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.shortest_pairs(pr.cooccurrences(found(spark, sf_dir)))
 
 
-def wide_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs within the wide window, distance zero included, different words only."""
-    return pr.cooccurrences(found(spark, sf_dir), threshold=WIDE, include_zero=True, distinct_words=True)
+def wide_pairs(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    """All pairs within the wide window, distance zero included, different words only.
+
+    ``shared`` stores the mentions first, for plans that use the pairs more than once: the text is then
+    read once, and only the far smaller mentions are read again.
+    """
+    hits = found(spark, sf_dir)
+    if shared:
+        hits = written(hits, "mentions")
+    return pr.cooccurrences(hits, threshold=WIDE, include_zero=True, distinct_words=True)
 
 
 def facts(spark: SparkSession, sf_dir: str, wide: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def fact_refs(spark, d):
 
 def _tagging(spark, d):
     """Close pairs and facts from one reading of the text."""
-    wide = fx.wide_pairs(spark, d)
+    wide = fx.wide_pairs(spark, d, shared=True)
     close = pr.shortest_pairs(wide.filter((F.col("doc_dist") > 0) & (F.col("doc_dist") < pr.PAIR_THRESHOLD)))
     return close, fx.facts(spark, d, wide)
 
@@ -107,7 +107,7 @@ _GUESS = ["pmid", "code", "l", "r", "l_pos", "r_pos", "doc_dist"]
 
 
 def _outcome_inputs(spark, d):
-    wide = fx.wide_pairs(spark, d)
+    wide = fx.wide_pairs(spark, d, shared=True)
     found = ev.guesses(fx.equivalence_guesses(wide))
     articles = fx.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"))
     relevant = ev.relevant_facts(fc.fact_refs(fx.facts(spark, d, wide)), articles)
@@ -145,7 +145,7 @@ def train_test(spark, d):
 
 
 def earliest_confirmation(spark, d):
-    wide = fx.wide_pairs(spark, d)
+    wide = fx.wide_pairs(spark, d, shared=True)
     found = ev.guesses(fx.equivalence_guesses(wide))
     refs = fc.fact_refs(fx.facts(spark, d, wide))
     dates = fx.pmid_dates(spark, d)

@@ -33,10 +33,7 @@ def corpus_files(spark: SparkSession, root: str, glob: str = ARTICLE_GLOB) -> Da
 def article_xml(spark: SparkSession, root: str, glob: str = ARTICLE_GLOB) -> DataFrame:
     """(path, xml) of every article file; Spark packs small files into read tasks."""
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
     )
 

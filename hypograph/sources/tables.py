@@ -87,7 +87,7 @@ def read_gene_protein(spark: SparkSession, path: str, multi_line: bool = True) -
 
 def read_term_list(spark: SparkSession, path: str) -> DataFrame:
     """A plain JSON array of strings -> (term)."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "array<string>")).alias("term"))
 
 
