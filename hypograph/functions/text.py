@@ -11,6 +11,7 @@ SENTENCE_END = r"([.!?]+\s+)"
 # U+2029 cannot occur in the text once it is ASCII only, so it marks boundaries safely.
 BREAK_MARK = "\u2029"
 BLANKS = " \t\n\r\f"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 # Mentions that are numbering, statistics or reference residue rather than names.
 NOISE = r"^\(\d+\)( \w+)?$|^\d+\.\d|^= .*$|^\w+ = \d$|^.*doi:.*$"
 
@@ -55,14 +56,19 @@ def token_offset(sentence: Column, index: Column) -> Column:
     return F.when(index == 0, F.lit(0)).otherwise(before + 1)
 
 
+def without_lead(text: Column) -> Column:
+    """A text without its leading punctuation."""
+    return F.ltrim(text, F.lit(PUNCTUATION))
+
+
 def lead_key(text: Column) -> Column:
     """First word of a text without leading punctuation: the candidate key of a multi-word term."""
-    return F.regexp_extract(text, r"^[^a-z0-9]*(\S+)", 1)
+    return F.substring_index(without_lead(text), " ", 1)
 
 
 def lead_width(text: Column) -> Column:
     """Number of punctuation characters in front of the first word."""
-    return F.length(F.regexp_extract(text, r"^([^a-z0-9]*)", 1))
+    return F.length(text) - F.length(without_lead(text))
 
 
 def is_noise(word: Column) -> Column:

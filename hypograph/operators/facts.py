@@ -32,19 +32,34 @@ def known_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return keyed.join(fact_keys(facts), ["l", "r"])
 
 
-def tag_facts(pairs: DataFrame, facts: DataFrame, codes=(1, 2)) -> DataFrame:
-    """Mark every pair of the given codes that is a curated fact; the others stay unmarked."""
+def tag_facts(pairs: DataFrame, facts: DataFrame, codes=(1, 2), with_refs: bool = False) -> DataFrame:
+    """Mark every pair of the given codes that is a curated fact; the others stay unmarked.
+
+    ``with_refs`` adds the reference list of the fact row that has the most references. It is one list
+    as read, never a growing union; all references of a fact are rows of ``fact_refs``.
+    """
     keys = fact_keys(facts)
+    if with_refs:
+        richest = facts.groupBy(F.lower("l").alias("l"), F.lower("r").alias("r")).agg(
+            F.count("*").alias("n_facts"), F.max(F.struct(F.size("refs").alias("n"), "refs")).alias("best")
+        )
+        keys = richest.select("l", "r", "n_facts", F.col("best.refs").alias("refs"))
     tagged = pairs.join(keys, ["l", "r"], "left")
-    return tagged.withColumn(
-        "fact", F.col("n_facts").isNotNull() & F.col("code").isin(list(codes))
-    ).drop("n_facts")
+    known = F.col("n_facts").isNotNull() & F.col("code").isin(list(codes))
+    out = tagged.withColumn("fact", known)
+    if with_refs:
+        out = out.withColumn("refs", F.when(known, F.col("refs")).otherwise(F.expr("cast(array() as array<string>)")))
+    return out.drop("n_facts")
+
 
+def pair_support(pairs: DataFrame, refs: DataFrame) -> DataFrame:
+    """Pairs that are facts, with the number of references and the first of them.
 
-def pair_refs(pairs: DataFrame, refs: DataFrame, id_col: str = "article_id") -> DataFrame:
-    """Reference ids that support a found pair, one row each."""
-    found = pairs.select(id_col, "l", "r").distinct()
-    return found.join(refs.select("l", "r", "pmid").distinct(), ["l", "r"])
+    References are counted per (l, r) before the join, so a fact found in many articles and cited many
+    times gives one row per pair, not one per pair and reference.
+    """
+    support = refs.groupBy("l", "r").agg(F.countDistinct("pmid").alias("n_refs"), F.min("pmid").alias("first_ref"))
+    return pairs.join(support, ["l", "r"])
 
 
 def fact_counts(tagged: DataFrame) -> DataFrame:

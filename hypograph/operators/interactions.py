@@ -49,7 +49,18 @@ def interaction_facts(pairs: DataFrame, interactions: DataFrame, target: str = T
     return pairs.join(names.select(F.col("name").alias("l"), F.col("pmid").alias("ref_pmid")), "l")
 
 
-def found_before(facts: DataFrame, pmid_date: DataFrame, date: str = "pub_ts") -> DataFrame:
-    """Pairs in an article older than the reference that published the interaction, distinct."""
-    refs = pmid_date.select(F.col("pmid").alias("ref_pmid"), F.col("pub_ts").alias("ref_ts"))
-    return facts.join(refs, "ref_pmid").filter(F.col(date) < F.col("ref_ts")).distinct()
+def found_before(
+    pairs: DataFrame, interactions: DataFrame, pmid_date: DataFrame, target: str = TARGET, date: str = "pub_ts"
+) -> DataFrame:
+    """Pairs in an article older than a reference that published the interaction, with ``ref_ts``, distinct.
+
+    The references of a name are reduced to their distinct dates before the join, so a much published
+    interaction is as long as the calendar.
+    """
+    dates = (
+        partner_names(interactions, target, "a")
+        .join(pmid_date.select("pmid", F.col("pub_ts").alias("ref_ts")), "pmid")
+        .select(F.col("name").alias("l"), "ref_ts")
+        .distinct()
+    )
+    return pairs.join(dates, "l").filter(F.col(date) < F.col("ref_ts")).distinct()

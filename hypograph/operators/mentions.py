@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .sizing import small_side
+from .sizing import small_side, written
 
 COORDS = ["doc_pos", "para_pos", "sent_pos"]
 
@@ -50,30 +50,36 @@ def single_word_mentions(
     return hits.select(id_col, "cat", F.col("term").alias("word"), "doc_pos", "para_pos", "sent_pos")
 
 
-def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id") -> DataFrame:
-    """Every occurrence (also overlapping) of a several-word term that starts at a word start.
-
-    Candidates come from an equi-join on the first word; the whole term is then verified in place.
-    """
-    terms, is_small = small_side(
+def _multi_terms(vocab: DataFrame) -> DataFrame:
+    return (
         vocab.filter(F.col("term").contains(" "))
         .select("cat", "term")
         .withColumn("key", tx.lead_key(F.col("term")))
         .withColumn("lead", tx.lead_width(F.col("term")))
     )
+
+
+def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """Every occurrence (also overlapping) of a several-word term that starts at a word start.
+
+    Candidates come from an equi-join on the first word; the whole term is then verified in place.
+    """
+    terms = _multi_terms(vocab)
+    side, is_small = small_side(terms)
     words = (
         _words(sents, id_col, F.split("text", " "))
         .withColumn("word_key", tx.lead_key(F.col("raw")))
         .filter(F.col("word_key") != "")
     )
+    # Start of the word without its leading punctuation.
     start = tx.token_offset(F.col("text"), F.col("i")) + tx.lead_width(F.col("raw"))
     if is_small:
-        hits = words.join(terms, F.col("word_key") == F.col("key")).withColumn("start", start - F.col("lead"))
+        hits = words.join(side, F.col("word_key") == F.col("key")).withColumn("start", start - F.col("lead"))
         found = F.col("text").substr(F.col("start") + 1, F.length("term")) == F.col("term")
         hits = hits.filter((F.col("start") >= 0) & found)
     else:
-        # Shuffle only the text from the candidate word on, not the whole sentence.
-        lead = tx.lead_width(F.col("raw"))
+        # The shuffle carries only as much text behind each word as the longest term needs.
+        longest = terms.agg(F.max(F.length("term"))).scalar()
         placed = words.select(
             id_col,
             "para_pos",
@@ -81,10 +87,12 @@ def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "artic
             "offset",
             "word_key",
             start.alias("at"),
-            lead.alias("own_lead"),
-            F.substring(F.col("text"), tx.token_offset(F.col("text"), F.col("i")) + 1, F.length("text")).alias("rest"),
+            tx.lead_width(F.col("raw")).alias("own_lead"),
+            F.col("text")
+            .substr(start - tx.lead_width(F.col("raw")) + 1, tx.lead_width(F.col("raw")) + longest)
+            .alias("rest"),
         )
-        hits = placed.join(terms, F.col("word_key") == F.col("key")).withColumn("start", F.col("at") - F.col("lead"))
+        hits = placed.join(side, F.col("word_key") == F.col("key")).withColumn("start", F.col("at") - F.col("lead"))
         found = F.col("rest").substr(F.col("own_lead") - F.col("lead") + 1, F.length("term")) == F.col("term")
         hits = hits.filter((F.col("own_lead") >= F.col("lead")) & found)
     return hits.select(
@@ -98,9 +106,50 @@ def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "artic
 
 
 def mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id", strip_punct: bool = False) -> DataFrame:
-    """All mentions of all categories, one-word and several-word terms."""
-    return single_word_mentions(sents, vocab, id_col, strip_punct).unionByName(
-        multi_word_mentions(sents, vocab, id_col)
+    """All mentions of all categories, one-word and several-word terms, from one reading of the text.
+
+    With a vocabulary measured as small every word is looked up under its cleaned form and under its
+    first-word key, which are mostly the same, and the hit is verified. Otherwise both ways run apart.
+    """
+    single = vocab.filter(~F.col("term").contains(" ")).select(
+        "cat", "term", F.col("term").alias("key"), F.lit(None).cast("int").alias("lead")
+    )
+    side, is_small = small_side(single.unionByName(_multi_terms(vocab)))
+    if not is_small:
+        return single_word_mentions(sents, vocab, id_col, strip_punct).unionByName(
+            multi_word_mentions(sents, vocab, id_col)
+        )
+    bare = F.replace(F.replace(F.col("raw"), F.lit("."), F.lit("")), F.lit("/"), F.lit(""))
+    token = tx.trim_token(bare)
+    if strip_punct:
+        token = tx.strip_punctuation(token)
+    words = (
+        _words(sents, id_col, F.split("text", " "))
+        .withColumn("token", token)
+        .withColumn("word_key", tx.lead_key(F.col("raw")))
+    )
+    keys = F.when(F.col("token") == F.col("word_key"), F.array("token")).otherwise(F.array("token", "word_key"))
+    probes = words.select(
+        id_col, "para_pos", "sent_pos", "offset", "text", "i", "raw", "token", F.explode(keys).alias("probe")
+    )
+    one_word = F.col("lead").isNull()
+    at = tx.token_offset(F.col("text"), F.col("i"))
+    start = F.when(one_word, at).otherwise(at + tx.lead_width(F.col("raw")) - F.col("lead"))
+    verified = F.when(one_word, F.col("token") == F.col("term")).otherwise(
+        (F.col("start") >= 0) & (F.col("text").substr(F.col("start") + 1, F.length("term")) == F.col("term"))
+    )
+    # A one-word term is met under the token only, a several-word term under the first-word key only.
+    own_probe = F.when(one_word, F.col("probe") == F.col("token")).otherwise(
+        F.col("probe") == tx.lead_key(F.col("raw"))
+    )
+    hits = probes.join(side, F.col("probe") == F.col("key")).withColumn("start", start).filter(own_probe & verified)
+    return hits.select(
+        id_col,
+        "cat",
+        F.col("term").alias("word"),
+        (F.col("offset") + F.col("start")).alias("doc_pos"),
+        "para_pos",
+        "sent_pos",
     )
 
 
@@ -150,7 +199,7 @@ def drop_noise(found: DataFrame, word: str = "word") -> DataFrame:
 def concept_ids(found: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Attach the concept id of a name, ``-1`` if the dictionary (key, concept_id) has none."""
     keyed = found.withColumn("_key", tx.name_key(F.col(word)))
-    ids = dictionary.select(F.col("key").alias("_key"), "concept_id")
+    ids, _ = small_side(dictionary.select(F.col("key").alias("_key"), "concept_id"))
     return (
         keyed.join(ids, "_key", "left")
         .withColumn("concept_id", F.coalesce(F.col("concept_id"), F.lit("-1")))
@@ -178,33 +227,33 @@ def words_containing(found: DataFrame, part: str, cat: str | None = None) -> Dat
     return found.filter(keep)
 
 
-def phrase_scores(
-    toks: DataFrame,
-    id_col: str = "article_id",
-    min_count: int = 5,
-    threshold: float = 10.0,
-    token: str = "token",
-) -> DataFrame:
+def phrase_scores(toks: DataFrame, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
     """Adjacent word pairs that occur together more often than by chance.
 
     score = (n12 - min_count) * V / (n1 * n2), where V is the number of distinct words.
-    ``toks`` holds the ordered token array of each sentence in ``tokens``; only counts are shuffled.
+    ``toks`` holds the ordered token array of each sentence in ``tokens``; only counts are shuffled, and
+    the counts are stored, since they are read as words, as pairs and for V.
     """
-    arr = F.filter(F.col("tokens"), lambda t: t != "")
-    base = toks.select(arr.alias("tokens"))
-    uni = base.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pairs = base.select(
-        F.explode(
-            F.arrays_zip(
-                F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("w1"),
-                F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("w2"),
-            )
-        ).alias("p")
-    ).select(F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2"))
-    counted = pairs.groupBy("w1", "w2").agg(F.count("*").alias("n12")).filter(F.col("n12") >= min_count)
-    size = uni.agg(F.count("*").alias("v"))
+    words = toks.select(F.filter("tokens", lambda t: t != "").alias("w"))
+    last = F.greatest(F.size("w") - 1, F.lit(0))
+    # Words (second part empty) and adjacent pairs are counted together, in one reading of the text.
+    grams = F.concat(
+        F.transform("w", lambda t: F.struct(t.alias("w1"), F.lit("").alias("w2"))),
+        F.zip_with(
+            F.slice("w", F.lit(1), last),
+            F.slice("w", F.lit(2), last),
+            lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
+        ),
+    )
+    counts = (
+        words.select(F.explode(grams).alias("g")).groupBy("g.w1", "g.w2").agg(F.count("*").alias("n"))
+    )
+    counts = written(counts.filter((F.col("w2") == "") | (F.col("n") >= min_count)), "grams")
+    uni = counts.filter(F.col("w2") == "").select(F.col("w1").alias("w"), "n")
+    pairs = counts.filter(F.col("w2") != "").select("w1", "w2", F.col("n").alias("n12"))
+    size = uni.agg(F.count("*"))
     scored = (
-        counted.join(uni.select(F.col("w").alias("w1"), F.col("n").alias("n1")), "w1")
+        pairs.join(uni.select(F.col("w").alias("w1"), F.col("n").alias("n1")), "w1")
         .join(uni.select(F.col("w").alias("w2"), F.col("n").alias("n2")), "w2")
         .withColumn("score", (F.col("n12") - min_count) * size.scalar() / (F.col("n1") * F.col("n2")))
     )
@@ -217,11 +266,15 @@ def join_phrases(corpus: DataFrame, phrases: DataFrame, key_cols: list[str]) ->
     The phrases that occur in a sentence are found by an equi-join on its adjacent pairs and gathered
     per sentence, so the work stays within the sentence.
     """
-    adjacent = corpus.select(
-        *key_cols,
-        F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0)))).alias("i", "w1"),
-        "tokens",
-    ).select(*key_cols, "i", "w1", F.expr("tokens[i + 1]").alias("w2"))
+    last = F.greatest(F.size("tokens") - 1, F.lit(0))
+    neighbours = F.zip_with(
+        F.slice("tokens", F.lit(1), last),
+        F.slice("tokens", F.lit(2), last),
+        lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
+    )
+    adjacent = corpus.select(*key_cols, F.posexplode(neighbours).alias("i", "g")).select(
+        *key_cols, "i", "g.w1", "g.w2"
+    )
     hits = (
         adjacent.join(phrases.select("w1", "w2"), ["w1", "w2"])
         .groupBy(*key_cols)

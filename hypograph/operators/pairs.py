@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.measures import composite_distance
 from .vocab import STOP_EQUIVALENCE
@@ -109,35 +111,50 @@ def equivalence_sets(
     return match_one_to_one(pairs, id_col)
 
 
-def match_one_to_one(pairs: DataFrame, id_col: str = "article_id") -> DataFrame:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _greedy_picks(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Numbers of the pairs that a greedy one-to-one matching keeps, given both positions in rank order."""
+
+    def picks(ls, rs):
+        used_left, used_right, kept = set(), set(), []
+        for i, (a, b) in enumerate(zip(ls.tolist(), rs.tolist(), strict=True)):
+            if a not in used_left and b not in used_right:
+                used_left.add(a)
+                used_right.add(b)
+                kept.append(i)
+        return kept
+
+    return pd.Series([picks(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
+
+
+def match_one_to_one(pairs: DataFrame, id_col: str = "article_id", fold_limit: int = 200) -> DataFrame:
     """Take the closest pair, drop all pairs sharing its left or right position, repeat.
 
-    Pairs can only compete when their text spans touch. Every (article, code, l, r) group is first cut
-    where no span crosses, so a run of touching spans is all that is folded at once; the cut and the
-    fold use one shuffle.
+    A group is the pairs of two words in one article. It is folded in rank order; the fold searches the
+    pairs it has kept, which is quick for the usual few. A group of more than ``fold_limit`` pairs is
+    matched with sets of used positions instead, in linear time, with the same result.
     """
     key = [id_col, "code", "l", "r"]
-    by_start = Window.partitionBy(*key).orderBy("low", "high", "l_pos", "r_pos")
-    earlier = by_start.rowsBetween(Window.unboundedPreceding, -1)
-    spans = pairs.withColumn("low", F.least("l_pos", "r_pos")).withColumn("high", F.greatest("l_pos", "r_pos"))
-    runs = spans.withColumn("reach", F.max("high").over(earlier)).withColumn(
-        "run",
-        F.sum(F.when(F.col("low") > F.col("reach"), 1).otherwise(0)).over(
-            by_start.rowsBetween(Window.unboundedPreceding, 0)
-        ),
-    )
     item = F.struct("doc_dist", "l_pos", "r_pos", "para_dist", "sent_dist", "uber_dist")
-    sorted_runs = runs.groupBy(*key, "run").agg(F.array_sort(F.collect_list(item)).alias("sorted"))
-    kept = F.when(F.size("sorted") == 1, F.col("sorted")).otherwise(
-        F.aggregate(
-            "sorted",
-            F.slice("sorted", 1, 0),
-            lambda acc, e: F.when(
-                F.exists(acc, lambda k: (k["l_pos"] == e["l_pos"]) | (k["r_pos"] == e["r_pos"])), acc
-            ).otherwise(F.array_append(acc, e)),
-        )
+    # One explicit shuffle, which both branches below read.
+    ranked = pairs.repartition(*key).groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("ranked"))
+    fold = F.aggregate(
+        "ranked",
+        F.slice("ranked", 1, 0),
+        lambda acc, e: F.when(
+            F.exists(acc, lambda k: (k["l_pos"] == e["l_pos"]) | (k["r_pos"] == e["r_pos"])), acc
+        ).otherwise(F.array_append(acc, e)),
+    )
+    short = ranked.filter(F.size("ranked") <= fold_limit).select(
+        *key, F.when(F.size("ranked") == 1, F.col("ranked")).otherwise(fold).alias("kept")
+    )
+    picks = _greedy_picks(F.transform("ranked", lambda e: e["l_pos"]), F.transform("ranked", lambda e: e["r_pos"]))
+    long = (
+        ranked.filter(F.size("ranked") > fold_limit)
+        .withColumn("picks", picks)
+        .select(*key, F.transform("picks", lambda i: F.get("ranked", i)).alias("kept"))
     )
-    return sorted_runs.select(*key, F.explode(kept).alias("x")).select(*key, "x.*")
+    return short.unionByName(long).select(*key, F.explode("kept").alias("x")).select(*key, "x.*")
 
 
 def unordered(pairs: DataFrame, code: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_ascii, split_sentences
+from ..functions.text import clean_ascii, corpus_tokens, split_sentences
 
 
 def prepared_paragraphs(paragraphs: Column) -> Column:
@@ -35,10 +35,11 @@ def _running(items: Column, chars, sents) -> Column:
 
 
 def sentences(articles: DataFrame, id_col: str = "article_id", paragraphs: str = "paragraphs") -> DataFrame:
-    """Sentences of every article: (id, para_pos, sent_pos, offset, text).
+    """Sentences of every article: (id, para_pos, sent_pos, offset, text, para_sents).
 
-    ``offset`` counts characters from the article start, ``sent_pos`` runs through the whole article.
-    Everything is computed inside the article's own row, so the text is never shuffled.
+    ``offset`` counts characters from the article start, ``sent_pos`` runs through the whole article,
+    ``para_sents`` is the number of sentences of the paragraph. Everything is computed inside the
+    article's own row, so the text is never shuffled.
     """
     split = articles.select(
         id_col,
@@ -68,6 +69,7 @@ def sentences(articles: DataFrame, id_col: str = "article_id", paragraphs: str =
         id_col,
         "para_pos",
         "base",
+        F.size("sents").alias("para_sents"),
         F.explode(F.arrays_zip("sents", "inner")).alias("s"),
     )
     return flat.select(
@@ -76,6 +78,7 @@ def sentences(articles: DataFrame, id_col: str = "article_id", paragraphs: str =
         (F.col("base.sents") + F.col("s.inner.sents")).alias("sent_pos"),
         (F.col("base.chars") + F.col("s.inner.chars")).alias("offset"),
         F.col("s.sents").alias("text"),
+        "para_sents",
     )
 
 
@@ -99,21 +102,5 @@ def article_text(
 
 def token_corpus(sents: DataFrame, min_sentences: int = 0, id_col: str = "article_id") -> DataFrame:
     """Token arrays per sentence for embedding training, of paragraphs with more than ``min_sentences``."""
-    from ..functions.text import corpus_tokens
-
-    out = sents
-    if min_sentences:
-        sizes = (
-            sents.groupBy(id_col, "para_pos")
-            .agg(F.count("*").alias("n"))
-            .filter(F.col("n") > min_sentences)
-            .select(id_col, "para_pos")
-        )
-        out = sents.join(sizes, [id_col, "para_pos"], "left_semi")
-    return out.select(id_col, "para_pos", "sent_pos", corpus_tokens(F.col("text")).alias("tokens"))
-
-
-def long_paragraphs(articles: DataFrame, min_sentences: int = 2, paragraphs: str = "paragraphs") -> DataFrame:
-    """Drop paragraphs with at most ``min_sentences`` sentences inside the article row (no shuffle)."""
-    kept = F.filter(F.col(paragraphs), lambda p: F.size(split_sentences(F.lower(clean_ascii(p)))) > min_sentences)
-    return articles.withColumn(paragraphs, kept)
+    kept = sents.filter(F.col("para_sents") > min_sentences) if min_sentences else sents
+    return kept.select(id_col, "para_pos", "sent_pos", corpus_tokens(F.col("text")).alias("tokens"))

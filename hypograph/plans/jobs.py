@@ -90,7 +90,7 @@ def analyse_articles(articles: DataFrame, vocab: DataFrame, facts: DataFrame, op
     sents = sentences(arts.select("article_id", "paragraphs"))
     found = written(mt.mentions(sents, vocab, strip_punct=o.strip_punct), "mentions")
     pairs = pr.shortest_pairs(pr.cooccurrences(found, threshold=o.threshold))
-    tagged = written(fc.tag_facts(pairs, facts, o.fact_codes), "pairs")
+    tagged = written(fc.tag_facts(pairs, facts, o.fact_codes, with_refs=True), "pairs")
     return ArticleTables(arts, sents, found, tagged, pr.triples(tagged))
 
 
@@ -132,9 +132,8 @@ def evaluate_pairs(
 
 def augment_pairs(annotated: DataFrame) -> DataFrame:
     """Annotated pairs with the second derivative of their mention frequency; undated rows keep NULL."""
-    keyed = annotated.drop("freq_sec_deriv").withColumn(
-        "_id", F.concat_ws("|", "pmid", F.xxhash64(*annotated.columns).cast("string"))
-    )
+    rows = annotated.drop("freq_sec_deriv")
+    keyed = rows.withColumn("_id", F.concat_ws("|", "pmid", F.xxhash64(*rows.columns).cast("string")))
     dated = tl.frequency_derivative(keyed, ["l", "r"], ts="pub_ts", id_col="_id").drop("seq", "_id")
     undated = keyed.filter(F.col("pub_ts").isNull()).drop("_id").withColumn("freq_sec_deriv", F.lit(None).cast("double"))
     return dated.unionByName(undated)
@@ -234,7 +233,7 @@ def crawl_interactions(
     dated = pairs.join(
         articles.select("article_id", "file_name", epoch_seconds(parse_date(F.col("date_text"))).alias("pub_ts")), "article_id"
     )
-    return ia.found_before(ia.interaction_facts(dated, interactions), pmid_date)
+    return ia.found_before(dated, interactions, pmid_date)
 
 
 def relation_graph(spark: SparkSession, sources: list[str], store: str) -> tuple[DataFrame, DataFrame]:

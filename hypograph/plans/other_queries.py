@@ -176,12 +176,11 @@ def interaction_facts(spark, d):
 
 
 def found_before(spark, d):
-    facts = ia.interaction_facts(_found_interactions(spark, d), fx.interactions(spark, d))
     day = F.date_add(F.lit("1996-01-01").cast("date"), (F.col("c_custkey") % 1500).cast("int"))
     dates = fx.table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias("pmid"), epoch_seconds(day).alias("pub_ts")
     )
-    return ia.found_before(facts, dates)
+    return ia.found_before(_found_interactions(spark, d), fx.interactions(spark, d), dates)
 
 
 def roundtrip_csv(spark, d):
@@ -281,7 +280,7 @@ def roundtrip_json(spark, d):
     sents = fx.article_sentences(spark, d)
     found = written(mt.single_word_mentions(sents, fx.vocab(spark, d)), "mentions")
     pairs = written(pr.shortest_pairs(pr.cooccurrences(found)), "pairs")
-    tagged = pairs.withColumn("fact", F.col("code") == 1)
+    tagged = pairs.withColumn("fact", F.col("code") == 1).withColumn("refs", F.array(F.col("article_id").cast("string")))
     rows = sa.digests(arts, sents, found, tagged, pr.triples(pairs))
     path = scratch_dir(spark, "digests")
     sa.write_digests(rows, path, by_name=True)
@@ -619,7 +618,7 @@ ORACLE = {
         UNION ALL SELECT 'k' || c_nationkey FROM customer UNION ALL SELECT lower(c_mktsegment) FROM customer
         UNION ALL SELECT 'kin ' || c_nationkey FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT lower(p_name) FROM part)""",
     "interaction_facts": f"SELECT l, pmid, ref_pmid FROM ({_FACE})",
-    "found_before": f"SELECT * FROM ({_FACE}) WHERE pub_ts < ref_ts",
+    "found_before": f"SELECT DISTINCT l, r, pmid, pub_ts, ref_ts FROM ({_FACE}) WHERE pub_ts < ref_ts",
     "roundtrip_csv": with_cte(
         "pairs",
         """SELECT CAST(article_id AS VARCHAR) AS pmid, CASE WHEN code <> 3 THEN 1281744000 ELSE -1 END AS pub_ts,

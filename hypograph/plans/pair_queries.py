@@ -92,11 +92,10 @@ def pairs_tagged(spark, d):
     return fc.tag_facts(*_tagging(spark, d))
 
 
-def pair_refs(spark, d):
-    """Number of references behind each tagged pair, and the first of them."""
+def pair_support(spark, d):
     close, facts = _tagging(spark, d)
-    refs = fc.pair_refs(close, fc.fact_refs(facts))
-    return refs.groupBy("article_id", "l", "r").agg(F.count("*").alias("n_refs"), F.min("pmid").alias("first_ref"))
+    pairs = close.select("article_id", "l", "r").distinct()
+    return fc.pair_support(pairs, fc.fact_refs(facts))
 
 
 def fact_counts(spark, d):
@@ -241,7 +240,7 @@ QUERIES = {
         fact_refs,
         pairs_known,
         pairs_tagged,
-        pair_refs,
+        pair_support,
         fact_counts,
         relevant_facts,
         true_positive,
@@ -323,7 +322,7 @@ ORACLE = {
         "pairs facts",
         f"SELECT article_id, code, l, r, uber_dist, l_pos, r_pos, doc_dist, para_dist, sent_dist, fact FROM {_TAGGED}",
     ),
-    "pair_refs": with_cte(
+    "pair_support": with_cte(
         "pairs facts",
         """SELECT p.article_id, p.l, p.r, count(*) AS n_refs, min(pmid) AS first_ref FROM (SELECT DISTINCT article_id, l, r FROM pairs) p
         JOIN (SELECT DISTINCT l, r, pmid FROM facts) f ON f.l = p.l AND f.r = p.r GROUP BY ALL""",

@@ -132,7 +132,7 @@ def _pair_list(code: int, name: str) -> Column:
         F.col("sent_dist").cast("double").alias("sentDist"),
         "code",
         "fact",
-        F.expr("cast(array() as array<string>)").alias("refs"),
+        "refs",
         F.col("uber_dist").alias("uberDist"),
         F.col("l_pos").alias("leftDocPos"),
         F.col("r_pos").alias("rightDocPos"),
@@ -143,9 +143,9 @@ def _pair_list(code: int, name: str) -> Column:
 def digests(
     articles: DataFrame, sents: DataFrame, found: DataFrame, tagged: DataFrame, triples: DataFrame
 ) -> DataFrame:
-    """One nested row per article. Its lists are as long as that article.
+    """One nested row per article, whose lists are as long as that article.
 
-    References of a fact are not repeated in every article; they stay in the table of fact references.
+    ``tagged`` are pairs with ``fact`` and ``refs``.
     """
     mention_part = found.groupBy("article_id").agg(*[_mention_list(c) for c in ("A", "B", "C")])
     pair_part = tagged.groupBy("article_id").agg(
