@@ -137,7 +137,7 @@ def match_one_to_one(pairs: DataFrame, id_col: str = "article_id", fold_limit: i
     key = [id_col, "code", "l", "r"]
     item = F.struct("doc_dist", "l_pos", "r_pos", "para_dist", "sent_dist", "uber_dist")
     # One explicit shuffle, which both branches below read.
-    ranked = pairs.repartition(*key).groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("ranked"))
+    ranked = pairs.repartition(*key).groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("ranked"))
     fold = F.aggregate(
         "ranked",
         F.slice("ranked", 1, 0),
@@ -145,16 +145,19 @@ def match_one_to_one(pairs: DataFrame, id_col: str = "article_id", fold_limit: i
             F.exists(acc, lambda k: (k["l_pos"] == e["l_pos"]) | (k["r_pos"] == e["r_pos"])), acc
         ).otherwise(F.array_append(acc, e)),
     )
-    short = ranked.filter(F.size("ranked") <= fold_limit).select(
-        *key, F.when(F.size("ranked") == 1, F.col("ranked")).otherwise(fold).alias("kept")
+    # The guard is part of the expression, as the optimizer may evaluate it ahead of the filter.
+    is_short = F.size("ranked") <= fold_limit
+    short = ranked.filter(is_short).select(
+        *key, F.when(F.size("ranked") == 1, F.col("ranked")).when(is_short, fold).alias("kept")
     )
     picks = _greedy_picks(F.transform("ranked", lambda e: e["l_pos"]), F.transform("ranked", lambda e: e["r_pos"]))
     long = (
-        ranked.filter(F.size("ranked") > fold_limit)
+        ranked.filter(~is_short)
         .withColumn("picks", picks)
         .select(*key, F.transform("picks", lambda i: F.get("ranked", i)).alias("kept"))
     )
-    return short.unionByName(long).select(*key, F.explode("kept").alias("x")).select(*key, "x.*")
+    # Never empty; the outer form keeps the optimizer from evaluating the fold once more as a filter.
+    return short.unionByName(long).select(*key, F.explode_outer("kept").alias("x")).select(*key, "x.*")
 
 
 def unordered(pairs: DataFrame, code: int = 4) -> DataFrame:

@@ -92,7 +92,7 @@ def article_text(
     return lines.groupBy(id_col).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct(order_col, text_col))),
+                F.sort_array(F.collect_list(F.struct(order_col, text_col))),
                 lambda x: x[text_col],
             ),
             "\n",

@@ -342,7 +342,7 @@ def neighbour_windows(
     )
     return (
         spread.groupBy(*keys, "last_seq")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("_w"))
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("_w"))
         .filter(F.size("_w") == n)
         .filter(F.element_at("_w", -1)["seq"] == F.col("last_seq"))
         .select(*keys, "last_seq", F.transform("_w", lambda x: x["value"]).alias("window"))

@@ -132,11 +132,9 @@ def bigram_corpus(spark, d):
     )
     phrases = mt.phrase_scores(corpus)
     merged = mt.join_phrases(corpus, phrases, keys)
-    return merged.select(
-        "article_id",
-        F.size(F.filter("tokens", lambda t: t.contains("_"))).alias("n_merged"),
-        F.size("tokens").alias("n_tokens"),
-    ).groupBy("article_id").agg(F.sum("n_merged").alias("n_merged"), F.sum("n_tokens").alias("n_tokens"))
+    return merged.groupBy("article_id").agg(
+        F.sum(F.size("tokens")).alias("n_tokens"), F.count_if(F.size("tokens") > 0).alias("n_sentences")
+    )
 
 
 def _raw_terms(spark, d):
@@ -353,6 +351,17 @@ ORACLE = {
     "bigram_phrases": _extend(
         "sents", _CORPUS, "SELECT w1, w2, n12, n1, n2, round(score, 6) AS score FROM scored WHERE score > 10"
     ),
+    # In a run of k neighbouring phrases every other one is merged: (k + 1) // 2 merges.
+    "bigram_corpus": _extend(
+        "sents",
+        _CORPUS,
+        """, hit AS (SELECT article_id, sent_pos, i, i - row_number() OVER (PARTITION BY article_id, sent_pos ORDER BY i) AS island
+          FROM (SELECT article_id, sent_pos, i, w[i] AS w1, w[i + 1] AS w2 FROM corpus, unnest(range(1, len(w))) t(i))
+          SEMI JOIN (FROM scored WHERE score > 10) s USING (w1, w2)),
+        merges AS (SELECT article_id, sum(m) AS m FROM (SELECT article_id, (count(*) + 1) // 2 AS m FROM hit GROUP BY article_id, sent_pos, island) GROUP BY article_id)
+        SELECT article_id, CAST(sum(len(w)) - coalesce(any_value(m), 0) AS BIGINT) AS n_tokens, count(*) FILTER (len(w) > 0) AS n_sentences
+        FROM corpus LEFT JOIN merges USING (article_id) GROUP BY article_id""",
+    ),
     "vocab_clean": f"""WITH {_RAW_TERMS} SELECT DISTINCT lower(term) AS term FROM raw
         WHERE length(replace(term, '-', '')) > 2 AND NOT regexp_matches(replace(term, '-', ''), '^[0-9]+$')
         AND replace(term, '-', '') NOT IN ('was', 'for')""",

@@ -119,7 +119,7 @@ def _mention_list(cat: str) -> Column:
         F.col("para_pos").alias("paraPos"),
         F.col("sent_pos").alias("sentPos"),
     )
-    return F.array_sort(F.collect_list(F.when(F.col("cat") == cat, item))).alias(cat)
+    return F.sort_array(F.collect_list(F.when(F.col("cat") == cat, item))).alias(cat)
 
 
 def _pair_list(code: int, name: str) -> Column:
@@ -156,9 +156,9 @@ def digests(
     )
     para_part = (
         sents.groupBy("article_id", "para_pos")
-        .agg(F.array_sort(F.collect_list(F.struct("sent_pos", "text"))).alias("s"))
+        .agg(F.sort_array(F.collect_list(F.struct("sent_pos", "text"))).alias("s"))
         .groupBy("article_id")
-        .agg(F.array_sort(F.collect_list(F.struct("para_pos", "s"))).alias("p"))
+        .agg(F.sort_array(F.collect_list(F.struct("para_pos", "s"))).alias("p"))
         .select(
             "article_id",
             F.transform(
