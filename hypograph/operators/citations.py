@@ -12,42 +12,44 @@ from pyspark.sql import functions as F
 from ..functions.dates import epoch_seconds, parse_date
 
 
-def heading_terms(citations: DataFrame) -> DataFrame:
-    """(pmid, cat, term): chemicals are A; descriptor ``D0*`` is C; qualifiers ``C*``, ``F*`` are C and
-    ``Q*``, ``D12*`` are B. Classified inside the citation's row."""
-    chemical = F.transform("chemicals", lambda c: F.struct(F.lit("A").alias("cat"), F.lower(c).alias("term")))
-    descriptor = F.transform(
-        F.filter("headings", lambda h: h["ui"].startswith("D0")),
-        lambda h: F.struct(F.lit("C").alias("cat"), F.lower(h["name"]).alias("term")),
+def term_lists(citations: DataFrame) -> DataFrame:
+    """(pmid, A, B, C): chemicals are A; descriptor ``D0*`` is C; qualifiers ``C*``, ``F*`` are C and
+    ``Q*``, ``D12*`` are B. Everything is decided inside the citation's row."""
+    named = F.transform(
+        F.filter("headings", lambda h: h["ui"].startswith("D0")), lambda h: F.lower(h["name"])
     )
     marked = F.filter("headings", lambda h: h["major"].isin("Y", "N"))
-    qualifier = F.filter(
-        F.transform(
-            F.flatten(F.transform(marked, lambda h: h["qualifiers"])),
-            lambda q: F.struct(
-                F.when(q["ui"].rlike("^[CF]"), "C").when(q["ui"].rlike("^(Q|D12)"), "B").alias("cat"),
-                F.lower(q["text"]).alias("term"),
-            ),
-        ),
-        lambda x: x["cat"].isNotNull(),
+    qualifiers = F.flatten(F.transform(marked, lambda h: h["qualifiers"]))
+
+    def texts(pattern):
+        return F.transform(F.filter(qualifiers, lambda q: q["ui"].rlike(pattern)), lambda q: F.lower(q["text"]))
+
+    def known(terms):
+        return F.filter(terms, lambda t: t.isNotNull())
+
+    return citations.select(
+        "pmid",
+        known(F.transform("chemicals", lambda c: F.lower(c))).alias("A"),
+        known(texts("^(Q|D12)")).alias("B"),
+        known(F.concat(named, texts("^[CF]"))).alias("C"),
     )
+
+
+def heading_terms(citations: DataFrame) -> DataFrame:
+    """The term lists as rows (pmid, cat, term)."""
+    lists = F.array(*[F.struct(F.lit(c).alias("cat"), F.col(c).alias("terms")) for c in ("A", "B", "C")])
     return (
-        citations.select("pmid", F.explode(F.concat(chemical, descriptor, qualifier)).alias("x"))
-        .select("pmid", "x.cat", "x.term")
-        .filter(F.col("term").isNotNull())
+        term_lists(citations)
+        .select("pmid", F.explode(lists).alias("x"))
+        .select("pmid", "x.cat", F.explode("x.terms").alias("term"))
     )
 
 
-def citation_triples(terms: DataFrame) -> DataFrame:
-    """A x B x C of one citation record, whose lists are as long as that record.
-
-    One grouping by pmid, then three explodes: no join of the term table with itself.
-    """
-    lists = terms.groupBy("pmid").agg(
-        *[F.collect_list(F.when(F.col("cat") == c, F.col("term"))).alias(c) for c in ("A", "B", "C")]
-    )
+def citation_triples(citations: DataFrame) -> DataFrame:
+    """A x B x C of each citation record, whose lists are as long as that record; nothing is shuffled."""
     return (
-        lists.select("pmid", F.explode("A").alias("a"), "B", "C")
+        term_lists(citations)
+        .select("pmid", F.explode("A").alias("a"), "B", "C")
         .select("pmid", "a", F.explode("B").alias("b"), "C")
         .select("pmid", "a", "b", F.explode("C").alias("c"))
     )

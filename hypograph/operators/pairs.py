@@ -26,21 +26,24 @@ def cooccurrences(
 ) -> DataFrame:
     """All (left, right) mentions of an article closer than ``threshold`` characters.
 
-    Positions are cut into blocks as long as the threshold. A left mention goes to its own block, a
-    right mention to its block and both neighbours, and blocks are formed by one grouping on
-    (article, block). So the text is read once, a long article is spread over many tasks, no pair is
-    made twice, and a block spans at most three thresholds of text whatever the article's length.
+    Positions are cut into blocks of four thresholds. A left mention goes to its own block, a right
+    mention to every block it can reach (one, or two near a border), and blocks are formed by one
+    grouping on (article, block). So the text is read once, a long article is spread over many tasks, no
+    pair is made twice, and a block spans at most six thresholds of text whatever the article's length.
     """
     left_cats = sorted({c[1] for c in combos})
     right_cats = sorted({c[2] for c in combos})
-    block = F.floor(F.col("doc_pos") / F.lit(threshold)).cast("int")
+    def block_of(position):
+        return F.floor(position / F.lit(4 * threshold)).cast("int")
+
+    pos = F.col("doc_pos")
     own = F.when(
-        F.col("cat").isin(left_cats), F.array(F.struct(block.alias("block"), F.lit(True).alias("left")))
+        F.col("cat").isin(left_cats), F.array(F.struct(block_of(pos).alias("block"), F.lit(True).alias("left")))
     )
     near = F.when(
         F.col("cat").isin(right_cats),
         F.transform(
-            F.array(block - 1, block, block + 1),
+            F.sequence(block_of(F.greatest(pos - threshold, F.lit(0))), block_of(pos + threshold)),
             lambda b: F.struct(b.alias("block"), F.lit(False).alias("left")),
         ),
     )

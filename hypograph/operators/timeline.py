@@ -30,9 +30,12 @@ def default_salt(id_col: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(salts))
 
 
-def _offsets(series: DataFrame, keys: list[str], ts: str) -> DataFrame:
+def _salt_counts(salted: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    return salted.groupBy(*keys, ts, "salt").agg(F.count("*").alias("n"))
+
+
+def _offsets(per: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Per (key, date, salt): mentions of the key before the group, and before the date."""
-    per = series.groupBy(*keys, ts, "salt").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*keys).orderBy(ts, "salt").rowsBetween(Window.unboundedPreceding, -1)
     d = Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -1)
     return per.select(
@@ -60,7 +63,8 @@ def mention_series(
 ) -> DataFrame:
     """The sorted series of every key as rows (keys, seq, ts, id)."""
     salted = _salted(series, ts, id_col, salt)
-    return _numbered(salted, _offsets(salted, keys, ts), keys, ts, id_col).drop("salt", "before", "before_date")
+    table = _offsets(_salt_counts(salted, keys, ts), keys, ts)
+    return _numbered(salted, table, keys, ts, id_col).drop("salt", "before", "before_date")
 
 
 def long_series(series: DataFrame, keys: list[str], min_size: int = 400) -> DataFrame:
@@ -74,14 +78,16 @@ def mention_gaps(
 ) -> DataFrame:
     """Time to the next mention of the key; the last mention gets the span back to the first."""
     salted = _salted(series, ts, id_col, salt)
+    per = _salt_counts(salted, keys, ts)
     w = Window.partitionBy(*keys).orderBy(ts)
     dates = (
-        date_counts(salted, keys, ts)
+        per.groupBy(*keys, ts)
+        .agg(F.sum("n").alias("n"))
         .withColumn("_next", F.lead(ts).over(w))
         .withColumn("_first", F.first(ts).over(w))
         .select(*keys, ts, "n", F.abs(F.coalesce("_next", "_first") - F.col(ts)).alias("_step"))
     )
-    table = _offsets(salted, keys, ts).join(dates, [*keys, ts])
+    table = _offsets(per, keys, ts).join(dates, [*keys, ts])
     numbered = _numbered(salted, table, keys, ts, id_col)
     is_last = F.col("seq") - F.col("before_date") == F.col("n") - 1
     return numbered.withColumn("gap", F.when(is_last, F.col("_step")).otherwise(F.lit(0))).drop(
@@ -125,9 +131,11 @@ def frequency_derivative(
     ever built.
     """
     salted = _salted(series, ts, id_col, salt)
+    per = _salt_counts(salted, keys, ts)
     w = Window.partitionBy(*keys).orderBy(ts)
     dates = (
-        date_counts(salted, keys, ts)
+        per.groupBy(*keys, ts)
+        .agg(F.sum("n").alias("n"))
         .withColumn("start", F.first(ts).over(w))
         .withColumn("span", F.col(ts) - F.col("start"))
     )
@@ -163,7 +171,7 @@ def frequency_derivative(
         "end", F.coalesce(F.col("base") + TOTAL_WEIGHT * F.col("n"), F.lit(0.0))
     )
     ends = ends.withColumn("prev_end", F.lag("end").over(w)).select(*keys, ts, "base", "prev_end")
-    table = _offsets(salted, keys, ts).join(ends, [*keys, ts])
+    table = _offsets(per, keys, ts).join(ends, [*keys, ts])
     numbered = _numbered(salted, table, keys, ts, id_col)
     j = F.col("seq") - F.col("before_date")
     deriv = F.when(j == 0, F.col("prev_end")).otherwise(

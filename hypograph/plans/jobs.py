@@ -73,7 +73,7 @@ class ArticleTables:
     triples: DataFrame
 
     def digests(self) -> DataFrame:
-        return sa.digests(self.articles, self.sentences, self.mentions, self.pairs, self.triples)
+        return sa.digests(self.articles, self.mentions, self.pairs, self.triples)
 
     def triple_frequency(self) -> DataFrame:
         return pr.triple_frequency(self.triples)
@@ -216,7 +216,7 @@ def monthly_embeddings(sents: DataFrame, articles: DataFrame, phrases: bool = Fa
 def citation_job(spark: SparkSession, path: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Term triples and publication dates of citation records."""
     records = sr.read_citations(spark, path)
-    triples, dates = ct.citation_triples(ct.heading_terms(records)), ct.citation_dates(records)
+    triples, dates = ct.citation_triples(records), ct.citation_dates(records)
     if out:
         sb.write_json(triples, f"{out}/triples")
         sb.write_table(dates, f"{out}/pmid_date")

@@ -139,7 +139,7 @@ def heading_classes(spark, d):
 
 
 def citation_triples(spark, d):
-    return ct.citation_triples(ct.heading_terms(fx.citations(spark, d)))
+    return ct.citation_triples(fx.citations(spark, d))
 
 
 def citation_dates(spark, d):
@@ -281,7 +281,7 @@ def roundtrip_json(spark, d):
     found = written(mt.single_word_mentions(sents, fx.vocab(spark, d)), "mentions")
     pairs = written(pr.shortest_pairs(pr.cooccurrences(found)), "pairs")
     tagged = pairs.withColumn("fact", F.col("code") == 1).withColumn("refs", F.array(F.col("article_id").cast("string")))
-    rows = sa.digests(arts, sents, found, tagged, pr.triples(pairs))
+    rows = sa.digests(arts, found, tagged, pr.triples(pairs))
     path = scratch_dir(spark, "digests")
     sa.write_digests(rows, path, by_name=True)
     back = sa.read_digests(spark, path)
@@ -329,7 +329,7 @@ def roundtrip_split(spark, d):
 
 
 def roundtrip_triples_json(spark, d):
-    rows = ct.citation_triples(ct.heading_terms(fx.citations(spark, d)))
+    rows = ct.citation_triples(fx.citations(spark, d))
     path = scratch_dir(spark, "triples")
     sb.write_json(rows, path)
     return spark.read.schema(rows.schema).json(path)
@@ -640,7 +640,7 @@ ORACLE = {
         UNION ALL SELECT 'pairs', CAST(article_id AS VARCHAR), count(*), CAST(sum(doc_dist) AS BIGINT) FROM pairs GROUP BY article_id
         UNION ALL SELECT 'guesses', CAST(article_id AS VARCHAR), count(*), max(uber_dist) FROM pairs WHERE code <> 1 GROUP BY article_id
         UNION ALL SELECT 'triples', CAST(article_id AS VARCHAR), count(*), 0 FROM tr GROUP BY article_id
-        UNION ALL SELECT 'text', CAST(doc_id AS VARCHAR), coalesce(n, 0), length(text) FROM documents
+        UNION ALL SELECT 'text', CAST(doc_id AS VARCHAR), coalesce(n, 0), length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) FROM documents
           LEFT JOIN (SELECT article_id, count(*) AS n FROM sents GROUP BY article_id) s ON s.article_id = doc_id""",
     ),
     "roundtrip_names_json": """SELECT 'gene' AS kind, 'n' || c_nationkey AS key, unnest([c_name, c_mktsegment]) AS synonym FROM customer WHERE c_custkey % 2 = 0

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
-from ..functions.text import base_name
+from ..functions.text import base_name, clean_ascii, split_sentences
+from ..operators.sentences import prepared_paragraphs
 from ..schemas import DIGEST
 
 ARTICLE_GLOB = "*.fxml"
@@ -140,12 +141,10 @@ def _pair_list(code: int, name: str) -> Column:
     return F.collect_list(F.when(F.col("code") == code, item)).alias(name)
 
 
-def digests(
-    articles: DataFrame, sents: DataFrame, found: DataFrame, tagged: DataFrame, triples: DataFrame
-) -> DataFrame:
+def digests(articles: DataFrame, found: DataFrame, tagged: DataFrame, triples: DataFrame) -> DataFrame:
     """One nested row per article, whose lists are as long as that article.
 
-    ``tagged`` are pairs with ``fact`` and ``refs``.
+    ``tagged`` are pairs with ``fact`` and ``refs``. Sentences are nested inside the article's own row.
     """
     mention_part = found.groupBy("article_id").agg(*[_mention_list(c) for c in ("A", "B", "C")])
     pair_part = tagged.groupBy("article_id").agg(
@@ -154,28 +153,19 @@ def digests(
     triple_part = triples.groupBy("article_id").agg(
         F.collect_list(F.struct(F.col("a").alias("A"), F.col("b").alias("B"), F.col("c").alias("C"))).alias("ABC")
     )
-    para_part = (
-        sents.groupBy("article_id", "para_pos")
-        .agg(F.sort_array(F.collect_list(F.struct("sent_pos", "text"))).alias("s"))
-        .groupBy("article_id")
-        .agg(F.sort_array(F.collect_list(F.struct("para_pos", "s"))).alias("p"))
-        .select(
-            "article_id",
-            F.transform(
-                "p", lambda p: F.struct(F.transform(p["s"], lambda s: s["text"]).alias("sentences"))
-            ).alias("paragraphs"),
-        )
-    )
     head = articles.select(
         "article_id",
         F.col("file_name").alias("fileName"),
         F.date_format("pub_date", "d-M-yyyy").alias("date"),
         F.col("article_id").cast("string").alias("id"),
         F.lit("hypograph").alias("generator"),
-        F.array_join("paragraphs", "\n").alias("raw"),
+        F.array_join(F.transform("paragraphs", clean_ascii), "\n").alias("raw"),
+        F.transform(
+            prepared_paragraphs(F.col("paragraphs")), lambda p: F.struct(split_sentences(p).alias("sentences"))
+        ).alias("paragraphs"),
     )
     out = head
-    for part in (para_part, mention_part, pair_part, triple_part):
+    for part in (mention_part, pair_part, triple_part):
         out = out.join(part, "article_id", "left")
     lists = ["paragraphs", "A", "B", "C", "AB", "BC", "AC", "BB", "ABC"]
     types = {f.name: f.dataType for f in DIGEST.fields}
