@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CATEGORIES = ("A", "B", "C")
+
 # Words excluded from term lists, per stage.
 STOP_TERMS = {"A": ["was", "for", "large", "apotosis"], "B": ["was", "for", "large"], "C": ["was", "for", "large"]}
 STOP_CLEAN = ["was", "for"]
@@ -92,14 +94,10 @@ def classify_first_tree(descriptors: DataFrame) -> DataFrame:
 
 def subtract_category(vocab: DataFrame, cat: str = "B", other: str = "C") -> DataFrame:
     """Remove from ``cat`` every term that ``other`` has too, in one grouping by term."""
-    lists = vocab.groupBy("term").agg(F.collect_set("cat").alias("cats"))
-    kept = lists.select(
-        "term",
-        F.explode(
-            F.filter("cats", lambda c: ~((c == cat) & F.array_contains("cats", other)))
-        ).alias("cat"),
-    )
-    return kept.select("cat", "term")
+    lists = vocab.groupBy("term").agg(*[F.bool_or(F.col("cat") == c).alias(c) for c in CATEGORIES])
+    stays = {c: F.col(c) & ~F.col(other) if c == cat else F.col(c) for c in CATEGORIES}
+    cats = F.filter(F.array(*[F.when(keep, F.lit(c)) for c, keep in stays.items()]), lambda c: c.isNotNull())
+    return lists.select(F.explode(cats).alias("cat"), "term")
 
 
 def extend_vocabulary(vocab: DataFrame, facts: DataFrame) -> DataFrame:
