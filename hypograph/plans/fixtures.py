@@ -134,8 +134,11 @@ def series_salt():
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as citation records."""
-    o = table(spark, sf_dir, "orders")
+    """Orders as a stored table of citation records.
+
+    Stored, as records would be: inlined, the building expressions would be repeated for every use.
+    """
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("date")
     published = F.add_months(day, (cust % 5).cast("int") - 2)
@@ -161,7 +164,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(text("Z").alias("text"), text("Z1").alias("ui")),
         ).alias("qualifiers"),
     )
-    return o.select(
+    records = o.select(
         key.cast("string").alias("pmid"),
         F.when(key % 10 != 0, F.date_format(day, "d-M-yyyy")).otherwise("31-2-1999").alias("created"),
         F.when(key % 7 == 0, F.lit("1-13-1999"))
@@ -171,6 +174,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(text("Chem-", cust % 40), text("Chem-", key % 7)).alias("chemicals"),
         F.array(first, second).alias("headings"),
     )
+    return written(records, "citations")
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
