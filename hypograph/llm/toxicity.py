@@ -20,18 +20,18 @@ from ._arrays import ALPHANUMERIC, mix, slices
 
 BITS = 20
 #: Labelled documents that a fit uses at most, the first by a hash of their id; all of them where there are fewer.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 20_000
 #: Pairs of words this far apart are features besides single words: neighbours, and skip-grams.
 GAPS = (1, 2, 3)
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.1
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 12.0
     l2: float = 0.1
-    epochs: int = 4
+    epochs: int = 5
 
 
 @dataclass(frozen=True)
