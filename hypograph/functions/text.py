@@ -10,9 +10,10 @@ NON_ASCII = r"[^\x00-\x7F]"
 SENTENCE_END = r"([.!?]+\s+)"
 # U+2029 cannot occur in the text once it is ASCII only, so it marks boundaries safely.
 BREAK_MARK = "\u2029"
-BLANKS = " \t\n\r\f"
+BLANKS = " \t\n\x0b\f\r"
+WHITE_SPACE = "[ \t\n\x0b\f\r]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# Mentions that are numbering, statistics or reference residue rather than names.
+# Fixed value: mentions that are numbering, statistics or reference residue rather than names.
 NOISE = r"^\(\d+\)( \w+)?$|^\d+\.\d|^= .*$|^\w+ = \d$|^.*doi:.*$"
 
 
@@ -26,19 +27,26 @@ def split_sentences(paragraph: Column) -> Column:
     return F.filter(F.split(marked, BREAK_MARK), lambda s: s != "")
 
 
+def word_split(sentence: Column) -> Column:
+    """Words between single white-space characters; neighbouring ones give empty words.
+
+    Every separator is one character, so word ``i`` begins where the lengths before it, plus ``i``, say.
+    """
+    return F.split(sentence, WHITE_SPACE)
+
+
 def token_split(sentence: Column) -> Column:
-    """Blank-separated tokens without dots and slashes.
+    """Words without dots and slashes, as many as ``word_split`` gives.
 
-    Both are deleted from the whole sentence first, which is far cheaper than from every token and
-    leaves the token numbers as they are.
+    Both are deleted from the whole sentence first, which is far cheaper than from every word and leaves the
+    word numbers as they are.
     """
-    bare = F.replace(F.replace(sentence, F.lit("."), F.lit("")), F.lit("/"), F.lit(""))
-    return F.split(bare, " ")
+    return word_split(F.replace(F.replace(sentence, F.lit("."), F.lit("")), F.lit("/"), F.lit("")))
 
 
-def trim_token(token: Column) -> Column:
-    """A token without surrounding tabs and line ends."""
-    return F.btrim(token, F.lit(BLANKS))
+def blanks_only(text: Column) -> Column:
+    """Every white-space character as a blank; offsets stay."""
+    return F.translate(text, BLANKS, " " * len(BLANKS))
 
 
 def dots_to_blanks(sentence: Column) -> Column:
@@ -50,24 +58,18 @@ def strip_punctuation(token: Column) -> Column:
     return F.regexp_replace(token, r"^[^a-z0-9]+|[^a-z0-9]+$", "")
 
 
-def token_offset(sentence: Column, index: Column) -> Column:
-    """Character offset of the blank-separated token at ``index`` (zero based)."""
-    before = F.length(F.call_function("substring_index", sentence, F.lit(" "), index))
-    return F.when(index == 0, F.lit(0)).otherwise(before + 1)
-
-
 def without_lead(text: Column) -> Column:
-    """A text without its leading punctuation."""
-    return F.ltrim(text, F.lit(PUNCTUATION))
+    """A text without its leading punctuation and white space."""
+    return F.ltrim(text, F.lit(PUNCTUATION + BLANKS))
 
 
 def lead_key(text: Column) -> Column:
-    """First word of a text without leading punctuation: the candidate key of a multi-word term."""
-    return F.substring_index(without_lead(text), " ", 1)
+    """First word of a text without leading punctuation: the candidate key of a several-word term."""
+    return F.substring_index(blanks_only(without_lead(text)), " ", 1)
 
 
 def lead_width(text: Column) -> Column:
-    """Number of punctuation characters in front of the first word."""
+    """Number of characters in front of the first word."""
     return F.length(text) - F.length(without_lead(text))
 
 

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
+from .sizing import keyed_join
 from .vocab import STOP_EVALUATION
 
 KEY = ["l", "r", "pmid"]
 
 # Genes whose pairs are of special interest.
-TARGET_GENES = (
-    "akap10 akap11 akap12 akap2 akap6 cask ccnh cdc42bpa cdc42bpg cdk1 chuk ckb cks1b cks2 clk1 clk2 fes "
-    "fgfr1 fgfr2 fgfr3 ilkap insr irak1 irak2 irak3 stk16 stk24 stk25 stk26 stk36 stk38 syk tab1 tab2 tab3 "
-    "taok1 tbk1 tek tjp2 wasf1 wee1 wnk2 zap70 atm atr bmx cdk2 cdkn1a cdkn2a cdkn2c chek1 chek2 clk3 csnk1d "
-    "csnk1e csnk2a1 csnk2a2 csnk2b gsk3b hipk1 hipk2 hipk3 ick ikbkb lrrk2 mapk1 mapk11 mapk14 mapk8 mapkapk5 "
-    "mpp5 mtor nuak1 pbk plk1 prkab2 prkcd ptk2 rb1cc1 skp1 srpk1 stk11 stk4 tk1 tp53 vrk1"
-).split()
+TARGET_GENES = [
+    "akap10", "akap11", "akap12", "akap2", "akap6", "cask", "ccnh", "cdc42bpa", "cdc42bpg", "cdk1", "chuk", "ckb",
+    "cks1b", "cks2", "clk1", "clk2", "fes", "fgfr1", "fgfr2", "fgfr3", "ilkap", "insr", "irak1", "irak2", "irak3",
+    "stk16", "stk24", "stk25", "stk26", "stk36", "stk38", "syk", "tab1", "tab2", "tab3", "taok1", "tbk1", "tek",
+    "tjp2", "wasf1", "wee1", "wnk2", "zap70", "atm", "atr", "bmx", "cdk2", "cdkn1a", "cdkn2a", "cdkn2c", "chek1",
+    "chek2", "clk3", "csnk1d", "csnk1e", "csnk2a1", "csnk2a2", "csnk2b", "gsk3b", "hipk1", "hipk2", "hipk3", "ick",
+    "ikbkb", "lrrk2", "mapk1", "mapk11", "mapk14", "mapk8", "mapkapk5", "mpp5", "mtor", "nuak1", "pbk", "plk1",
+    "prkab2", "prkcd", "ptk2", "rb1cc1", "skp1", "srpk1", "stk11", "stk4", "tk1", "tp53", "vrk1",
+]
 
 
 def guesses(pairs: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def earliest_confirmation(
         .agg(F.min("ref_ts").alias("first_ts"))
     )
     dated = positives.join(dates.select("pmid", "pub_ts"), "pmid", "left")
-    return dated.join(first, ["l", "r"], "left").withColumn(
+    return keyed_join(dated, first, ["l", "r"], "left").withColumn(
         "time_until_verified", F.col("first_ts") - F.col("pub_ts")
     )
 

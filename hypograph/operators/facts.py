@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import keyed_join
+
 
 def fact_refs(facts: DataFrame) -> DataFrame:
     """One row per fact and reference id, lower-cased terms, empty references dropped, no duplicates."""
@@ -29,26 +31,24 @@ def fact_keys(facts: DataFrame) -> DataFrame:
 def known_pairs(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs that are curated facts under any code."""
     keyed = pairs.withColumn("l", F.lower("l")).withColumn("r", F.lower("r"))
-    return keyed.join(fact_keys(facts), ["l", "r"])
+    return keyed_join(keyed, fact_keys(facts), ["l", "r"])
 
 
 def tag_facts(pairs: DataFrame, facts: DataFrame, codes=(1, 2), with_refs: bool = False) -> DataFrame:
     """Mark every pair of the given codes that is a curated fact; the others stay unmarked.
 
-    ``with_refs`` adds the reference list of the fact row that has the most references. It is one list
-    as read, never a growing union; all references of a fact are rows of ``fact_refs``.
+    ``with_refs`` adds all references of the fact, distinct and sorted, over all its rows. They are gathered
+    per (l, r) before the join; as rows they are in ``fact_refs``.
     """
     keys = fact_keys(facts)
     if with_refs:
-        richest = facts.groupBy(F.lower("l").alias("l"), F.lower("r").alias("r")).agg(
-            F.count("*").alias("n_facts"), F.max(F.struct(F.size("refs").alias("n"), "refs")).alias("best")
-        )
-        keys = richest.select("l", "r", "n_facts", F.col("best.refs").alias("refs"))
-    tagged = pairs.join(keys, ["l", "r"], "left")
+        refs = fact_refs(facts).groupBy("l", "r").agg(F.sort_array(F.collect_set("pmid")).alias("refs"))
+        keys = keys.join(refs, ["l", "r"], "left")
     known = F.col("n_facts").isNotNull() & F.col("code").isin(list(codes))
-    out = tagged.withColumn("fact", known)
+    out = keyed_join(pairs, keys, ["l", "r"], "left").withColumn("fact", known)
     if with_refs:
-        out = out.withColumn("refs", F.when(known, F.col("refs")).otherwise(F.expr("cast(array() as array<string>)")))
+        none = F.expr("cast(array() as array<string>)")
+        out = out.withColumn("refs", F.when(known, F.coalesce("refs", none)).otherwise(none))
     return out.drop("n_facts")
 
 
@@ -59,7 +59,7 @@ def pair_support(pairs: DataFrame, refs: DataFrame) -> DataFrame:
     times gives one row per pair, not one per pair and reference.
     """
     support = refs.groupBy("l", "r").agg(F.countDistinct("pmid").alias("n_refs"), F.min("pmid").alias("first_ref"))
-    return pairs.join(support, ["l", "r"])
+    return keyed_join(pairs, support, ["l", "r"])
 
 
 def fact_counts(tagged: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import keyed_join
+
 
 def trim_uri(uri: Column) -> Column:
     """The last two path parts of a ``<http://...>`` reference, anything else unchanged."""
@@ -62,16 +64,16 @@ def edge_motif(graph_edges: DataFrame, pattern: str) -> DataFrame:
     return edges_like(graph_edges, pattern)
 
 
-def two_hop_counts(graph_edges: DataFrame) -> DataFrame:
-    """Number of paths ``(x)-[e1]->(m)-[e2]->(y)`` per (x, y).
+def two_hop_counts(graph_edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Number of paths ``(x)-[e1]->(m)-[e2]->(y)`` per (x, y), for the given ``starts`` (id).
 
-    Parallel edges are counted before the join, so a hub with a third of all edges meets only distinct
-    neighbours.
+    Parallel edges are counted before the join. A hub meets the given starts only, not all its neighbours.
     """
-    first = graph_edges.groupBy("src", F.col("dst").alias("mid")).agg(F.count("*").alias("n1"))
+    first = keyed_join(graph_edges, starts.select(F.col("id").alias("src")).distinct(), ["src"], "left_semi")
+    first = first.groupBy("src", F.col("dst").alias("mid")).agg(F.count("*").alias("n1"))
     second = graph_edges.groupBy(F.col("src").alias("mid"), "dst").agg(F.count("*").alias("n2"))
     return (
-        first.join(second, "mid")
+        keyed_join(second, first, ["mid"])
         .groupBy("src", "dst")
         .agg(F.sum(F.col("n1") * F.col("n2")).alias("n_paths"))
     )

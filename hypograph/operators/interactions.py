@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import keyed_join
 from .vocab import STOP_KINASES, union_terms
 
+# Accession of the target and the form of a name in the export.
 TARGET = "uniprotkb:P04637"
 SYNONYM = r"(?i).*:([\w ]+)\(.*\)$"
 
@@ -45,8 +47,8 @@ def kinase_vocabulary(
 
 def interaction_facts(pairs: DataFrame, interactions: DataFrame, target: str = TARGET) -> DataFrame:
     """Found pairs whose left term names a partner of the target, with the interaction's reference."""
-    names = partner_names(interactions, target, "a").distinct()
-    return pairs.join(names.select(F.col("name").alias("l"), F.col("pmid").alias("ref_pmid")), "l")
+    names = partner_names(interactions, target, "a").select(F.col("name").alias("l"), F.col("pmid").alias("ref_pmid"))
+    return keyed_join(pairs, names.distinct(), ["l"])
 
 
 def found_before(
@@ -54,13 +56,14 @@ def found_before(
 ) -> DataFrame:
     """Pairs in an article older than a reference that published the interaction, with ``ref_ts``, distinct.
 
-    The references of a name are reduced to their distinct dates before the join, so a much published
-    interaction is as long as the calendar.
+    The dates of a name's references are one sorted array, as long as the calendar, so a pair meets one row
+    and takes the dates after its own.
     """
     dates = (
         partner_names(interactions, target, "a")
         .join(pmid_date.select("pmid", F.col("pub_ts").alias("ref_ts")), "pmid")
-        .select(F.col("name").alias("l"), "ref_ts")
-        .distinct()
+        .groupBy(F.col("name").alias("l"))
+        .agg(F.sort_array(F.collect_set("ref_ts")).alias("_dates"))
     )
-    return pairs.join(dates, "l").filter(F.col(date) < F.col("ref_ts")).distinct()
+    later = F.filter("_dates", lambda ref: ref > F.col(date))
+    return keyed_join(pairs, dates, ["l"]).withColumn("ref_ts", F.explode(later)).drop("_dates").distinct()

@@ -6,188 +6,123 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .sizing import small_side, written
+from ..functions.arrays import merge_marks, sums_before
+from .sizing import keyed_join, small_side, written
 
 COORDS = ["doc_pos", "para_pos", "sent_pos"]
 
 
-def tokens(sents: DataFrame, id_col: str = "article_id") -> DataFrame:
-    """Cleaned tokens with their position number inside the sentence."""
-    return (
-        sents.select(
-            id_col, "para_pos", "sent_pos", F.posexplode(tx.token_split(F.col("text"))).alias("tok_pos", "raw")
-        )
-        .withColumn("token", tx.trim_token(F.col("raw")))
-        .filter(F.col("token") != "")
-        .drop("raw")
+def _words(sents: DataFrame, id_col: str, token: Column) -> DataFrame:
+    """Words with their offset ``at`` in the sentence, and the tokens that ``token`` makes of the same words."""
+    words = tx.word_split(F.col("text"))
+    placed = sents.select(
+        id_col,
+        "para_pos",
+        "sent_pos",
+        "offset",
+        "text",
+        words.alias("raw"),
+        token.alias("token"),
+        sums_before(F.transform(words, lambda w: F.length(w) + 1)).alias("at"),
     )
+    return placed.select(
+        id_col, "para_pos", "sent_pos", "offset", "text", F.size("raw").alias("n"), F.posexplode(F.arrays_zip("raw", "token", "at")).alias("i", "w")
+    ).select(id_col, "para_pos", "sent_pos", "offset", "text", "n", "i", "w.*")
 
 
-def _words(sents: DataFrame, id_col: str, split: Column) -> DataFrame:
-    return sents.select(id_col, "para_pos", "sent_pos", "offset", "text", F.posexplode(split).alias("i", "raw"))
-
-
-def single_word_mentions(
-    sents: DataFrame, vocab: DataFrame, id_col: str = "article_id", strip_punct: bool = False
-) -> DataFrame:
-    """Tokens equal to a one-word term; every repeat is its own mention at its own offset.
+def tokens(sents: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """Cleaned tokens with their position number inside the sentence."""
+    return sents.select(
+        id_col, "para_pos", "sent_pos", F.posexplode(tx.token_split(F.col("text"))).alias("tok_pos", "token")
+    ).filter(F.col("token") != "")
 
-    With a vocabulary measured as small the offset is computed for matched tokens only; otherwise it
-    is computed first, so that the shuffle carries numbers and not the sentence text.
-    """
-    terms, is_small = small_side(vocab.filter(~F.col("term").contains(" ")).select("cat", "term"))
-    token = tx.trim_token(F.col("raw"))
-    if strip_punct:
-        token = tx.strip_punctuation(token)
-    words = _words(sents, id_col, tx.token_split(F.col("text"))).withColumn("token", token)
-    position = (F.col("offset") + tx.token_offset(F.col("text"), F.col("i"))).alias("doc_pos")
-    keep = [id_col, "para_pos", "sent_pos"]
-    if is_small:
-        hits = words.join(terms, F.col("token") == F.col("term"))
-        return hits.select(id_col, "cat", F.col("term").alias("word"), position, "para_pos", "sent_pos")
-    placed = words.select(*keep, "token", position)
-    hits = placed.join(terms, F.col("token") == F.col("term"))
-    return hits.select(id_col, "cat", F.col("term").alias("word"), "doc_pos", "para_pos", "sent_pos")
 
+def _several(term: Column) -> Column:
+    return tx.blanks_only(term).contains(" ")
 
-def _multi_terms(vocab: DataFrame) -> DataFrame:
-    return (
-        vocab.filter(F.col("term").contains(" "))
-        .select("cat", "term")
-        .withColumn("key", tx.lead_key(F.col("term")))
-        .withColumn("lead", tx.lead_width(F.col("term")))
-    )
 
+def _matches(words: DataFrame, vocab: DataFrame, own: list[str], one_word: Column) -> DataFrame:
+    """Words that begin a term, as rows of ``own`` columns with cat, term and ``start`` in the sentence.
 
-def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id") -> DataFrame:
-    """Every occurrence (also overlapping) of a several-word term that starts at a word start.
+    One rule for vocabularies of any size. A one-word term equals the token (where ``one_word`` allows it). A
+    several-word term is met at a word with the same first word, punctuation in front of it left out on both
+    sides, and is then compared with the text from there, any white space counting as a blank. A term without
+    a letter or digit is never met.
 
-    Candidates come from an equi-join on the first word; the whole term is then verified in place.
+    With a vocabulary measured as small the text stays in its row. Otherwise a word takes along as much text
+    as the longest term needs, and the words are spread over salts, since most of them match nothing.
     """
-    terms = _multi_terms(vocab)
+    terms = vocab.select("cat", "term", tx.blanks_only(F.col("term")).alias("wanted"))
+    terms = terms.withColumn("several", _several(F.col("term")))
+    terms = terms.withColumn("probe", F.when(F.col("several"), tx.lead_key(F.col("term"))).otherwise(F.col("term")))
+    terms = terms.withColumn("lead", F.when(F.col("several"), tx.lead_width(F.col("term"))).otherwise(0)).filter("probe != ''")
+    has_one, has_several, longest = terms.agg(F.bool_or(~F.col("several")), F.bool_or("several"), F.max(F.length("term"))).first()
+    keys = [F.struct(F.col("token").alias("probe"), F.lit(False).alias("several"))] if has_one else []
+    keys += [F.struct(tx.lead_key(F.col("raw")).alias("probe"), F.lit(True).alias("several"))] if has_several else []
+    probes = words.withColumn("usable", one_word)
+    if keys:
+        probes = probes.withColumn("key", F.explode(F.array(*keys))).select("*", "key.*").drop("key")
+    else:
+        probes = probes.withColumns({"probe": F.lit(""), "several": F.lit(False)})
+    probes = probes.filter((F.col("probe") != "") & (F.col("several") | F.col("usable")))
+    lead = tx.lead_width(F.col("raw"))
+    rest = tx.blanks_only(F.col("text").substr(F.col("at") + 1, lead + F.lit(longest or 0)))
     side, is_small = small_side(terms)
-    words = (
-        _words(sents, id_col, F.split("text", " "))
-        .withColumn("word_key", tx.lead_key(F.col("raw")))
-        .filter(F.col("word_key") != "")
-    )
-    # Start of the word without its leading punctuation.
-    start = tx.token_offset(F.col("text"), F.col("i")) + tx.lead_width(F.col("raw"))
     if is_small:
-        hits = words.join(side, F.col("word_key") == F.col("key")).withColumn("start", start - F.col("lead"))
-        found = F.col("text").substr(F.col("start") + 1, F.length("term")) == F.col("term")
-        hits = hits.filter((F.col("start") >= 0) & found)
+        hits = probes.join(side, ["probe", "several"]).withColumns({"own_lead": lead, "rest": rest})
     else:
-        # The shuffle carries only as much text behind each word as the longest term needs.
-        longest = terms.agg(F.max(F.length("term"))).scalar()
-        placed = words.select(
-            id_col,
-            "para_pos",
-            "sent_pos",
-            "offset",
-            "word_key",
-            start.alias("at"),
-            tx.lead_width(F.col("raw")).alias("own_lead"),
-            F.col("text")
-            .substr(start - tx.lead_width(F.col("raw")) + 1, tx.lead_width(F.col("raw")) + longest)
-            .alias("rest"),
-        )
-        hits = placed.join(side, F.col("word_key") == F.col("key")).withColumn("start", F.col("at") - F.col("lead"))
-        found = F.col("rest").substr(F.col("own_lead") - F.col("lead") + 1, F.length("term")) == F.col("term")
-        hits = hits.filter((F.col("own_lead") >= F.col("lead")) & found)
-    return hits.select(
-        id_col,
-        "cat",
-        F.col("term").alias("word"),
-        (F.col("offset") + F.col("start")).alias("doc_pos"),
-        "para_pos",
-        "sent_pos",
-    )
+        slim = probes.withColumns({"own_lead": lead, "rest": F.when(F.col("several"), rest)})
+        hits = keyed_join(slim.select(*own, "at", "probe", "several", "own_lead", "rest"), terms, ["probe", "several"])
+    shift = F.col("own_lead") - F.col("lead")
+    found = (shift >= 0) & (F.col("rest").substr(shift + 1, F.length("wanted")) == F.col("wanted"))
+    hits = hits.filter(~F.col("several") | found)
+    return hits.select(*own, "cat", "term", (F.col("at") + F.when(F.col("several"), shift).otherwise(0)).alias("start"))
 
 
 def mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id", strip_punct: bool = False) -> DataFrame:
     """All mentions of all categories, one-word and several-word terms, from one reading of the text.
 
-    With a vocabulary measured as small every word is looked up under its cleaned form and under its
-    first-word key, which are mostly the same, and the hit is verified. Otherwise both ways run apart.
+    Every repeat and every overlapping occurrence is a mention at its own offset. One-word terms equal a token,
+    several-word terms start at a word start (see ``_matches``).
     """
-    single = vocab.filter(~F.col("term").contains(" ")).select(
-        "cat", "term", F.col("term").alias("key"), F.lit(None).cast("int").alias("lead")
-    )
-    side, is_small = small_side(single.unionByName(_multi_terms(vocab)))
-    if not is_small:
-        return single_word_mentions(sents, vocab, id_col, strip_punct).unionByName(
-            multi_word_mentions(sents, vocab, id_col)
-        )
-    bare = F.replace(F.replace(F.col("raw"), F.lit("."), F.lit("")), F.lit("/"), F.lit(""))
-    token = tx.trim_token(bare)
+    token = tx.token_split(F.col("text"))
     if strip_punct:
-        token = tx.strip_punctuation(token)
-    words = (
-        _words(sents, id_col, F.split("text", " "))
-        .withColumn("token", token)
-        .withColumn("word_key", tx.lead_key(F.col("raw")))
-    )
-    keys = F.when(F.col("token") == F.col("word_key"), F.array("token")).otherwise(F.array("token", "word_key"))
-    probes = words.select(
-        id_col, "para_pos", "sent_pos", "offset", "text", "i", "raw", "token", F.explode(keys).alias("probe")
-    )
-    one_word = F.col("lead").isNull()
-    at = tx.token_offset(F.col("text"), F.col("i"))
-    start = F.when(one_word, at).otherwise(at + tx.lead_width(F.col("raw")) - F.col("lead"))
-    verified = F.when(one_word, F.col("token") == F.col("term")).otherwise(
-        (F.col("start") >= 0) & (F.col("text").substr(F.col("start") + 1, F.length("term")) == F.col("term"))
-    )
-    # A one-word term is met under the token only, a several-word term under the first-word key only.
-    own_probe = F.when(one_word, F.col("probe") == F.col("token")).otherwise(
-        F.col("probe") == tx.lead_key(F.col("raw"))
-    )
-    hits = probes.join(side, F.col("probe") == F.col("key")).withColumn("start", start).filter(own_probe & verified)
+        token = F.transform(token, tx.strip_punctuation)
+    own = [id_col, "para_pos", "sent_pos", "offset"]
+    hits = _matches(_words(sents, id_col, token), vocab, own, F.lit(True))
     return hits.select(
-        id_col,
-        "cat",
-        F.col("term").alias("word"),
-        (F.col("offset") + F.col("start")).alias("doc_pos"),
-        "para_pos",
-        "sent_pos",
+        id_col, "cat", F.col("term").alias("word"), (F.col("offset") + F.col("start")).alias("doc_pos"), "para_pos", "sent_pos"
     )
 
 
+def single_word_mentions(
+    sents: DataFrame, vocab: DataFrame, id_col: str = "article_id", strip_punct: bool = False
+) -> DataFrame:
+    """Tokens equal to a one-word term; every repeat is its own mention at its own offset."""
+    return mentions(sents, vocab.filter(~_several(F.col("term"))), id_col, strip_punct)
+
+
+def multi_word_mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """Every occurrence (also overlapping) of a several-word term that starts at a word start."""
+    return mentions(sents, vocab.filter(_several(F.col("term"))), id_col)
+
+
 def padded_mentions(
     sents: DataFrame, vocab: DataFrame, id_col: str = "article_id", min_length: int = 3
 ) -> DataFrame:
-    """First hit per sentence and term: `` term `` between blanks, several-word terms as written.
+    """First hit per sentence and term: one-word terms between white space, several-word terms at a word start.
 
     Dots count as blanks, so the position of a one-word term is that of the blank in front of it.
-    Every distinct word of a sentence is looked up once, inside the sentence's row.
     """
-    terms, _ = small_side(
-        vocab.filter(F.length("term") >= min_length)
-        .select("cat", "term")
-        .withColumn("key", F.substring_index("term", " ", 1))
-    )
+    terms = vocab.filter(F.length("term") >= min_length)
     spaced = sents.withColumn("text", tx.dots_to_blanks(F.col("text")))
-    words = spaced.select(
-        id_col,
-        "para_pos",
-        "sent_pos",
-        "offset",
-        "text",
-        F.explode(F.array_distinct(F.split("text", " "))).alias("word"),
-    ).filter(F.col("word") != "")
-    pattern = F.when(F.col("term").contains(" "), F.col("term")).otherwise(
-        F.concat(F.lit(" "), F.col("term"), F.lit(" "))
-    )
-    hits = words.join(terms, F.col("word") == F.col("key")).withColumn(
-        "pos", F.call_function("instr", F.col("text"), pattern)
-    )
-    return hits.filter(F.col("pos") > 0).select(
-        id_col,
-        "cat",
-        F.col("term").alias("word"),
-        (F.col("offset") + F.col("pos") - 1).alias("doc_pos"),
-        "para_pos",
-        "sent_pos",
+    words = _words(spaced, id_col, tx.word_split(F.col("text")))
+    own = [id_col, "para_pos", "sent_pos", "offset"]
+    hits = _matches(words, terms, own, (F.col("i") > 0) & (F.col("i") < F.col("n") - 1))
+    start = F.col("start") - F.when(_several(F.col("term")), 0).otherwise(1)
+    first = hits.groupBy(*own, "cat", "term").agg(F.min(start).alias("start"))
+    return first.select(
+        id_col, "cat", F.col("term").alias("word"), (F.col("offset") + F.col("start")).alias("doc_pos"), "para_pos", "sent_pos"
     )
 
 
@@ -199,9 +134,9 @@ def drop_noise(found: DataFrame, word: str = "word") -> DataFrame:
 def concept_ids(found: DataFrame, dictionary: DataFrame, word: str = "word") -> DataFrame:
     """Attach the concept id of a name, ``-1`` if the dictionary (key, concept_id) has none."""
     keyed = found.withColumn("_key", tx.name_key(F.col(word)))
-    ids, _ = small_side(dictionary.select(F.col("key").alias("_key"), "concept_id"))
+    ids = dictionary.select(F.col("key").alias("_key"), "concept_id")
     return (
-        keyed.join(ids, "_key", "left")
+        keyed_join(keyed, ids, ["_key"], "left")
         .withColumn("concept_id", F.coalesce(F.col("concept_id"), F.lit("-1")))
         .drop("_key")
     )
@@ -210,8 +145,8 @@ def concept_ids(found: DataFrame, dictionary: DataFrame, word: str = "word") ->
 def canonical_tokens(toks: DataFrame, synonyms: DataFrame, english: DataFrame, token: str = "token") -> DataFrame:
     """Replace a synonym by its canonical name unless it is a word of the given word list."""
     usable = synonyms.join(english.select(F.col("word").alias("synonym")), "synonym", "left_anti")
-    known, _ = small_side(usable.select(F.col("synonym").alias(token), "canonical"))
-    return toks.join(known, token, "left").withColumn(
+    known = usable.select(F.col("synonym").alias(token), "canonical")
+    return keyed_join(toks, known, [token], "left").withColumn(
         "canonical", F.coalesce(F.col("canonical"), F.col(token))
     )
 
@@ -264,7 +199,7 @@ def join_phrases(corpus: DataFrame, phrases: DataFrame, key_cols: list[str]) ->
     """Merge scored phrases greedily from the left: ``a b`` becomes ``a_b``; a merged word is not reused.
 
     The phrases that occur in a sentence are found by an equi-join on its adjacent pairs and gathered
-    per sentence, so the work stays within the sentence.
+    per sentence; where phrases overlap, one pass over their places decides.
     """
     last = F.greatest(F.size("tokens") - 1, F.lit(0))
     neighbours = F.zip_with(
@@ -276,29 +211,13 @@ def join_phrases(corpus: DataFrame, phrases: DataFrame, key_cols: list[str]) ->
         *key_cols, "i", "g.w1", "g.w2"
     )
     hits = (
-        adjacent.join(phrases.select("w1", "w2"), ["w1", "w2"])
+        keyed_join(adjacent, phrases.select("w1", "w2"), ["w1", "w2"], "left_semi")
         .groupBy(*key_cols)
         .agg(F.collect_set("i").alias("starts"))
     )
-    merged = F.aggregate(
-        F.sequence(F.lit(0), F.size("tokens") - 1),
-        F.expr("struct(cast(array() as array<string>) as out, -1 as skip)"),
-        lambda acc, i: F.when(acc["skip"] == i, acc).otherwise(
-            F.when(
-                F.array_contains(F.col("starts"), i),
-                F.struct(
-                    F.array_append(
-                        acc["out"], F.concat(F.get("tokens", i), F.lit("_"), F.get("tokens", i + 1))
-                    ).alias("out"),
-                    (i + 1).alias("skip"),
-                ),
-            ).otherwise(
-                F.struct(F.array_append(acc["out"], F.get("tokens", i)).alias("out"), acc["skip"].alias("skip"))
-            )
-        ),
-        lambda acc: acc["out"],
+    marked = corpus.join(hits, key_cols, "left").withColumn("marks", merge_marks(F.col("starts"), F.size("tokens")))
+    merged = F.transform(
+        "tokens",
+        lambda t, i: F.when(F.get("marks", i) == 1, F.concat(t, F.lit("_"), F.get("tokens", i + 1))).when(F.get("marks", i) == 0, t),
     )
-    joined = corpus.join(hits, key_cols, "left")
-    return joined.withColumn(
-        "tokens", F.when(F.col("starts").isNull() | (F.size("tokens") == 0), F.col("tokens")).otherwise(merged)
-    ).drop("starts")
+    return marked.withColumn("tokens", F.filter(merged, lambda t: t.isNotNull())).drop("starts", "marks")

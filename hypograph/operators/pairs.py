@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,9 +64,16 @@ def cooccurrences(
     code = F.lit(None).cast("int")
     for number, left, right in combos:
         code = F.when((F.col("a.cat") == left) & (F.col("b.cat") == right), F.lit(number)).otherwise(code)
+    def fits(x):
+        """Whether a right mention can be the partner of ``a``: decided inside the row, before pairs are made."""
+        wanted = F.lit(False)
+        for _, left, right in combos:
+            wanted = wanted | ((F.col("a.cat") == left) & (x["cat"] == right))
+        return (F.abs(F.col("a.doc_pos") - x["doc_pos"]) < threshold) & wanted
+
     raw = (
         blocks.select(id_col, F.explode("lefts").alias("a"), "rights")
-        .select(id_col, "a", F.explode("rights").alias("b"))
+        .select(id_col, "a", F.explode(F.filter("rights", fits)).alias("b"))
         .withColumn("code", code)
         .withColumn("doc_dist", F.abs(F.col("a.doc_pos") - F.col("b.doc_pos")))
         .filter(F.col("code").isNotNull() & (F.col("doc_dist") < threshold))
@@ -91,6 +98,11 @@ def cooccurrences(
     )
 
 
+def pair_id(id_col: str = "article_id") -> Column:
+    """Row id of a pair, from the columns that identify it."""
+    return F.xxhash64(id_col, "code", "l", "r")
+
+
 def shortest_pairs(pairs: DataFrame, id_col: str = "article_id") -> DataFrame:
     """One pair per (article, code, l, r): the closest, ties by left then right position."""
     best = F.min(F.struct("uber_dist", "l_pos", "r_pos", "doc_dist", "para_dist", "sent_dist"))
@@ -130,37 +142,24 @@ def _greedy_picks(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([picks(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
 
 
-def match_one_to_one(pairs: DataFrame, id_col: str = "article_id", fold_limit: int = 200) -> DataFrame:
+def match_one_to_one(pairs: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Take the closest pair, drop all pairs sharing its left or right position, repeat.
 
-    A group is the pairs of two words in one article. It is folded in rank order; the fold searches the
-    pairs it has kept, which is quick for the usual few. A group of more than ``fold_limit`` pairs is
-    matched with sets of used positions instead, in linear time, with the same result.
+    Pairs of two words in one article fall into stretches of text that no pair reaches across; each stretch
+    is matched alone, in linear time, so a group is as long as a stretch and not as the article.
     """
     key = [id_col, "code", "l", "r"]
+    low, high = F.least("l_pos", "r_pos"), F.greatest("l_pos", "r_pos")
+    ahead = Window.partitionBy(*key).orderBy("_low")
+    reached = F.max("_high").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    spans = pairs.withColumns({"_low": low, "_high": high})
+    opened = spans.withColumn("_new", F.coalesce(F.col("_low") > reached, F.lit(True)).cast("int"))
+    stretched = opened.withColumn("_stretch", F.sum("_new").over(ahead.rangeBetween(Window.unboundedPreceding, 0)))
     item = F.struct("doc_dist", "l_pos", "r_pos", "para_dist", "sent_dist", "uber_dist")
-    # One explicit shuffle, which both branches below read.
-    ranked = pairs.repartition(*key).groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("ranked"))
-    fold = F.aggregate(
-        "ranked",
-        F.slice("ranked", 1, 0),
-        lambda acc, e: F.when(
-            F.exists(acc, lambda k: (k["l_pos"] == e["l_pos"]) | (k["r_pos"] == e["r_pos"])), acc
-        ).otherwise(F.array_append(acc, e)),
-    )
-    # The guard is part of the expression, as the optimizer may evaluate it ahead of the filter.
-    is_short = F.size("ranked") <= fold_limit
-    short = ranked.filter(is_short).select(
-        *key, F.when(F.size("ranked") == 1, F.col("ranked")).when(is_short, fold).alias("kept")
-    )
+    ranked = stretched.groupBy(*key, "_stretch").agg(F.sort_array(F.collect_list(item)).alias("ranked"))
     picks = _greedy_picks(F.transform("ranked", lambda e: e["l_pos"]), F.transform("ranked", lambda e: e["r_pos"]))
-    long = (
-        ranked.filter(~is_short)
-        .withColumn("picks", picks)
-        .select(*key, F.transform("picks", lambda i: F.get("ranked", i)).alias("kept"))
-    )
-    # Never empty; the outer form keeps the optimizer from evaluating the fold once more as a filter.
-    return short.unionByName(long).select(*key, F.explode_outer("kept").alias("x")).select(*key, "x.*")
+    kept = ranked.withColumn("picks", picks).select(*key, F.explode(F.transform("picks", lambda i: F.get("ranked", i))).alias("x"))
+    return kept.select(*key, "x.*")
 
 
 def unordered(pairs: DataFrame, code: int = 4) -> DataFrame:

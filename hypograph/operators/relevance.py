@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import keyed_join
+
 FEATURES = ["para_dist", "sent_dist", "doc_dist"]
 
 
@@ -16,10 +18,10 @@ def labelled(pairs: DataFrame, fact: str = "fact") -> DataFrame:
     return pairs.withColumn("label", F.col(fact).cast("double"))
 
 
-def fit_relevance(train: DataFrame, features: list[str] | None = None, max_iter: int = 100) -> PipelineModel:
+def fit_relevance(train: DataFrame, features: list[str] | None = None, max_iter: int = 100, tolerance: float = 1e-6) -> PipelineModel:
     """Logistic regression of ``label`` on the pair distances."""
     assembler = VectorAssembler(inputCols=features or FEATURES, outputCol="features")
-    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter)
+    model = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, tol=tolerance)
     return Pipeline(stages=[assembler, model]).fit(train)
 
 
@@ -42,21 +44,22 @@ def pair_scores(scored: DataFrame, code: int) -> DataFrame:
     return scored.filter(F.col("code") == code).groupBy("l", "r").agg(F.max("p").alias("p"))
 
 
-def hypotheses(ab: DataFrame, bc: DataFrame) -> DataFrame:
-    """A-B scores and B-C scores joined on B, ranked by the product of the two."""
+def chains(ab: DataFrame, bc: DataFrame) -> DataFrame:
+    """A-B scores and B-C scores joined on B, with the product of the two; a B with many A and C is spread."""
     left = ab.select(F.col("l").alias("a"), F.col("r").alias("b"), F.col("p").alias("p_ab"))
     right = bc.select(F.col("l").alias("b"), F.col("r").alias("c"), F.col("p").alias("p_bc"))
-    return (
-        left.join(right, "b")
-        .select("a", "b", "c", (F.col("p_ab") * F.col("p_bc")).alias("score"))
-        .orderBy(F.desc("score"), "a", "b", "c")
-    )
+    return keyed_join(left, right, ["b"]).select("a", "b", "c", (F.col("p_ab") * F.col("p_bc")).alias("score"))
+
+
+def hypotheses(ab: DataFrame, bc: DataFrame) -> DataFrame:
+    """Chains in order of their score."""
+    return chains(ab, bc).orderBy(F.desc("score"), "a", "b", "c")
 
 
-def ranked_hypotheses(pairs: DataFrame, max_iter: int = 100) -> DataFrame:
-    """One model per list (A-B and B-C) on its own labelled pairs, then the ranked chains."""
+def ranked_hypotheses(train: DataFrame, pairs: DataFrame, max_iter: int = 100) -> DataFrame:
+    """One model per list (A-B and B-C), fitted on ``train``, then the ranked chains of ``pairs``."""
     scores = []
     for code in (1, 2):
-        own = labelled(pairs.filter(F.col("code") == code))
-        scores.append(pair_scores(score(fit_relevance(own, max_iter=max_iter), own), code))
+        model = fit_relevance(labelled(train.filter(F.col("code") == code)), max_iter=max_iter)
+        scores.append(pair_scores(score(model, pairs.filter(F.col("code") == code)), code))
     return hypotheses(*scores)

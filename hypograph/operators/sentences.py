@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import sums_before
 from ..functions.text import clean_ascii, corpus_tokens, split_sentences
 
 
@@ -13,33 +14,12 @@ def prepared_paragraphs(paragraphs: Column) -> Column:
     return F.transform(paragraphs, lambda p: F.lower(clean_ascii(p)))
 
 
-def _running(items: Column, chars, sents) -> Column:
-    """Prefix sums over an array: for every item the characters and sentences before it."""
-    start = F.struct(
-        F.lit(0).alias("chars"),
-        F.lit(0).alias("sents"),
-        F.expr("cast(array() as array<struct<chars:int,sents:int>>)").alias("before"),
-    )
-    return F.aggregate(
-        items,
-        start,
-        lambda acc, x: F.struct(
-            (acc["chars"] + chars(x)).alias("chars"),
-            (acc["sents"] + sents(x)).alias("sents"),
-            F.array_append(
-                acc["before"], F.struct(acc["chars"].alias("chars"), acc["sents"].alias("sents"))
-            ).alias("before"),
-        ),
-        lambda acc: acc["before"],
-    )
-
-
 def sentences(articles: DataFrame, id_col: str = "article_id", paragraphs: str = "paragraphs") -> DataFrame:
     """Sentences of every article: (id, para_pos, sent_pos, offset, text, para_sents).
 
     ``offset`` counts characters from the article start, ``sent_pos`` runs through the whole article,
     ``para_sents`` is the number of sentences of the paragraph. Everything is computed inside the
-    article's own row, so the text is never shuffled.
+    article's own row, so the text is never shuffled; running sums see the lengths only.
     """
     split = articles.select(
         id_col,
@@ -48,56 +28,34 @@ def sentences(articles: DataFrame, id_col: str = "article_id", paragraphs: str =
     based = split.select(
         id_col,
         "paras",
-        _running(
-            F.col("paras"),
-            lambda p: F.length(F.array_join(p, "")),
-            lambda p: F.size(p),
-        ).alias("bases"),
+        sums_before(F.transform("paras", lambda p: F.length(F.array_join(p, "")))).alias("chars"),
+        sums_before(F.transform("paras", lambda p: F.size(p))).alias("sents"),
     )
-    by_para = based.select(
-        id_col,
-        F.posexplode(F.arrays_zip("paras", "bases")).alias("para_pos", "p"),
-    ).select(id_col, "para_pos", F.col("p.paras").alias("sents"), F.col("p.bases").alias("base"))
-    inner = by_para.select(
-        id_col,
-        "para_pos",
-        "sents",
-        "base",
-        _running(F.col("sents"), lambda s: F.length(s), lambda s: F.lit(1)).alias("inner"),
+    by_para = based.select(id_col, F.posexplode(F.arrays_zip("paras", "chars", "sents")).alias("para_pos", "p")).select(
+        id_col, "para_pos", F.col("p.paras").alias("own"), F.col("p.chars").alias("chars"), F.col("p.sents").alias("sents")
     )
+    inner = by_para.withColumn("before", sums_before(F.transform("own", lambda s: F.length(s))))
     flat = inner.select(
         id_col,
         "para_pos",
-        "base",
-        F.size("sents").alias("para_sents"),
-        F.explode(F.arrays_zip("sents", "inner")).alias("s"),
+        "chars",
+        "sents",
+        F.size("own").alias("para_sents"),
+        F.posexplode(F.arrays_zip("own", "before")).alias("j", "s"),
     )
     return flat.select(
         id_col,
         "para_pos",
-        (F.col("base.sents") + F.col("s.inner.sents")).alias("sent_pos"),
-        (F.col("base.chars") + F.col("s.inner.chars")).alias("offset"),
-        F.col("s.sents").alias("text"),
+        (F.col("sents") + F.col("j")).alias("sent_pos"),
+        (F.col("chars") + F.col("s.before")).alias("offset"),
+        F.col("s.own").alias("text"),
         "para_sents",
     )
 
 
-def article_text(
-    lines: DataFrame, id_col: str = "article_id", order_col: str = "para_pos", text_col: str = "text"
-) -> DataFrame:
-    """Paragraph rows back to one text per article, joined by newline.
-
-    One article has to fit in one row, as everywhere in the data model.
-    """
-    return lines.groupBy(id_col).agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct(order_col, text_col))),
-                lambda x: x[text_col],
-            ),
-            "\n",
-        ).alias("raw")
-    )
+def article_text(articles: DataFrame, id_col: str = "article_id", paragraphs: str = "paragraphs") -> DataFrame:
+    """Paragraphs of every article as one text (id, raw), joined by newline, inside the article's row."""
+    return articles.select(id_col, F.array_join(paragraphs, "\n").alias("raw"))
 
 
 def token_corpus(sents: DataFrame, min_sentences: int = 0, id_col: str = "article_id") -> DataFrame:

@@ -1,25 +1,32 @@
-"""Measured broadcasts and shared scratch folders."""
+"""Measured broadcasts, joins on skewed keys, and the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
+JOIN_SALTS = 16
+
+
+def _width(field: T.StructField):
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(field.dataType, T.ArrayType | T.MapType | T.StructType):
+        return F.octet_length(F.to_json(F.struct(column)))
+    return F.lit(16)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a side: the count stops at ``max_rows + 1``, so a large side costs little to reject."""
     width = F.lit(0)
     for field in df.schema.fields:
-        if field.dataType.simpleString() == "string":
-            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-        else:
-            width = width + F.lit(16)
+        width = width + _width(field)
     seen = df.select(width.alias("w")).limit(max_rows + 1)
     rows, size = seen.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     return rows <= max_rows and size <= max_bytes
@@ -32,36 +39,37 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
     return df, False
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder shared by all executors.
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = JOIN_SALTS) -> DataFrame:
+    """``left`` joined with ``right`` on columns of the same names, where keys of ``left`` may be hot.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where nothing is set, as in local
-    tests, a temporary folder is made and set.
+    ``right`` is broadcast if it was measured as small. Otherwise the rows of a key of ``left`` are spread over
+    ``salts`` groups and ``right`` is repeated for each, so no key meets in one task. For inner, left, semi
+    and anti joins; the result is the same either way.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="hypograph-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    side, is_small = small_side(right)
+    if is_small:
+        return left.join(side, on, how)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    return left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core work when a source has fewer read splits than the cluster has cores.
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder shared by all executors.
 
-    A large source has far more splits than cores and passes unchanged, without a shuffle.
+    The cluster names that folder in ``spark.checkpoint.dir``; where it does not, the warehouse is shared as
+    well. There is no other choice: a folder of the driver's own machine would be lost on executors.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from a table in the shared scratch folder.
 
-    Cuts the lineage where several jobs follow on one result; the files outlive lost executors.
+    Cuts the lineage where several jobs follow on one result; the files outlive lost executors. Nothing
+    removes them here: whoever owns the shared folder clears it when the application has ended.
     """
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)

@@ -1,9 +1,10 @@
 """Mention series over time.
 
-A series is all dated mentions of a key. Dates are whole days, so a series is first counted per
-(key, date): that table is as long as the calendar however often a key is mentioned, and all ordered
-windows run on it. Single mentions meet it again in one join on (key, date, salt), where the salt cuts
-mentions of one key on one date into groups; their order is (date, salt, id).
+A series is all dated mentions of a key, in order of date and id. Dates are whole days, so a series is first
+counted per (key, date): that table is as long as the calendar however often a key is mentioned, and all ordered
+windows run on it. Single mentions meet it again in one join on (key, date, part), where the parts are ranges of
+(key, date, id): a key with a third of all mentions is split, even on one date, and the order is the same
+whatever the number of parts.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import PROFILE_BIN_SECONDS, equal_width_bin
+from .sizing import written
 
-SALTS = 32
 # Fixed values: (tenth, weight) of the cumulative counts in the sum of the twice applied gradient of a
 # 10-bin histogram; the total has weight 1.25.
 CURVATURE = [(1, 2.75), (2, -1.75), (3, 0.25), (7, -0.25), (8, 1.75), (9, -2.75)]
@@ -26,45 +27,47 @@ def date_counts(series: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame
     return series.filter(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count("*").alias("n"))
 
 
-def default_salt(id_col: str, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(salts))
+def _parted(series: DataFrame, keys: list[str], ts: str, id_col: str, parts: int | None) -> DataFrame:
+    """Dated mentions with ``part``, the number of their range in the order (key, date, id).
+
+    Written, so that every use sees the same ranges.
+    """
+    dated = series.filter(F.col(ts).isNotNull())
+    order = [*keys, ts, id_col]
+    ranged = dated.repartitionByRange(parts, *order) if parts else dated.repartitionByRange(*order)
+    return written(ranged.withColumn("part", F.spark_partition_id()), "series")
 
 
-def _salt_counts(salted: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    return salted.groupBy(*keys, ts, "salt").agg(F.count("*").alias("n"))
+def _part_counts(parted: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    return parted.groupBy(*keys, ts, "part").agg(F.count("*").alias("n"))
 
 
 def _offsets(per: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Per (key, date, salt): mentions of the key before the group, and before the date."""
-    w = Window.partitionBy(*keys).orderBy(ts, "salt").rowsBetween(Window.unboundedPreceding, -1)
+    """Per (key, date, part): mentions of the key before the group, and before the date."""
+    w = Window.partitionBy(*keys).orderBy(ts, "part").rowsBetween(Window.unboundedPreceding, -1)
     d = Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -1)
     return per.select(
         *keys,
         ts,
-        "salt",
+        "part",
         F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"),
         F.coalesce(F.sum("n").over(d), F.lit(0)).alias("before_date"),
     )
 
 
-def _salted(series: DataFrame, ts: str, id_col: str, salt: Column | None) -> DataFrame:
-    dated = series.filter(F.col(ts).isNotNull())
-    return dated.withColumn("salt", default_salt(id_col) if salt is None else salt)
-
-
-def _numbered(salted: DataFrame, table: DataFrame, keys: list[str], ts: str, id_col: str) -> DataFrame:
+def _numbered(parted: DataFrame, table: DataFrame, keys: list[str], ts: str, id_col: str) -> DataFrame:
     """Mentions with ``seq``, their zero-based number in the key's series."""
-    w = Window.partitionBy(*keys, ts, "salt").orderBy(id_col)
-    return salted.join(table, [*keys, ts, "salt"]).withColumn("seq", F.col("before") + F.row_number().over(w) - 1)
+    w = Window.partitionBy(*keys, ts, "part").orderBy(id_col)
+    return parted.join(table, [*keys, ts, "part"]).withColumn("seq", F.col("before") + F.row_number().over(w) - 1)
 
 
 def mention_series(
-    series: DataFrame, keys: list[str], ts: str = "ts", id_col: str = "id", salt: Column | None = None
+    series: DataFrame, keys: list[str], ts: str = "ts", id_col: str = "id", parts: int | None = None
 ) -> DataFrame:
     """The sorted series of every key as rows (keys, seq, ts, id)."""
-    salted = _salted(series, ts, id_col, salt)
-    table = _offsets(_salt_counts(salted, keys, ts), keys, ts)
-    return _numbered(salted, table, keys, ts, id_col).drop("salt", "before", "before_date")
+    parted = _parted(series, keys, ts, id_col, parts)
+    table = _offsets(_part_counts(parted, keys, ts), keys, ts)
+    return _numbered(parted, table, keys, ts, id_col).drop("part", "before", "before_date")
 
 
 def long_series(series: DataFrame, keys: list[str], min_size: int = 400) -> DataFrame:
@@ -74,11 +77,11 @@ def long_series(series: DataFrame, keys: list[str], min_size: int = 400) -> Data
 
 
 def mention_gaps(
-    series: DataFrame, keys: list[str], ts: str = "ts", id_col: str = "id", salt: Column | None = None
+    series: DataFrame, keys: list[str], ts: str = "ts", id_col: str = "id", parts: int | None = None
 ) -> DataFrame:
     """Time to the next mention of the key; the last mention gets the span back to the first."""
-    salted = _salted(series, ts, id_col, salt)
-    per = _salt_counts(salted, keys, ts)
+    parted = _parted(series, keys, ts, id_col, parts)
+    per = _part_counts(parted, keys, ts)
     w = Window.partitionBy(*keys).orderBy(ts)
     dates = (
         per.groupBy(*keys, ts)
@@ -88,10 +91,10 @@ def mention_gaps(
         .select(*keys, ts, "n", F.abs(F.coalesce("_next", "_first") - F.col(ts)).alias("_step"))
     )
     table = _offsets(per, keys, ts).join(dates, [*keys, ts])
-    numbered = _numbered(salted, table, keys, ts, id_col)
+    numbered = _numbered(parted, table, keys, ts, id_col)
     is_last = F.col("seq") - F.col("before_date") == F.col("n") - 1
     return numbered.withColumn("gap", F.when(is_last, F.col("_step")).otherwise(F.lit(0))).drop(
-        "salt", "before", "before_date", "n", "_step"
+        "part", "before", "before_date", "n", "_step"
     )
 
 
@@ -120,7 +123,7 @@ def frequency_derivative(
     keys: list[str],
     ts: str = "ts",
     id_col: str = "id",
-    salt: Column | None = None,
+    parts: int | None = None,
     first_index: int = 3,
 ) -> DataFrame:
     """Second derivative of the mention frequency before every mention.
@@ -130,8 +133,8 @@ def frequency_derivative(
     counts only, which one running sum over dates and thresholds gives for all mentions: no prefix is
     ever built.
     """
-    salted = _salted(series, ts, id_col, salt)
-    per = _salt_counts(salted, keys, ts)
+    parted = _parted(series, keys, ts, id_col, parts)
+    per = _part_counts(parted, keys, ts)
     w = Window.partitionBy(*keys).orderBy(ts)
     dates = (
         per.groupBy(*keys, ts)
@@ -172,13 +175,13 @@ def frequency_derivative(
     )
     ends = ends.withColumn("prev_end", F.lag("end").over(w)).select(*keys, ts, "base", "prev_end")
     table = _offsets(per, keys, ts).join(ends, [*keys, ts])
-    numbered = _numbered(salted, table, keys, ts, id_col)
+    numbered = _numbered(parted, table, keys, ts, id_col)
     j = F.col("seq") - F.col("before_date")
     deriv = F.when(j == 0, F.col("prev_end")).otherwise(
         F.coalesce(F.col("base") + TOTAL_WEIGHT * j, F.lit(0.0))
     )
     return numbered.withColumn("freq_sec_deriv", F.when(F.col("seq") >= first_index, deriv)).drop(
-        "salt", "before", "before_date", "base", "prev_end"
+        "part", "before", "before_date", "base", "prev_end"
     )
 
 
@@ -335,13 +338,13 @@ def neighbour_windows(
     n: int = 3,
     ts: str = "ts",
     id_col: str = "id",
-    salt: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Full windows of ``n`` neighbours in series order (keys, last_seq, window ARRAY).
 
     Each row is sent to the n windows it belongs to, so a window holds n rows whatever the series' size.
     """
-    numbered = mention_series(series, keys, ts, id_col, salt)
+    numbered = mention_series(series, keys, ts, id_col, parts)
     spread = numbered.select(
         *keys,
         "seq",

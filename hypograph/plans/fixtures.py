@@ -14,10 +14,12 @@ from ..operators import mentions as mt
 from ..operators import pairs as pr
 from ..operators.interactions import TARGET, reference_id
 from ..operators.sentences import sentences
-from ..operators.sizing import spread, written
+from ..operators.sizing import written
 
 WIDE = 1600
 SERIES_KEYS = ["user_id", "event_type"]
+# What stands between words in the wrapped paragraphs.
+WRAPPING = [("d ", "d\n"), ("n t", "n\tt"), (" o", " (o")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +32,7 @@ def pub_date(doc_id="doc_id"):
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: a line is a paragraph."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select(
         F.col("doc_id").alias("article_id"),
         F.split("text", "\n").alias("paragraphs"),
@@ -45,6 +47,17 @@ def article_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(articles(spark, sf_dir).select("article_id", "paragraphs"))
 
 
+def wrapped_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of paragraphs with line ends and tabs between words and brackets in front of words."""
+    def wrap(p):
+        for plain, odd in WRAPPING:
+            p = F.replace(p, F.lit(plain), F.lit(odd))
+        return p
+
+    wrapped = articles(spark, sf_dir).select("article_id", F.transform("paragraphs", wrap).alias("paragraphs"))
+    return sentences(wrapped)
+
+
 def _category(term):
     n = F.length(term) % 3
     return F.when(n == 0, "A").when(n == 1, "B").otherwise("C")
@@ -129,16 +142,12 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def series_salt():
-    return F.pmod(F.col("id"), F.lit(4))
-
-
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a stored table of citation records.
 
     Stored, as records would be: inlined, the building expressions would be repeated for every use.
     """
-    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    o = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("date")
     published = F.add_months(day, (cust % 5).cast("int") - 2)
@@ -217,6 +226,13 @@ def triples_spo(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLEAN = r"lower(regexp_replace({}, '[^\x00-\x7F]', '', 'g'))"
 _CAT = "CASE length({0}) % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
 
+def _wrapped(column: str) -> str:
+    for plain, odd in WRAPPING:
+        text = "'" + odd.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+        column = f"replace({column}, '{plain}', {text})"
+    return column
+
+
 CTE: dict[str, tuple[list[str], str]] = {
     "articles": (
         [],
@@ -241,6 +257,8 @@ CTE: dict[str, tuple[list[str], str]] = {
         CAST(coalesce(sum(length(text)) OVER (PARTITION BY article_id ORDER BY para_pos, j
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, text FROM sraw""",
     ),
+    "wparas": (["articles"], f"""SELECT article_id, i - 1 AS para_pos, {_CLEAN.format(_wrapped('paragraphs[i]'))} AS p
+        FROM articles, unnest(range(1, len(paragraphs) + 1)) t(i)"""),
     "words": (
         ["sents"],
         """SELECT article_id, para_pos, sent_pos, start, text, i - 1 AS i, w[i] AS raw,
@@ -315,7 +333,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     ),
     "numbered": (
         ["series"],
-        """SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, id % 4, id) - 1 AS seq
+        """SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, id) - 1 AS seq
         FROM series WHERE ts IS NOT NULL""",
     ),
     "cites": (
@@ -342,6 +360,11 @@ CTE: dict[str, tuple[list[str], str]] = {
 }
 
 
+# The wrapped paragraphs are cut into sentences as the others are.
+CTE["wsraw"] = (["wparas"], CTE["sraw"][1].replace("FROM paras", "FROM wparas"))
+CTE["wsents"] = (["wsraw"], CTE["sents"][1].replace("FROM sraw", "FROM wsraw"))
+
+
 def with_cte(names: str | list[str], body: str, recursive: bool | None = None) -> str:
     """A DuckDB query with the named fixtures and all they build on."""
     wanted = names.split() if isinstance(names, str) else list(names)

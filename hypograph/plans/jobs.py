@@ -41,7 +41,6 @@ class JobOptions:
     slices: int = 1
     slice_number: int = 0
     fact_codes: tuple[int, ...] = (1, 2)
-    fact_paths: dict[str, str] = field(default_factory=dict)
 
 
 def load_facts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -181,7 +180,7 @@ class MentionProfiles:
     distances: DataFrame
 
 
-def mention_profiles(annotated: DataFrame, sample: float = 0.15) -> MentionProfiles:
+def mention_profiles(annotated: DataFrame, sample: float = 1.0) -> MentionProfiles:
     """Series of keys worth showing, gaps of the false ones, distance distribution by truth."""
     keys = ["l", "r"]
     profiles = tl.key_profiles(annotated, keys, ts="pub_ts")
@@ -193,24 +192,33 @@ def mention_profiles(annotated: DataFrame, sample: float = 0.15) -> MentionProfi
         tl.remaining(profiles.select(*keys), shown.filter("kind = 'true'").select(*keys)),
         tl.time_histogram(rows, keys, ts="pub_ts"),
         tl.equal_width_histogram(tl.gap_counts(false_rows, keys, ts="pub_ts"), keys, "gap"),
-        tl.distance_distribution(sa.sample_rows(annotated, sample)),
+        tl.distance_distribution(annotated if sample >= 1 else sa.sample_rows(annotated, sample, "pmid")),
     )
 
 
-def monthly_embeddings(sents: DataFrame, articles: DataFrame, phrases: bool = False, **options):
-    """One cumulative model per month with a large enough corpus: yields (month, model).
-
-    The months come from the articles' calendar; the token table is written once.
+def window_embeddings(
+    sents: DataFrame,
+    articles: DataFrame,
+    store: str,
+    synonyms: DataFrame | None = None,
+    english: DataFrame | None = None,
+    params: DataFrame | None = None,
+    min_size: int = em.MIN_CORPUS,
+    **options,
+) -> list[tuple]:
+    """Vectors of every trailing and cumulative window, of words and of bigrams, stored per key.
+
+    ``synonyms`` and ``english`` make gene names canonical first. Keys that the store has are skipped. Returns
+    the keys trained.
     """
-    corpus = token_corpus(sents, min_sentences=2).select("article_id", "para_pos", "sent_pos", "tokens")
-    if phrases:
-        corpus = mt.join_phrases(corpus, mt.phrase_scores(corpus), ["article_id", "sent_pos"])
-    dated = corpus.join(articles.select("article_id", "pub_date"), "article_id").withColumn("month", F.trunc("pub_date", "month"))
-    stored = written(dated.filter(F.col("month").isNotNull()).select("month", "tokens"), "corpus")
-    months = tl.cumulative_windows(stored.groupBy("month").agg(F.count("*").alias("n")), em.MIN_CORPUS)
-    # The calendar: one row per month.
-    for row in months.orderBy("month").collect():
-        yield row["month"], em.fit_words(stored.filter(F.col("month") <= F.lit(row["month"])), **options)
+    keys = ["article_id", "sent_pos"]
+    corpus = token_corpus(sents, min_sentences=2).select(*keys, "tokens")
+    if synonyms is not None:
+        corpus = em.canonical_corpus(corpus, synonyms, english, keys)
+    months = articles.filter(F.col("pub_date").isNotNull()).select("article_id", F.trunc("pub_date", "month").alias("month"))
+    stored = em.training_corpus(corpus.join(months, "article_id"), keys)
+    grid = tl.model_grid(months.select("month").distinct()) if params is None else params
+    return em.train_grid(stored, grid, store, min_size, **options)
 
 
 def citation_job(spark: SparkSession, path: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -236,6 +244,12 @@ def crawl_interactions(
     return ia.found_before(dated, interactions, pmid_date)
 
 
+def crawl_neighbours(vectors: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
+    """Nearest words of every one-word term (term) of the crawl that has a vector."""
+    asked = vectors.join(terms.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
+    return em.nearest_rows(vectors, asked, n)
+
+
 def relation_graph(spark: SparkSession, sources: list[str], store: str) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges, from the store if both are there, else built and stored."""
     if not all(sb.path_exists(spark, f"{store}/{part}/_SUCCESS") for part in ("vertices", "edges")):

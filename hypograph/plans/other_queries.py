@@ -17,6 +17,7 @@ from ..operators import pairs as pr
 from ..operators import relevance as rl
 from ..operators.sentences import sentences, token_corpus
 from ..operators.sizing import scratch_dir, written
+from ..operators.timeline import model_grid
 from ..operators.vocab import classify_trees
 from ..sources import articles as sa
 from ..sources import records as sr
@@ -73,12 +74,33 @@ def cosine_pairs(spark, d):
 
 
 def embedding_synonyms(spark, d):
-    """Nearest words of the most frequent long word, from vectors of the whole corpus."""
+    """Nearest words of the most frequent long word, from stored vectors of the whole corpus."""
     corpus = written(token_corpus(fx.article_sentences(spark, d)), "corpus")
     words = corpus.select(F.explode("tokens").alias("w")).filter(F.length("w") >= 6)
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").first()["w"]
-    model = em.fit_words(corpus, min_count=3, vector_size=16)
-    return em.nearest_words(model, top, 10)
+    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(1)
+    vectors = written(em.word_vectors(em.fit_words(corpus, min_count=3, vector_size=16)), "vectors")
+    return em.nearest_rows(vectors, vectors.join(top, vectors["word"] == top["w"], "left_semi"), 10)
+
+
+def embedding_store(spark, d):
+    """Vectors stored per window, the vocabulary of each; a second training finds nothing to do."""
+    months = fx.articles(spark, d).select("article_id", F.trunc("pub_date", "month").alias("month"))
+    corpus = token_corpus(fx.article_sentences(spark, d)).join(months, "article_id")
+    stored = em.training_corpus(corpus, ["article_id", "sent_pos"], with_bigrams=False)
+    grid = model_grid(months.select("month").distinct()).filter("mode = 'word'")
+    some = grid.filter("(window = 'cumulative' and until in ('2010', '2012')) or (window in ('year', '2month') and until = '2011-02')")
+    store = scratch_dir(spark, "vectors")
+    em.train_grid(stored, some, store, min_size=1, min_count=3, vector_size=4)
+    again = em.train_grid(stored, some, store, min_size=1, min_count=3, vector_size=4)
+    rows = em.stored_vectors(spark, store).groupBy("window", "until").agg(F.count("*").alias("n_words"))
+    return rows.withColumn("n_again", F.lit(len(again)))
+
+
+def nearest_vectors(spark, d):
+    """The five rows most similar to each vector whose id is divisible by 50."""
+    e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
+    out = em.nearest_rows(e, e.filter("word % 50 = 0"), 5)
+    return out.select("query", "word", "rank", F.round("similarity", 5).alias("similarity"))
 
 
 def graph_vertices(spark, d):
@@ -125,7 +147,10 @@ def edge_motif(spark, d):
 
 
 def motif_two_hop(spark, d):
-    return gr.two_hop_counts(_edges(spark, d))
+    """Paths of two edges from the subjects that carry a name."""
+    edges = _edges(spark, d)
+    named = gr.edges_like(edges, "%resource/Name").select(F.col("src").alias("id"))
+    return gr.two_hop_counts(edges, named)
 
 
 def uri_trim(spark, d):
@@ -339,7 +364,7 @@ def roundtrip_xml(spark, d):
     """Documents as article XML with inline tags, parsed back to sentences."""
     docs = fx.table(spark, d, "documents")
     text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    marked = F.regexp_replace(text, "the", "<i>the</i>")
+    marked = F.regexp_replace(F.regexp_replace(text, "the", "<i>the</i>"), "é", "&eacute;")
     paras = F.array_join(F.transform(F.split(marked, "\n"), lambda p: F.concat(F.lit("<sec><p>"), p, F.lit("</p></sec>"))), "")
     day = fx.pub_date()
     xml = F.concat(
@@ -421,8 +446,7 @@ def roundtrip_thesaurus_xml(spark, d):
 def roundtrip_parquet(spark, d):
     """Vocabulary, publication dates and series as stored tables, built once and then read."""
     path = scratch_dir(spark, "store")
-    sb.read_or_build(spark, f"{path}/vocab", lambda: fx.vocab(spark, d))
-    vocab = sb.read_or_build(spark, f"{path}/vocab", lambda: fx.vocab(spark, d).limit(0))
+    vocab = sb.read_or_build(spark, f"{path}/vocab", lambda: fx.vocab(spark, d))
     dates = sb.read_or_build(spark, f"{path}/dates", lambda: fx.pmid_dates(spark, d))
     v = vocab.select(F.concat_ws(":", "cat", "term").alias("key"), F.lit(0).cast("bigint").alias("value"))
     return v.unionByName(dates.select(F.col("pmid").alias("key"), F.col("pub_ts").alias("value")))
@@ -439,14 +463,18 @@ def graph_store(spark, d):
 
 
 def ntriples(spark, d):
-    """Statements written as lines with comments in between, parsed back."""
+    """Statements written as lines with comments and tagged or typed literals in between, parsed back."""
     spo = fx.triples_spo(spark, d)
+    label = F.lit(" <http://x/label> ")
     lines = spo.select(
         F.explode(
             F.array(
                 F.concat_ws(" ", "s", "p", "o", F.lit(".")),
                 F.concat(F.lit("# "), "s"),
-                F.concat(F.col("s"), F.lit(" <http://x/label> \"a . b\" .")),
+                F.concat(F.col("s"), label, F.lit('"a . b" .')),
+                F.concat(F.col("s"), label, F.lit('"say \\"a\\""@en-GB .')),
+                F.concat(F.col("s"), label, F.lit('"1"^^<http://x/int> .')),
+                F.concat(F.col("s"), label, F.lit('"open .')),
             )
         ).alias("value")
     )
@@ -455,6 +483,19 @@ def ntriples(spark, d):
     return gr.edges(sb.read_triples(spark, path)).groupBy("src", "dst", "relationship").agg(F.count("*").alias("n"))
 
 
+def roundtrip_pathways(spark, d):
+    """Suppliers as gene-gene facts in the pathway layout, read back."""
+    s = fx.table(spark, d, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    refs = F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("7|"), key, F.lit(";9")))
+    fields = {left: F.concat(F.lit("gene "), key) for left in sb.PATHWAY_COLUMNS[:1]}
+    fields |= {sb.PATHWAY_COLUMNS[1]: F.concat(F.lit("partner "), F.col("s_nationkey").cast("string")), sb.PATHWAY_COLUMNS[2]: refs}
+    path = scratch_dir(spark, "pathways")
+    line = F.concat_ws("\t", *[fields.get(i, F.lit("x")) for i in range(5)])
+    s.select(line.alias("value")).write.text(path)
+    return sb.read_pathways(spark, path).select("code", "l", "r", F.array_join("refs", ",").alias("refs"))
+
+
 def corpus_listing(spark, d):
     """Documents written in per-source folders, listed recursively by name."""
     docs = fx.table(spark, d, "documents")
@@ -465,19 +506,26 @@ def corpus_listing(spark, d):
 
 
 def model_store(spark, d):
-    """A one-class relevance model saved, loaded and applied: with only facts, nothing is ranked low."""
+    """A relevance model saved, loaded and applied. A fit with intercept has converged where, over its own
+    training pairs, probabilities sum up to the facts, also when weighted by the distance."""
     from pyspark.ml import PipelineModel
 
-    pairs = rl.labelled(fx.close_pairs(spark, d).withColumn("fact", F.lit(True)))
-    pairs = written(pairs, "known")
+    close = fx.close_pairs(spark, d)
+    tagged = close.withColumn("fact", (F.col("article_id") + F.col("l_pos")) % 3 == 0)
+    pairs = written(rl.labelled(tagged), "known")
     path = scratch_dir(spark, "model")
-    rl.fit_relevance(pairs, ["doc_dist", "para_dist", "sent_dist"]).write().overwrite().save(path)
+    rl.fit_relevance(pairs, ["doc_dist"], max_iter=500, tolerance=1e-12).write().overwrite().save(path)
     scored = rl.score(PipelineModel.load(path), pairs)
-    return scored.groupBy("code").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == 1).alias("n_positive"))
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("p"), 1).alias("sum_p"),
+        F.round(F.sum(F.col("p") * F.col("doc_dist")) / 1000, 1).alias("sum_p_dist"),
+    )
+
 
 
 def incremental_mentions(spark, d):
-    """Documents arriving as files, drained batch by batch; a second run finds nothing new."""
+    """Documents arriving as files, drained batch by batch; later runs add nothing, not even with a new checkpoint."""
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
     source, target, state = (scratch_dir(spark, n) for n in ("arrivals", "mentions", "state"))
     docs.repartition(4, "doc_id").write.parquet(source)
@@ -487,8 +535,8 @@ def incremental_mentions(spark, d):
         arts = batch.select(F.col("doc_id").alias("article_id"), F.split("text", "\n").alias("paragraphs"))
         return mt.single_word_mentions(sentences(arts), vocab)
 
-    for _ in range(2):
-        run_incremental(spark, source, docs.schema, find, target, state, files_per_batch=2)
+    for checkpoint in (state, state, scratch_dir(spark, "state")):  # the third run has lost its checkpoint
+        run_incremental(spark, source, docs.schema, find, target, checkpoint, files_per_batch=2, key="article_id")
     return incremental_result(spark, target)
 
 
@@ -507,6 +555,8 @@ _ALL = (
     error_rates,
     cosine_pairs,
     embedding_synonyms,
+    embedding_store,
+    nearest_vectors,
     graph_vertices,
     graph_vertices_distinct,
     graph_edges,
@@ -540,6 +590,7 @@ _ALL = (
     roundtrip_parquet,
     graph_store,
     ntriples,
+    roundtrip_pathways,
     corpus_listing,
     model_store,
     incremental_mentions,
@@ -602,7 +653,8 @@ ORACLE = {
     "relationship_counts": with_cte("spo", "SELECT relationship, count(*) AS n FROM spo GROUP BY relationship"),
     "edge_motif": with_cte("spo", "SELECT * FROM spo WHERE relationship LIKE '%/PDB_ID'"),
     "motif_two_hop": with_cte(
-        "spo", "SELECT a.src, b.dst, count(*) AS n_paths FROM spo a JOIN spo b ON a.dst = b.src GROUP BY a.src, b.dst"
+        "spo", """SELECT a.src, b.dst, count(*) AS n_paths FROM spo a JOIN spo b ON a.dst = b.src
+        WHERE a.src IN (SELECT src FROM spo WHERE relationship LIKE '%resource/Name') GROUP BY a.src, b.dst"""
     ),
     "uri_trim": """SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN p[-2] || '/' || p[-1] ELSE '<' || url || '>' END AS short,
         url AS same, p[-1] AS base FROM (SELECT *, string_split(url, '/') AS p FROM pages)""",
@@ -672,13 +724,32 @@ ORACLE = {
         """SELECT unnest(['attr0', 'attr1']) AS kind, n FROM (SELECT count(*) AS n FROM spo)
         UNION ALL SELECT relationship, count(*) FROM spo GROUP BY relationship""",
     ),
+    "embedding_store": with_cte(
+        "articles sents",
+        """, tok AS (SELECT date_trunc('month', pub_date) AS m, unnest(list_filter(string_split(replace(text, '.', ' '), ' '), lambda x: x <> '')) AS w
+          FROM (SELECT s.text, a.pub_date FROM sents s JOIN articles a USING (article_id))),
+        grid AS (SELECT * FROM (VALUES ('cumulative', '2010', DATE '1900-01-01', DATE '2010-12-01'), ('cumulative', '2012', DATE '1900-01-01', DATE '2012-12-01'),
+          ('year', '2011-02', DATE '2010-03-01', DATE '2011-02-01'), ('2month', '2011-02', DATE '2011-01-01', DATE '2011-02-01')) t("window", until, low, high)),
+        uses AS (SELECT "window", until, w, count(*) AS n FROM tok JOIN grid ON m BETWEEN low AND high GROUP BY ALL)
+        SELECT "window", until, count(*) AS n_words, 0 AS n_again FROM uses
+        WHERE n >= 3 AND until IN (SELECT strftime(m, '%Y') FROM tok UNION ALL SELECT strftime(m, '%Y-%m') FROM tok) GROUP BY ALL""",
+    ),
+    "nearest_vectors": f"""SELECT query, word, rank, similarity FROM (SELECT x.vec_id AS query, y.vec_id AS word, {_COSINE},
+        row_number() OVER (PARTITION BY x.vec_id ORDER BY list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])) DESC, y.vec_id) AS rank
+        FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = 0 AND y.vec_id <> x.vec_id) WHERE rank <= 5""",
     "ntriples": with_cte(
         "spo",
         """SELECT src, dst, relationship, count(*) AS n FROM (SELECT src, dst, relationship FROM spo
-        UNION ALL SELECT src, '"a . b"', 'x/label' FROM spo) GROUP BY ALL""",
+        UNION ALL SELECT src, unnest(['"a . b"', '"say \\"a\\""@en-GB', '"1"^^<http://x/int>']), 'x/label' FROM spo) GROUP BY ALL""",
     ),
+    "roundtrip_pathways": """SELECT 4 AS code, 'gene ' || s_suppkey AS l, 'partner ' || s_nationkey AS r,
+        CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE '7,' || s_suppkey || ',9' END AS refs FROM supplier""",
     "corpus_listing": "SELECT DISTINCT source FROM documents",
-    "model_store": with_cte("pairs", "SELECT code, count(*) AS n, count(*) AS n_positive FROM pairs GROUP BY code"),
+    "model_store": with_cte(
+        "pairs",
+        """SELECT count(*) AS n, round(CAST(count(*) FILTER (fact) AS DOUBLE), 1) AS sum_p, round(sum(doc_dist) FILTER (fact) / 1000, 1) AS sum_p_dist
+        FROM (SELECT doc_dist, (article_id + l_pos) % 3 = 0 AS fact FROM pairs)""",
+    ),
     "incremental_mentions": with_cte("found", "SELECT * FROM found"),
     "pending_articles": "SELECT doc_id AS article_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }

@@ -10,6 +10,7 @@ from ..operators import facts as fc
 from ..operators import pairs as pr
 from ..operators import relevance as rl
 from ..operators.sizing import written
+from ..sources.articles import sample_rows
 from . import fixtures as fx
 from .fixtures import with_cte
 
@@ -154,17 +155,16 @@ def earliest_confirmation(spark, d):
 
 
 def special_interest(spark, d):
-    """Outcomes of pairs with a term from the target list or from the most specific terms."""
+    """Whether a term of the pair is on the list of targets: here the terms of eight letters that are found."""
     close = fx.close_pairs(spark, d)
-    targets = ["oresan", "thenti", "tionent", *ev.TARGET_GENES]
-    special = ev.special_interest(F.substring("l", 1, 6), F.substring("r", 1, 7), targets) | F.col("l").startswith("tion")
-    return close.select("article_id", "code", "l", "r", special.alias("special"))
+    named = fx.vocab(spark, d).filter("length(term) = 8 or term like 'th%'").select("term").distinct()
+    targets = [*ev.TARGET_GENES, *[x["term"] for x in named.collect()]]
+    return close.select("article_id", "code", "l", "r", ev.special_interest(F.col("l"), F.col("r"), targets).alias("special"))
 
 
 def sampled_pairs(spark, d):
-    """A fixed tenth of the articles, chosen by id, with all their pairs."""
-    close = fx.close_pairs(spark, d)
-    return close.filter(F.pmod(F.col("article_id") * 7919, F.lit(10)) == 3).select("article_id", "code", "l", "r", "doc_dist")
+    """All pairs of a tenth of the articles, chosen by a digest of their id."""
+    return sample_rows(fx.close_pairs(spark, d), 0.1).select("article_id", "code", "l", "r", "doc_dist")
 
 
 def pair_export(spark, d):
@@ -179,10 +179,11 @@ def pair_export(spark, d):
 
 
 def pair_ids(spark, d):
-    """Row ids from the identifying columns: distinct where a per-task counter would repeat."""
+    """Pairs found again by their row ids, which are made of the identifying columns alone."""
     p = fx.close_pairs(spark, d).select("article_id", "code", "l", "r")
-    ids = p.select(F.xxhash64("article_id", "code", "l", "r").alias("id"))
-    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("n_ids"))
+    stored = written(p.withColumn("id", pr.pair_id()), "ids")
+    again = p.repartition(3, "r").withColumn("id", pr.pair_id())
+    return stored.join(again.select("id", F.col("l").alias("l2"), F.col("r").alias("r2")), "id").select("article_id", "code", "l", "r", "l2", "r2")
 
 
 def pairs_by_key(spark, d):
@@ -211,17 +212,36 @@ def hypothesis_scores(spark, d):
 
 
 def relevance_model(spark, d):
+    """One model per list. Where a fit with intercept has converged, the probabilities of its training pairs sum
+    up to the number of facts, also when weighted with the feature."""
     tagged = fc.tag_facts(*_tagging(spark, d)).filter(F.col("code").isin(1, 2))
     data = written(rl.labelled(tagged), "labelled")
-    train, _ = rl.split_80_20(data)
-    scored = rl.score(rl.fit_relevance(train), data)
-    return scored.select("article_id", "code", "l", "r", "label", "prediction", F.round("p", 4).alias("p"))
+    sums = None
+    for code in (1, 2):
+        own = data.filter(F.col("code") == code)
+        scored = rl.score(rl.fit_relevance(own, ["doc_dist"], max_iter=500, tolerance=1e-12), own)
+        part = scored.agg(
+            F.lit(code).alias("code"),
+            F.count("*").alias("n"),
+            F.round(F.sum("p"), 1).alias("sum_p"),
+            F.round(F.sum(F.col("p") * F.col("doc_dist")) / 1000, 1).alias("sum_p_dist"),
+        )
+        sums = part if sums is None else sums.unionByName(part)
+    return sums
 
 
 def hypotheses(spark, d):
-    tagged = written(fc.tag_facts(*_tagging(spark, d)), "tagged")
-    out = rl.ranked_hypotheses(tagged)
-    return out.select("a", "b", "c", F.round("score", 4).alias("score"))
+    """Chains of scored pairs through a model whose coefficients are given: p = 1 / (1 + exp(0.01 * distance - 2))."""
+    close = fx.close_pairs(spark, d).withColumn("p", 1 / (1 + F.exp(F.lit(0.01) * F.col("doc_dist") - 2)))
+    stored = written(close, "scored")
+    out = rl.hypotheses(rl.pair_scores(stored, 1), rl.pair_scores(stored, 2))
+    return out.select("a", "b", "c", F.round("score", 9).alias("score"))
+
+
+def pairs_tagged_refs(spark, d):
+    """All references of the facts that closest pairs turn out to be, as one sorted list."""
+    tagged = fc.tag_facts(*_tagging(spark, d), with_refs=True)
+    return tagged.select("article_id", "code", "l", "r", "fact", F.array_join("refs", ",").alias("refs"))
 
 
 QUERIES = {
@@ -240,6 +260,7 @@ QUERIES = {
         fact_refs,
         pairs_known,
         pairs_tagged,
+        pairs_tagged_refs,
         pair_support,
         fact_counts,
         relevant_facts,
@@ -365,12 +386,13 @@ ORACLE = {
         WHERE EXISTS (FROM facts x WHERE x.l = g.l AND x.r = g.r AND x.pmid = g.pmid)""",
     ),
     "special_interest": with_cte(
-        "pairs",
-        """SELECT article_id, code, l, r, (substr(l, 1, 6) IN ('oresan', 'thenti', 'tionent') OR substr(r, 1, 7) IN ('oresan', 'thenti', 'tionent')
-        OR starts_with(l, 'tion')) AS special FROM pairs""",
+        "pairs vocab",
+        """SELECT article_id, code, l, r, (length(l) = 8 OR length(r) = 8 OR l LIKE 'th%' OR r LIKE 'th%') AS special FROM pairs""",
     ),
     "sampled_pairs": with_cte(
-        "pairs", "SELECT article_id, code, l, r, doc_dist FROM pairs WHERE (article_id * 7919) % 10 = 3"
+        "pairs",
+        """SELECT article_id, code, l, r, doc_dist FROM pairs
+        WHERE CAST('0x' || substr(md5('1234:' || article_id), 1, 8) AS BIGINT) < CAST(floor(0.1 * 4294967296) AS BIGINT)""",
     ),
     "pair_export": with_cte(
         "pairs",
@@ -378,7 +400,7 @@ ORACLE = {
         strftime(DATE '2010-01-01' + CAST(article_id % 3650 AS INTEGER), '%d-%m-%Y') AS date_text, l, r, para_dist, sent_dist, doc_dist,
         code = 1 AS fact, l || '@' || r AS pair_key FROM pairs""",
     ),
-    "pair_ids": with_cte("pairs", "SELECT count(*) AS n, count(*) AS n_ids FROM pairs"),
+    "pair_ids": with_cte("pairs", "SELECT article_id, code, l, r, l AS l2, r AS r2 FROM pairs"),
     "pairs_by_key": with_cte(
         "pairs",
         f"""SELECT l, r, count(*) AS n, min({_EPOCH.format('article_id')}) AS first_ts, max({_EPOCH.format('article_id')}) AS last_ts,
@@ -387,6 +409,23 @@ ORACLE = {
     "distance_boxplot": with_cte(
         "pairs facts", f"SELECT fact, count(*) AS n, {', '.join(_DISTS)} FROM {_TAGGED} GROUP BY fact"
     ),
+    "pairs_tagged_refs": with_cte(
+        "pairs facts",
+        """, k AS (SELECT l, r, string_agg(DISTINCT pmid, ',' ORDER BY pmid) AS refs FROM facts GROUP BY l, r)
+        SELECT article_id, code, p.l, p.r, k.refs IS NOT NULL AND code IN (1, 2) AS fact, CASE WHEN code IN (1, 2) THEN coalesce(refs, '') ELSE '' END AS refs
+        FROM pairs p LEFT JOIN k ON k.l = p.l AND k.r = p.r""",
+    ),
+    "relevance_model": with_cte(
+        "pairs facts",
+        f"""SELECT code, count(*) AS n, round(CAST(count(*) FILTER (fact) AS DOUBLE), 1) AS sum_p,
+        round(coalesce(sum(doc_dist) FILTER (fact), 0) / 1000, 1) AS sum_p_dist FROM {_TAGGED} WHERE code IN (1, 2) GROUP BY code""",
+    ),
+    "hypotheses": with_cte(
+        "pairs",
+        """, best AS (SELECT code, l, r, 1 / (1 + exp(0.01 * min(doc_dist) - 2)) AS p FROM pairs WHERE code IN (1, 2) GROUP BY code, l, r)
+        SELECT ab.l AS a, ab.r AS b, bc.r AS c, round(ab.p * bc.p, 9) AS score FROM best ab JOIN best bc
+        ON ab.code = 1 AND bc.code = 2 AND bc.l = ab.r""",
+    ),
     "hypothesis_scores": with_cte(
         "pairs",
         """, best AS (SELECT code, l, r, 1 / (1 + min(doc_dist)) AS p FROM pairs WHERE code IN (1, 2) GROUP BY code, l, r)

@@ -50,17 +50,17 @@ def mentions_single(spark, d):
 
 
 def mentions_multi(spark, d):
-    return mt.multi_word_mentions(fx.article_sentences(spark, d), fx.multi_vocab(spark, d))
+    return mt.multi_word_mentions(fx.wrapped_sentences(spark, d), fx.multi_vocab(spark, d))
 
 
 def mentions_padded(spark, d):
     both = fx.vocab(spark, d).unionByName(fx.multi_vocab(spark, d))
-    return mt.padded_mentions(fx.article_sentences(spark, d), both)
+    return mt.padded_mentions(fx.wrapped_sentences(spark, d), both)
 
 
 def mentions_by_category(spark, d):
     both = fx.vocab(spark, d).unionByName(fx.multi_vocab(spark, d))
-    found = mt.mentions(fx.article_sentences(spark, d), both)
+    found = mt.mentions(fx.wrapped_sentences(spark, d), both)
     return found.groupBy("article_id", "cat").agg(F.count("*").alias("n"), F.min("doc_pos").alias("first_pos"))
 
 
@@ -73,25 +73,21 @@ def kinase_like_words(spark, d):
 
 
 def noise_filter(spark, d):
-    """Heads of sentences as if a tagger had proposed them."""
-    heads = fx.article_sentences(spark, d).select(
-        "article_id", "sent_pos", F.regexp_extract("text", r"^(\S+ ?\S* ?\S*)", 1).alias("word")
-    )
-    doubled = heads.select(
-        "article_id",
-        "sent_pos",
-        F.explode(
-            F.array(
-                F.col("word"),
-                F.concat(F.lit("= "), "word"),
-                F.concat(F.lit("("), F.col("sent_pos").cast("string"), F.lit(") "), F.substring_index("word", " ", 1)),
-                F.concat(F.col("sent_pos").cast("string"), F.lit(".5")),
-                F.concat(F.lit("doi: "), "word"),
-                F.lit("n = 4"),
-            )
-        ).alias("word"),
-    )
-    return mt.drop_noise(doubled)
+    """Whole mentions, and numbering and statistics residue made of them, as if a tagger had proposed them."""
+    found = fx.found(spark, d).select("article_id", "doc_pos", "sent_pos", "word")
+    number = F.col("sent_pos").cast("string")
+    forms = [
+        F.col("word"),
+        F.concat(F.lit("= "), "word"),
+        F.concat(F.lit("("), number, F.lit(") "), "word"),
+        F.concat(F.lit("("), number, F.lit(") "), "word", F.lit(" of")),
+        F.concat(number, F.lit(".5 "), "word"),
+        F.concat(F.lit("v"), number, F.lit(".5")),
+        F.concat("word", F.lit(" doi: 10")),
+        F.concat("word", F.lit(" = 4")),
+        F.concat("word", F.lit(" = 42")),
+    ]
+    return mt.drop_noise(found.select("article_id", "doc_pos", F.explode(F.array(*forms)).alias("word")))
 
 
 def _dictionary(spark, d):
@@ -194,10 +190,8 @@ def token_corpus(spark, d):
 
 
 def article_text(spark, d):
-    lines = fx.table(spark, d, "documents").select(
-        F.col("doc_id").alias("article_id"), F.posexplode(F.split("text", "\n")).alias("para_pos", "text")
-    )
-    return st.article_text(lines)
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.split("text", "\n").alias("paragraphs"))
+    return st.article_text(docs)
 
 
 def month_tag_filter(spark, d):
@@ -219,17 +213,20 @@ def first_articles(spark, d):
 
 
 def corpus_slices(spark, d):
-    """Number of articles per batch key; the slices cover the corpus exactly once."""
-    a = fx.articles(spark, d).select("file_name", sa.slice_of(F.col("file_name"), 8).alias("slice"))
-    return a.groupBy("slice").agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("n_articles"), F.count_if(~F.col("slice").between(0, 7)).alias("n_outside")
-    )
+    """Articles of all batches, taken one batch after the other, as a batch job would."""
+    a = fx.articles(spark, d).select("file_name", "article_id")
+    slices = sa.slice_of(F.col("file_name"), 8)
+    parts = [a.filter(slices == i) for i in range(8)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def page_paragraphs(spark, d):
-    """Paragraph text of raw pages by expression only: tags removed, line ends kept."""
+    """Paragraph text of raw pages by expression only: attributes and tags removed, line ends kept."""
     p = fx.table(spark, d, "pages").select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<p>(.*?)</p>"), F.lit(1))).alias("para_pos", "body")
+        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)</p>"), F.lit(1))).alias("para_pos", "body")
     )
     return p.select("page_id", "para_pos", F.regexp_replace("body", "<[^>]*>", "").alias("text"))
 
@@ -268,10 +265,17 @@ QUERIES = {
     )
 }
 
-_MULTI_HITS = r"""multi AS (SELECT cat, term, regexp_extract(term, '^[^a-z0-9]*(\S+)', 1) AS key FROM multi_vocab),
-multi_hits AS (SELECT article_id, cat, term AS word, start + off + length(regexp_extract(raw, '^([^a-z0-9]*)', 1)) AS doc_pos, para_pos, sent_pos
-  FROM words JOIN multi ON regexp_extract(raw, '^[^a-z0-9]*(\S+)', 1) = key
-  WHERE substr(text, off + length(regexp_extract(raw, '^([^a-z0-9]*)', 1)) + 1, length(term)) = term)"""
+# A term of several words is met wherever the text has it (any white space counting as a blank) and only
+# punctuation stands between there and the white space or sentence start before.
+_MULTI_HITS = r"""flat AS (SELECT article_id, para_pos, sent_pos, start, regexp_replace(text, '\s', ' ', 'g') AS t FROM wsents),
+multi_at AS (SELECT article_id, cat, term, para_pos, sent_pos, start, t, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(term)) = term)) AS p
+  FROM flat JOIN multi_vocab ON contains(t, term)),
+multi_hits AS (SELECT article_id, cat, term AS word, start + p - 1 AS doc_pos, para_pos, sent_pos FROM multi_at
+  WHERE regexp_matches(substr(t, 1, p - 1), '(^| )[[:punct:]]*$'))"""
+_SINGLE_HITS = r"""single_hits AS (SELECT article_id, cat, term AS word, start + off AS doc_pos, para_pos, sent_pos FROM (
+  SELECT *, i - 1 AS n, replace(replace(w[i], '.', ''), '/', '') AS token,
+    CAST(coalesce(sum(length(w[i]) + 1) OVER (PARTITION BY article_id, sent_pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
+  FROM (SELECT *, string_split(t, ' ') AS w FROM flat), unnest(range(1, len(w) + 1)) u(i)) JOIN vocab ON token = term)"""
 
 
 def _extend(base: str, extra: str, body: str) -> str:
@@ -311,31 +315,28 @@ ORACLE = {
         FROM words WHERE token <> '' GROUP BY article_id, sent_pos""",
     ),
     "mentions_single": with_cte("found", "SELECT * FROM found"),
-    "mentions_multi": _extend("words multi_vocab", _MULTI_HITS, "SELECT * FROM multi_hits"),
+    "mentions_multi": _extend("wsents multi_vocab", _MULTI_HITS, "SELECT * FROM multi_hits"),
     "mentions_padded": _extend(
-        "sents vocab multi_vocab",
-        """both_terms AS (SELECT * FROM vocab UNION ALL SELECT * FROM multi_vocab),
-        sp AS (SELECT *, replace(text, '.', ' ') AS t FROM sents),
-        dw AS (SELECT DISTINCT article_id, para_pos, sent_pos, start, t, w FROM (SELECT *, unnest(string_split(t, ' ')) AS w FROM sp)),
-        hit AS (SELECT article_id, cat, term AS word, start, para_pos, sent_pos,
-          instr(t, CASE WHEN contains(term, ' ') THEN term ELSE ' ' || term || ' ' END) AS pos
-          FROM dw JOIN both_terms ON w = string_split(term, ' ')[1] WHERE length(term) >= 3)""",
-        "SELECT article_id, cat, word, start + pos - 1 AS doc_pos, para_pos, sent_pos FROM hit WHERE pos > 0",
+        "wsents vocab multi_vocab",
+        _MULTI_HITS.replace("'\\s', ' ', 'g')", "'[\\s.]', ' ', 'g')"),
+        """SELECT article_id, cat, word, min(doc_pos) AS doc_pos, para_pos, sent_pos FROM multi_hits WHERE length(word) >= 3
+        GROUP BY article_id, cat, word, para_pos, sent_pos
+        UNION ALL
+        SELECT article_id, cat, term, start + instr(t, ' ' || term || ' ') - 1, para_pos, sent_pos
+        FROM flat JOIN vocab ON contains(t, ' ' || term || ' ') WHERE length(term) >= 3""",
     ),
     "mentions_by_category": _extend(
-        "found multi_vocab",
-        _MULTI_HITS,
+        "wsents vocab multi_vocab",
+        f"{_MULTI_HITS}, {_SINGLE_HITS}",
         """SELECT article_id, cat, count(*) AS n, min(doc_pos) AS first_pos
-        FROM (SELECT * FROM found UNION ALL SELECT * FROM multi_hits) GROUP BY article_id, cat""",
+        FROM (SELECT * FROM single_hits UNION ALL SELECT * FROM multi_hits) GROUP BY article_id, cat""",
     ),
     "word_counts": with_cte("found", "SELECT article_id, cat, word, count(*) AS n FROM found GROUP BY ALL"),
     "kinase_like_words": with_cte("found", "SELECT * FROM found WHERE contains(word, 'tion') AND cat = 'B'"),
     "noise_filter": _extend(
-        "sents",
-        r"""heads AS (SELECT article_id, sent_pos, regexp_extract(text, '^(\S+ ?\S* ?\S*)', 1) AS word FROM sents),
-        prop AS (SELECT article_id, sent_pos, unnest([word, '= ' || word, '(' || sent_pos || ') ' || string_split(word, ' ')[1],
-          sent_pos || '.5', 'doi: ' || word, 'n = 4']) AS word FROM heads)""",
-        r"""SELECT * FROM prop WHERE NOT regexp_matches(word, '^\(\d+\)( \w+)?$|^\d+\.\d|^= .*$|^\w+ = \d$|^.*doi:.*$')""",
+        "found",
+        """prop AS (SELECT article_id, doc_pos, unnest([word, word || ' = 42', '(' || sent_pos || ') ' || word || ' of', 'v' || sent_pos || '.5']) AS word FROM found)""",
+        "SELECT * FROM prop",
     ),
     "concept_ids": with_cte(
         "found vocab",
@@ -394,7 +395,7 @@ ORACLE = {
         """SELECT strftime(pub_date, 'doc_%Y_%b_') || article_id || '.fxml' AS file_name, article_id
         FROM articles ORDER BY file_name LIMIT 25""",
     ),
-    "corpus_slices": "SELECT count(*) AS n_articles, 0 AS n_outside FROM documents",
+    "corpus_slices": with_cte("articles", "SELECT strftime(pub_date, 'doc_%Y_%b_') || article_id || '.fxml' AS file_name, article_id FROM articles"),
     "page_paragraphs": r"""SELECT page_id, i - 1 AS para_pos, regexp_replace(b[i], '<[^>]*>', '', 'g') AS text FROM (
-        SELECT page_id, regexp_extract_all(html, '<p>(.*?)</p>', 1) AS b FROM pages), unnest(range(1, len(b) + 1)) t(i)""",
+        SELECT page_id, regexp_extract_all(html, '(?s)<p(?:\s[^>]*)?>(.*?)</p>', 1) AS b FROM pages), unnest(range(1, len(b) + 1)) t(i)""",
 }

@@ -8,16 +8,16 @@ from ..functions import dates as dt
 from ..functions.measures import DAY
 from ..operators import timeline as tl
 from . import fixtures as fx
-from .fixtures import SERIES_KEYS, series_salt, with_cte
+from .fixtures import SERIES_KEYS, with_cte
 
 
 def freq_second_derivative(spark, d):
-    out = tl.frequency_derivative(fx.series(spark, d), SERIES_KEYS, salt=series_salt())
+    out = tl.frequency_derivative(fx.series(spark, d), SERIES_KEYS)
     return out.select(*SERIES_KEYS, "id", "seq", F.coalesce("freq_sec_deriv", F.lit(-9999.0)).alias("freq_sec_deriv"))
 
 
 def mention_gaps(spark, d):
-    out = tl.mention_gaps(fx.series(spark, d), SERIES_KEYS, salt=series_salt())
+    out = tl.mention_gaps(fx.series(spark, d), SERIES_KEYS)
     return out.select(*SERIES_KEYS, "id", "seq", "gap")
 
 
@@ -27,7 +27,7 @@ def gap_histogram(spark, d):
 
 
 def mention_series(spark, d):
-    out = tl.mention_series(fx.series(spark, d), SERIES_KEYS, salt=series_salt())
+    out = tl.mention_series(fx.series(spark, d), SERIES_KEYS)
     return out.select(*SERIES_KEYS, "seq", "id", "ts")
 
 
@@ -47,7 +47,7 @@ def decile_histogram(spark, d):
 
 
 def neighbour_window(spark, d):
-    out = tl.neighbour_windows(fx.series(spark, d), SERIES_KEYS, "id", n=3, salt=series_salt())
+    out = tl.neighbour_windows(fx.series(spark, d), SERIES_KEYS, "id", n=3)
     return out.select(*SERIES_KEYS, "last_seq", F.concat_ws(",", F.col("window").cast("array<string>")).alias("ids"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -9,15 +10,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import parse_date
 from ..functions.text import base_name, clean_ascii, split_sentences
+from ..operators.pairs import pair_id
 from ..operators.sentences import prepared_paragraphs
 from ..schemas import DIGEST
 
 ARTICLE_GLOB = "*.fxml"
 _DOCTYPE = re.compile(r"<!DOCTYPE[^>\[]*(\[[^\]]*\])?[^>]*>")
-_PARSED = "path string, article_id string, date_text string, paragraphs array<string>"
+_ENTITY = re.compile(r"&([A-Za-z][A-Za-z0-9]*;)")
+# Fixed value: the entities that every XML parser knows.
+_OWN_ENTITIES = ["amp;", "apos;", "gt;", "lt;", "quot;"]
+_PARSED = "path string, article_id string, date_text string, paragraphs array<string>, reason string"
 
 
 def corpus_files(spark: SparkSession, root: str, glob: str = ARTICLE_GLOB) -> DataFrame:
@@ -43,12 +49,19 @@ def _local(tag) -> str:
     return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
 
 
-def _parse(xml: str) -> tuple[str | None, str | None, list[str]] | None:
-    """Id, date text and paragraph texts of one article, or None if it is not well-formed."""
+def _resolved(found: re.Match) -> str:
+    """The character of a standard named entity; the parser's own and unknown ones stay as they are."""
+    name = found[1]
+    return found[0] if name in _OWN_ENTITIES else html.entities.html5.get(name, found[0])
+
+
+def _parse(xml: str) -> tuple[str | None, str | None, list[str] | None, str | None]:
+    """Id, date text and paragraph texts of one article, or the reason why it cannot be read."""
     try:
-        root = ET.fromstring(_DOCTYPE.sub("", xml, count=1).encode("utf-8"))
-    except (ET.ParseError, ValueError):
-        return None
+        text = _ENTITY.sub(_resolved, _DOCTYPE.sub("", xml, count=1))
+        root = ET.fromstring(text.encode("utf-8"))
+    except (ET.ParseError, ValueError) as error:
+        return None, None, None, str(error)
     ids: dict[str, str] = {}
     date = None
     paragraphs = []
@@ -61,25 +74,27 @@ def _parse(xml: str) -> tuple[str | None, str | None, list[str]] | None:
             date = "-".join(parts.get(k, "") for k in ("day", "month", "year"))
         elif tag == "p":
             paragraphs.append("".join(node.itertext()))
-    return ids.get("pmid") or ids.get("pmc"), date, paragraphs
+    return ids.get("pmid") or ids.get("pmc"), date, paragraphs, None
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for path, xml in zip(batch["path"], batch["xml"], strict=True):
-            parsed = _parse(xml) if xml else None
-            if parsed is not None:
-                rows.append((path, *parsed))
-        yield pd.DataFrame(rows, columns=["path", "article_id", "date_text", "paragraphs"])
+        rows = [(path, *_parse(xml or "")) for path, xml in zip(batch["path"], batch["xml"], strict=True)]
+        yield pd.DataFrame(rows, columns=["path", "article_id", "date_text", "paragraphs", "reason"])
+
+
+def failed_articles(xml: DataFrame) -> DataFrame:
+    """(path, reason) of the files that are not well-formed."""
+    return xml.select("path", "xml").mapInPandas(_parse_batches, _PARSED).filter("reason is not null").select("path", "reason")
 
 
 def parse_articles(xml: DataFrame) -> DataFrame:
-    """(path, xml) to articles; files that are not well-formed are dropped.
+    """(path, xml) to articles. Standard named entities are resolved; files that are not well-formed are
+    rows of ``failed_articles`` instead.
 
     Paragraph text mixes with inline tags, which Spark's XML reader cannot rebuild in order.
     """
-    parsed = xml.select("path", "xml").mapInPandas(_parse_batches, _PARSED)
+    parsed = xml.select("path", "xml").mapInPandas(_parse_batches, _PARSED).filter("reason is null")
     return parsed.select(
         "article_id",
         base_name(F.col("path")).alias("file_name"),
@@ -104,8 +119,10 @@ def slice_of(key: Column, slices: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slices))
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 1234) -> DataFrame:
-    return df.sample(False, fraction, seed)
+def sample_rows(df: DataFrame, fraction: float, key: str = "article_id", seed: int = 1234) -> DataFrame:
+    """Rows whose key falls into the given share of all keys: the same ones on every run and retry."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.filter(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < F.lit(int(fraction * 2**32)))
 
 
 def pending(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -125,7 +142,7 @@ def _mention_list(cat: str) -> Column:
 
 def _pair_list(code: int, name: str) -> Column:
     item = F.struct(
-        F.xxhash64("article_id", "code", "l", "r").alias("id"),
+        pair_id().alias("id"),
         F.col("l").alias("L"),
         F.col("r").alias("R"),
         F.col("doc_dist").cast("double").alias("docDist"),
@@ -146,6 +163,7 @@ def digests(articles: DataFrame, found: DataFrame, tagged: DataFrame, triples: D
 
     ``tagged`` are pairs with ``fact`` and ``refs``. Sentences are nested inside the article's own row.
     """
+    # The parts have the same key, so they meet without moving again; the text moves once, to the last join.
     mention_part = found.groupBy("article_id").agg(*[_mention_list(c) for c in ("A", "B", "C")])
     pair_part = tagged.groupBy("article_id").agg(
         *[_pair_list(code, name) for code, name in ((1, "AB"), (2, "BC"), (3, "AC"), (4, "BB"))]
@@ -164,9 +182,8 @@ def digests(articles: DataFrame, found: DataFrame, tagged: DataFrame, triples: D
             prepared_paragraphs(F.col("paragraphs")), lambda p: F.struct(split_sentences(p).alias("sentences"))
         ).alias("paragraphs"),
     )
-    out = head
-    for part in (mention_part, pair_part, triple_part):
-        out = out.join(part, "article_id", "left")
+    lists_of = mention_part.join(pair_part, "article_id", "full").join(triple_part, "article_id", "full")
+    out = head.join(lists_of, "article_id", "left")
     lists = ["paragraphs", "A", "B", "C", "AB", "BC", "AC", "BB", "ABC"]
     types = {f.name: f.dataType for f in DIGEST.fields}
     return out.select(
@@ -189,15 +206,21 @@ def write_digests(rows: DataFrame, path: str, by_name: bool = False) -> None:
         rows.write.mode("overwrite").json(path)
 
 
+def _digest_lines(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    schema = T.StructType([*DIGEST.fields, T.StructField("_malformed", T.StringType())])
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_malformed")
+    return reader.option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
+
+
+def failed_digests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(path, text) of documents that are no digest."""
+    rows = _digest_lines(spark, path, multi_line).select(F.col("_metadata.file_path").alias("path"), F.col("id"), F.col("_malformed").alias("text"))
+    return rows.filter("text is not null").select("path", "text")
+
+
 def read_digests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Digests with defaults for missing parts; unreadable documents are dropped."""
-    raw = (
-        spark.read.schema(DIGEST)
-        .option("mode", "DROPMALFORMED")
-        .option("multiLine", multi_line)
-        .option("recursiveFileLookup", True)
-        .json(path)
-    )
+    """Digests with defaults for missing parts; unreadable documents are rows of ``failed_digests`` instead."""
+    raw = _digest_lines(spark, path, multi_line).filter("_malformed is null").drop("_malformed")
     types = {f.name: f.dataType for f in DIGEST.fields}
     lists = ["A", "B", "C", "AB", "BC", "AC", "BB", "ABC"]
     return raw.withColumns({c: F.coalesce(F.col(c), F.array().cast(types[c])) for c in lists})

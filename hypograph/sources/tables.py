@@ -106,12 +106,15 @@ def read_gene_synonyms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triples(spark: SparkSession, *paths: str) -> DataFrame:
-    """Line-based RDF (``<s> <p> <o> .``) -> (s, p, o); comments and other lines are dropped."""
+    """Line-based RDF (``<s> <p> <o> .``) -> (s, p, o); literals keep their quotes, language tag or type.
+
+    Comments and other lines are dropped.
+    """
     return parse_triples(spark.read.text(list(paths)))
 
 
 def parse_triples(lines: DataFrame, value: str = "value") -> DataFrame:
-    pattern = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|".*")\s*\.\s*$'
+    pattern = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*$'
     part = {name: F.regexp_extract(value, pattern, i) for i, name in enumerate(("s", "p", "o"), start=1)}
     return lines.select(*[c.alias(name) for name, c in part.items()]).filter(F.col("s") != "")
 

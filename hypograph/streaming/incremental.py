@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def run_incremental(
@@ -17,11 +20,14 @@ def run_incremental(
     files_per_batch: int | None = None,
     file_format: str = "parquet",
     glob: str | None = None,
+    key: str | None = None,
 ) -> None:
     """Process the files of ``source`` that earlier runs have not seen, then stop.
 
-    ``transform`` must work on each article by itself. Every micro-batch writes its own folder in
-    overwrite mode, so a batch repeated after a failure replaces its own output and nothing else.
+    ``transform`` must work on each article by itself. Every micro-batch writes its own folder, named by the
+    run (which the checkpoint keeps) and the batch, in overwrite mode: a batch repeated after a failure replaces
+    its own output and nothing else, and a new checkpoint starts a run of its own. With ``key``, rows whose key
+    an earlier run has written are left out, so a lost checkpoint repeats work but no rows.
     """
     reader = spark.readStream.format(file_format).schema(schema)
     if files_per_batch:
@@ -29,8 +35,18 @@ def run_incremental(
     if glob:
         reader = reader.option("pathGlobFilter", glob)
 
+    started, run = threading.Event(), []
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        started.wait()
+        rows = transform(batch)
+        if key:
+            try:
+                done = spark.read.parquet(target).filter(F.col("run") != run[0]).select(key).distinct()
+                rows = rows.join(done, key, "left_anti")
+            except AnalysisException:
+                pass  # nothing written yet
+        rows.write.mode("overwrite").parquet(f"{target}/run={run[0]}/batch={batch_id}")
 
     query = (
         reader.load(source)
@@ -39,9 +55,11 @@ def run_incremental(
         .trigger(availableNow=True)
         .start()
     )
+    run.append(query.id)
+    started.set()
     query.awaitTermination()
 
 
 def incremental_result(spark: SparkSession, target: str) -> DataFrame:
     """Everything the runs have written so far."""
-    return spark.read.parquet(target).drop("batch")
+    return spark.read.parquet(target).drop("run", "batch")

@@ -115,9 +115,6 @@ def test_equivalence_equals_greedy_loop(spark):
                     want.append((*key, d, lp, rp))
         got = rows(pr.equivalence_sets(m, combos), "article_id", "code", "l", "r", "doc_dist", "l_pos", "r_pos")
         assert got == sorted(want)
-        pairs = pr.cooccurrences(m, combos, include_zero=True, distinct_words=True)
-        by_sets = pr.match_one_to_one(pairs, fold_limit=2)
-        assert rows(by_sets, "article_id", "code", "l", "r", "doc_dist", "l_pos", "r_pos") == got
 
 
 def test_long_dense_run_is_matched_in_linear_time(spark):

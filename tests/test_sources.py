@@ -36,8 +36,8 @@ def _write(path, text):
 
 def _corpus(tmp_path):
     first = (
-        f"<p>The {CHEMICAL} influences <italic>KCNQ1</italic> which has something to do with osteoarthritis and"
-        " Diabetes Mellitus, Type 2.</p><sec><p>The 11-BETA-HSD3 manifests as Hypokinesia.</p></sec>"
+        f"<p>In rat heart cells {CHEMICAL} blocks the channel <italic>KCNQ1</italic>, a risk gene of osteoarthritis and"
+        " Diabetes Mellitus, Type 2.</p><sec><p>Loss of 11-BETA-HSD3 leads to Hypokinesia.</p></sec>"
     )
     fourth = f"<p>The {CHEMICAL} and KCNQ1 here. Again {CHEMICAL} with KCNQ1 there.</p>"
     _write(tmp_path / "A/B/one.fxml", ARTICLE.format(pmid="18568022", body=first))
@@ -212,7 +212,7 @@ def test_relevance_and_hypotheses(spark, tmp_path):
     near = [("a", "b", 1, 0, 0, 20 + i, True) for i in range(30)] + [("a", "q", 1, 1, 3, 700 - i, False) for i in range(30)]
     far = [("b", "c", 2, 0, 0, 30 + i, True) for i in range(30)] + [("q", "d", 2, 1, 3, 650 - i, False) for i in range(30)]
     df = spark.createDataFrame(near + far, "l string, r string, code int, para_dist int, sent_dist int, doc_dist int, fact boolean")
-    out = [tuple(r)[:3] for r in rl.ranked_hypotheses(df).collect()]
+    out = [tuple(r)[:3] for r in rl.ranked_hypotheses(df, df).collect()]
     assert out == [("a", "b", "c"), ("a", "q", "d")]
     report = jobs.train_relevance(df, str(tmp_path / "model"))
     assert report.errors.agg(F.max("error_rate")).first()[0] == 0.0 and report.labels.count() == 2
@@ -222,12 +222,82 @@ def test_relevance_and_hypotheses(spark, tmp_path):
 def test_embeddings_and_similarity(spark):
     corpus = spark.createDataFrame([(["kinase", "binds", "p53", "x"],), (["kinase", "cuts", "p53"],)] * 40, "tokens array<string>")
     model = em.fit_words(corpus, min_count=1, vector_size=8, partitions=2)
-    assert em.nearest_words(model, "two words") is None and em.nearest_words(model, "kinase", 2).count() == 2
+    vectors = em.word_vectors(model)
+    assert rows(vectors, "word") == [("binds",), ("cuts",), ("kinase",), ("p53",), ("x",)]
+    terms = spark.createDataFrame([("kinase",), ("two words",)], "term string")
+    nearest = {r["word"]: r["rank"] for r in jobs.crawl_neighbours(vectors, terms, 2).collect()}
+    want = {r["word"] for r in model.findSynonyms("kinase", 2).collect()}
+    assert set(nearest) == want and sorted(nearest.values()) == [1, 2]
     vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0])], "word string, vector array<float>")
     pairs = spark.createDataFrame([("a", "b"), ("a", "zz")], "a string, b string")
     assert [(r.a, r.b, round(r.similarity, 6)) for r in em.similarity(pairs, vec).collect()] == [("a", "b", 0.707107)]
 
 
+def test_window_embeddings_are_stored_once(spark, tmp_path):
+    from datetime import date
+
+    from hypograph.operators.sentences import sentences
+
+    text = "Alpha binds beta. Beta cuts gamma. Gamma likes alpha. Delta is gone."
+    days = [date(2010, 1, 5), date(2010, 2, 5), date(2011, 1, 5), None]
+    arts = spark.createDataFrame([(str(i), [text], day) for i, day in enumerate(days)], "article_id string, paragraphs array<string>, pub_date date")
+    synonyms = spark.createDataFrame([("beta", "bet1"), ("is", "isx")], "synonym string, canonical string")
+    english = spark.createDataFrame([("is",)], "word string")
+    store = str(tmp_path / "store")
+    params = spark.createDataFrame(
+        [("month", "2010-02", "word"), ("year", "2010-12", "word"), ("cumulative", "2011", "bigram"), ("month", "2010-05", "word")],
+        "window string, until string, mode string",
+    )
+    train = lambda: jobs.window_embeddings(sentences(arts), arts, store, synonyms, english, params, min_size=2, min_count=1, vector_size=4)
+    assert train() == [("cumulative", "2011", "bigram"), ("month", "2010-02", "word"), ("year", "2010-12", "word")]
+    assert train() == []
+    rows_of = em.stored_vectors(spark, store).filter("mode = 'word'").groupBy("window").agg(F.sort_array(F.collect_set("word")).alias("w"))
+    words = {r["window"]: r["w"] for r in rows_of.collect()}
+    assert words["month"] == words["year"] == sorted(["alpha", "binds", "bet1", "cuts", "gamma", "likes", "delta", "is", "gone"])
+
+
+def test_samples_are_stable_and_near_their_share(spark):
+    df = spark.range(4000).withColumnRenamed("id", "article_id")
+    one = rows(sa.sample_rows(df, 0.25), "article_id")
+    assert one == rows(sa.sample_rows(df.repartition(7), 0.25), "article_id") and 800 < len(one) < 1200
+    assert sa.sample_rows(df, 1.0).count() == 4000 and sa.sample_rows(df, 0.0).count() == 0
+
+
+def test_entities_failed_files_and_typed_literals(spark, tmp_path):
+    _write(tmp_path / "c/a.fxml", ARTICLE.format(pmid="1", body="<p>caf&eacute;&nbsp;&lt;x&gt; &amp;c</p>"))
+    _write(tmp_path / "c/b.fxml", ARTICLE.format(pmid="2", body="<p>&unknown; text</p>"))
+    xml = sa.article_xml(spark, str(tmp_path / "c"))
+    assert [r["paragraphs"] for r in sa.parse_articles(xml).collect()] == [["caf\u00e9\u00a0<x> &c"]]
+    failed = sa.failed_articles(xml).collect()
+    assert len(failed) == 1 and failed[0]["path"].endswith("b.fxml") and "unknown" in failed[0]["reason"]
+    _write(tmp_path / "d/1.json", '{"id": "1"}\n{ no\n')
+    assert [r["text"] for r in sa.failed_digests(spark, str(tmp_path / "d")).collect()] == ["{ no"]
+    assert sa.read_digests(spark, str(tmp_path / "d")).count() == 1
+    lines = ['<a> <b> "x"@en .', '<a> <b> "1"^^<t> .', '<a> <b> "q \\" . " .', "<a> <b> \"open .", "# c", "_:n <b> _:m ."]
+    got = rows(sb.parse_triples(spark.createDataFrame([(x,) for x in lines], "value string")), "o")
+    assert got == [('"1"^^<t>',), ('"q \\" . "',), ('"x"@en',), ("_:m",)]
+
+
+def test_all_references_of_a_tagged_pair(spark):
+    from hypograph.operators import facts as fc
+
+    facts = spark.createDataFrame([(1, "A", "b", ["1", "2"]), (1, "a", "B", ["3"]), (2, "a", "b", ["2", ""])], "code int, l string, r string, refs array<string>")
+    pairs = spark.createDataFrame([(1, "a", "b"), (3, "a", "b"), (1, "a", "z")], "code int, l string, r string")
+    out = {(r["code"], r["r"]): (r["fact"], r["refs"]) for r in fc.tag_facts(pairs, facts, with_refs=True).collect()}
+    assert out == {(1, "b"): (True, ["1", "2", "3"]), (3, "b"): (False, []), (1, "z"): (False, [])}
+
+
+def test_joins_on_hot_keys_give_the_same_without_broadcast(spark, monkeypatch):
+    from hypograph.operators import sizing
+
+    left = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c"), (9, "d")], "k long, v string")
+    small = {how: rows(sizing.keyed_join(left, right, ["k"], how).na.fill("-"), *(["k", "id", "v"] if how in ("inner", "left") else ["k", "id"])) for how in ("inner", "left", "left_semi", "left_anti")}
+    monkeypatch.setattr(sizing, "small_side", lambda df, *a: (df, False))
+    for how, want in small.items():
+        assert rows(sizing.keyed_join(left, right, ["k"], how).na.fill("-"), *(["k", "id", "v"] if how in ("inner", "left") else ["k", "id"])) == want
+
+
 def test_measured_broadcast_and_scratch(spark):
     df = spark.range(100).withColumn("t", F.lit("x" * 10))
     assert fits_broadcast(df) and not fits_broadcast(df, max_rows=99) and not fits_broadcast(df, max_bytes=1000)

@@ -24,6 +24,8 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert rows(incremental_result(spark, target), *cols) == half
     run_incremental(spark, source, df.schema, find, target, state)  # nothing new
     assert rows(incremental_result(spark, target), *cols) == half
+    run_incremental(spark, source, df.schema, find, target, str(tmp_path / "lost"), key="article_id")  # a new checkpoint
+    assert rows(incremental_result(spark, target), *cols) == half
     df.filter("article_id % 2 = 1").repartition(2).write.mode("append").parquet(source)
     run_incremental(spark, source, df.schema, find, target, state)
     assert rows(incremental_result(spark, target), *cols) == rows(find(df), *cols)

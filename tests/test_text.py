@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from hypograph.functions import text as tx
+from hypograph.functions.arrays import sums_before
 from hypograph.operators import mentions as mt
 from hypograph.operators import sentences as st
 
@@ -130,5 +131,53 @@ def test_phrases_are_merged_from_the_left(spark):
 
 
 def test_token_offset_and_strip(spark):
-    df = spark.createDataFrame([("ab  cd", 2)], "s string, i int")
-    assert df.select(tx.token_offset(F.col("s"), F.col("i"))).first()[0] == 4
+    df = spark.createDataFrame([("ab  cd\te\nf",), ("",)], "s string")
+    lengths = F.transform(tx.word_split(F.col("s")), lambda w: F.length(w) + 1)
+    assert [r[0] for r in df.select(sums_before(lengths)).collect()] == [[0, 3, 4, 7, 9], [0]]
+
+
+def test_running_sums_restart_in_every_row(spark):
+    df = spark.createDataFrame([([3, 1, 2],), ([],), ([5],), ([1, 1],)], "x array<int>").repartition(1)
+    assert sorted(r[0] for r in df.select(sums_before("x")).collect()) == [[], [0], [0, 1], [0, 3, 4]]
+
+
+def test_forty_thousand_sentences_in_one_paragraph(spark):
+    text = "word alpha. " * 40_000
+    arts = spark.createDataFrame([("a", [text])], "article_id string, paragraphs array<string>")
+    found = mt.single_word_mentions(st.sentences(arts), spark.createDataFrame([("A", "alpha")], "cat string, term string"))
+    assert found.agg(F.count("*"), F.max("doc_pos"), F.max("sent_pos")).first() == (40_000, 12 * 39_999 + 5, 39_999)
+
+
+ODD = "protein kinase c at first,\n(protein kinase c) and\nprotein\tkinase\nc; xprotein kinase c ( foo bar) foo\nbar (foo bar"
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_terms_behind_line_ends_and_punctuation(spark, large, monkeypatch):
+    """Every place where the text has the term and only punctuation stands between it and white space before."""
+    import re
+
+    from hypograph.operators import sizing
+
+    if large:
+        monkeypatch.setattr(mt, "small_side", lambda df, *a: (df, False))
+        monkeypatch.setattr(sizing, "small_side", lambda df, *a: (df, False))
+    arts = spark.createDataFrame([("a", [ODD])], "article_id string, paragraphs array<string>")
+    terms = [("A", "protein kinase c"), ("B", "( foo bar"), ("B", "foo bar"), ("C", "foo"), ("C", "(foo bar"), ("C", "!!! ?")]
+    vocab = spark.createDataFrame(terms, "cat string, term string")
+    flat = re.sub(r"\s", " ", ODD)
+    want = []
+    for cat, term in terms:
+        if " " in term:
+            lead = len(term) - len(term.lstrip("( "))
+            starts = [m.start() for m in re.finditer(f"(?={re.escape(term)})", flat)]
+            want += [(cat, term, at) for at in starts if re.search(r"(^| )[^\w ]*$", flat[: at + lead]) and term != "!!! ?"]
+    want += [("C", "foo", m.start()) for m in re.finditer(r"(?<![^ ])foo(?![^ ])", flat)]
+    assert rows(mt.mentions(st.sentences(arts), vocab), "cat", "word", "doc_pos") == sorted(want)
+    assert ("A", "protein kinase c", 0) in want and sum(w[1] == "protein kinase c" for w in want) == 3
+
+
+def test_padded_mentions_meet_terms_behind_line_ends(spark):
+    arts = spark.createDataFrame([("a", ["x\nprotein kinase c", "see (protein kinase c) p53\tand"])], "article_id string, paragraphs array<string>")
+    vocab = spark.createDataFrame([("A", "protein kinase c"), ("B", "p53")], "cat string, term string")
+    found = rows(mt.padded_mentions(st.sentences(arts), vocab), "word", "doc_pos", "para_pos")
+    assert found == [("p53", 18 + 22, 1), ("protein kinase c", 2, 0), ("protein kinase c", 18 + 5, 1)]

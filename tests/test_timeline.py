@@ -30,7 +30,7 @@ def _ordered(data):
     groups = {}
     for k, i, ts in data:
         if ts is not None:
-            groups.setdefault(k, []).append((ts, i % 4, i))
+            groups.setdefault(k, []).append((ts, i))
     return {k: sorted(v) for k, v in groups.items()}
 
 
@@ -38,11 +38,11 @@ def _ordered(data):
 def test_frequency_derivative_equals_numpy(spark, seed, sizes, days):
     data = _series(seed, sizes, days)
     df = spark.createDataFrame(data, SCHEMA)
-    got = rows(tl.frequency_derivative(df, ["k"], salt=F.col("id") % 4).na.fill(-99.0), "k", "seq", "id", "freq_sec_deriv")
+    got = rows(tl.frequency_derivative(df, ["k"]).na.fill(-99.0), "k", "seq", "id", "freq_sec_deriv")
     want = []
     for k, items in _ordered(data).items():
         stamps = [x[0] for x in items]
-        for seq, (_, _, i) in enumerate(items):
+        for seq, (_, i) in enumerate(items):
             value = -99.0
             if seq >= 3:
                 hist, _ = np.histogram(stamps[:seq])
@@ -53,7 +53,7 @@ def test_frequency_derivative_equals_numpy(spark, seed, sizes, days):
 
 
 def test_hot_key_on_one_date(spark):
-    """A key with most rows, nearly all on one date, is numbered in salted groups."""
+    """A key with most rows, nearly all on one date, is numbered in several parts."""
     df = spark.range(20000).select(
         F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
         "id",
@@ -66,6 +66,16 @@ def test_hot_key_on_one_date(spark):
     assert back.filter("t2 < ts").count() == 0
 
 
+def test_order_is_date_and_id_whatever_the_parts(spark):
+    data = _series(7, [60, 300, 5], 3)
+    df = spark.createDataFrame(data, SCHEMA)
+    want = [(k, seq, i) for k, items in _ordered(data).items() for seq, (_, i) in enumerate(items)]
+    for parts in (1, 3, 11):
+        assert rows(tl.mention_series(df, ["k"], parts=parts), "k", "seq", "id") == sorted(want)
+    windows = [rows(tl.neighbour_windows(df, ["k"], "id", n=3, parts=parts), "k", "last_seq", "window") for parts in (1, 7)]
+    assert windows[0] == windows[1]
+
+
 def test_gaps(spark):
     data = _series(4, [1, 2, 30, 40], 12)
     df = spark.createDataFrame(data, SCHEMA)
@@ -73,7 +83,7 @@ def test_gaps(spark):
     for k, items in _ordered(data).items():
         stamps = [x[0] for x in items]
         want += [(k, i, abs(v - stamps[(i + 1) % len(stamps)])) for i, v in enumerate(stamps)]
-    assert rows(tl.mention_gaps(df, ["k"], salt=F.col("id") % 4), "k", "seq", "gap") == sorted(want)
+    assert rows(tl.mention_gaps(df, ["k"]), "k", "seq", "gap") == sorted(want)
     counts = {}
     for k, _, gap in want:
         counts[k, gap] = counts.get((k, gap), 0) + 1
