@@ -41,10 +41,16 @@ class Windows:
                     for at in range(low, high - size + 1):
                         known.setdefault(texts.joined(at, at + size), set()).add(items[i][0])
         self.hashes = {size: np.unique(np.concatenate(x)) for size, x in hashes.items()}
+        self._tables: dict[int, tuple[np.ndarray, np.uint64]] = {}
 
     def tables(self) -> dict[int, tuple[np.ndarray, np.uint64]]:
-        """A bit table per length that lets nearly all other windows pass at the cost of one look-up."""
-        out = {}
+        """A bit table per length that lets nearly all other windows pass at the cost of one look-up.
+
+        Made once in each worker, which keeps the broadcast set for all its tasks.
+        """
+        if self._tables:
+            return self._tables
+        out = self._tables
         for size, hashes in self.hashes.items():
             mask = np.uint64(min(1 << 24, max(1 << 16, 1 << int(len(hashes) * 32).bit_length())) - 1)
             table = np.zeros(int(mask) + 1, dtype=bool)
@@ -89,11 +95,11 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scan_block(rows: DataFrame, items: list[tuple[str | None, str | None]], window: int, last: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((items, window))
+    shared = rows.sparkSession.sparkContext.broadcast(Windows(items, window))
     ranges_type = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(*shared.value)
+        windows = shared.value
         tables = windows.tables()
         for batch in batches:
             n_words, n_hit, ranges, spans, names = [], [], [], [], []
