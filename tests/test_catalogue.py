@@ -32,6 +32,21 @@ def test_queries_agree_with_their_oracle(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables are not there")
 def test_no_nested_loops_or_products(spark):
-    for name in ("pairs_raw", "triples", "pairs_tagged", "evaluation_set", "hypothesis_scores", "found_before", "bigram_phrases"):
-        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    """No query of the library, as far as it is planned when it is built, compares all rows of two tables."""
+    for name, query in catalogue.QUERIES.items():
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="sample tables are not there")
+def test_plan_does_not_depend_on_the_number_of_files(spark, tmp_path):
+    """The flagship plan has the same operators over one file and over many."""
+    import re
+
+    plans = []
+    for files in (1, 12):
+        for name in ("documents", "benchmark"):
+            spark.read.parquet(f"{SF}/{name}.parquet").repartition(files).write.parquet(f"{tmp_path}/{files}/{name}.parquet")
+        plan = catalogue.QUERIES["triple_frequency"](spark, f"{tmp_path}/{files}")._jdf.queryExecution().executedPlan().toString()
+        plans.append(re.findall(r"[A-Z][A-Za-z]*(?:Exec|Join|Exchange|Aggregate|Scan|Generate|Python|Sort)\b", plan))
+    assert plans[0] == plans[1] and plans[0]
