@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions.measures import DAY
 from ..operators import timeline as tl
+from ..operators.sizing import scratch_dir
 from . import fixtures as fx
+from . import jobs
 from .fixtures import SERIES_KEYS, with_cte
 
 
@@ -37,6 +39,13 @@ def long_mention_series(spark, d):
     return tl.long_series(dated, ["user_id"], min_size=50).select("user_id", "id", "ts")
 
 
+def mention_series_store(spark, d):
+    """Long series built once and then read from the store."""
+    series, store = fx.series(spark, d), scratch_dir(spark, "series")
+    jobs.stored_series(spark, store, series, ["user_id"], min_size=50, ts="ts")
+    return jobs.stored_series(spark, store, series, ["user_id"], min_size=50, ts="ts").select("user_id", "seq", "id", "ts")
+
+
 def mention_histogram(spark, d):
     return tl.time_histogram(fx.series(spark, d), SERIES_KEYS, width=3 * DAY)
 
@@ -136,6 +145,7 @@ QUERIES = {
         gap_histogram,
         mention_series,
         long_mention_series,
+        mention_series_store,
         mention_histogram,
         decile_histogram,
         neighbour_window,
@@ -190,6 +200,11 @@ ORACLE = {
         "series",
         """SELECT user_id, id, ts FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM series WHERE ts IS NOT NULL) WHERE n >= 50""",
     ),
+    "mention_series_store": with_cte(
+        "series",
+        """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) - 1 AS seq, id, ts
+        FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM series WHERE ts IS NOT NULL) WHERE n >= 50""",
+    ),
     "mention_histogram": with_cte(
         "series",
         """, b AS (SELECT user_id, event_type, (ts - min(ts) OVER (PARTITION BY user_id, event_type)) // 259200 AS bin FROM series WHERE ts IS NOT NULL),

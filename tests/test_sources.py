@@ -256,6 +256,18 @@ def test_window_embeddings_are_stored_once(spark, tmp_path):
     assert words["month"] == words["year"] == sorted(["alpha", "binds", "bet1", "cuts", "gamma", "likes", "delta", "is", "gone"])
 
 
+def test_a_stored_table_is_not_built_again(spark, tmp_path):
+    def trap():
+        raise AssertionError("built again")
+
+    path = str(tmp_path / "t")
+    assert sb.read_or_build(spark, path, lambda: spark.range(3)).count() == 3
+    assert sb.read_or_build(spark, path, trap).count() == 3
+    series = spark.createDataFrame([("k", i, 86400 * (i % 3)) for i in range(6)] + [("one", 9, 0), ("k", 7, None)], "k string, id long, pub_ts long")
+    out = jobs.stored_series(spark, str(tmp_path / "s"), series, ["k"], min_size=2)
+    assert rows(out, "k", "seq", "id") == [("k", i, x) for i, x in enumerate([0, 3, 1, 4, 2, 5])]
+
+
 def test_samples_are_stable_and_near_their_share(spark):
     df = spark.range(4000).withColumnRenamed("id", "article_id")
     one = rows(sa.sample_rows(df, 0.25), "article_id")
