@@ -7,9 +7,11 @@ place by their rank among those of their length, all in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +24,30 @@ from ..operators.sizing import written
 CAPACITY = 2048
 #: Pieces that one task ranks; a length with more of them is split over several groups.
 GROUP_ROWS = 200_000
-#: Words whose ids a task keeps; memory for them is bounded, results do not depend on it.
-CACHED_WORDS = 400_000
+#: Words whose ids a worker keeps; memory for them is bounded, results do not depend on it.
+CACHED_WORDS = 600_000
 
 _SPACES = str.maketrans("\n\t\r", "   ")
+#: Marks between a letter and a blank: the tokenizer cuts them off as well, so the word may be looked up alone.
+_CLOSING = re.compile(r"(?<=[^\W\d_])([,.!?;:]+)(?= |$)")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable Latin-1 ones stay, the others, in
+    order, are those from U+0100 on."""
+    stays = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in stays]
+    return {b: chr(b if b in stays else 0x100 + others.index(b)) for b in range(256)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word, from a tokenizer that never merges across white space.
 
-    Words between blanks repeat a lot, so their ids are kept; what is not known is encoded in one call. A text
-    that spells out a special token is encoded as a whole.
+    Words between blanks repeat a lot, so their ids are kept; what is not known is encoded in one call. A-Z are
+    lower-cased first, as the tokenizer does later. A text that spells out a special token is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -42,13 +57,27 @@ class WordTokenizer:
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {"": b""}
 
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        lower = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return _CLOSING.sub(r" \1", lower.translate(_SPACES)).split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit numbers."""
-        split = [None if any(s in text for s in self.special) else text.translate(_SPACES).split(" ") for text in texts]
+        split = [None if any(s in text for s in self.special) else self._split(text) for text in texts]
         if len(self.words) > CACHED_WORDS:
             self.words = {"": b""}
-        new = list({w for words in split if words is not None for w in words if w not in self.words})
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        new = {w for words in split if words is not None for w in words if w not in self.words}
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for word in new:
+            lower = word.lower()
+            if word.isalpha() and lower.isalpha() and max(word) < "\u0250":
+                # Latin letters are one word for the tokenizer and stay as they are but for their case.
+                plain = lower.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                self.words[word] = np.array([x.id for x in tokenize(plain)], dtype="<u4").tobytes()
+            else:
+                other.append(word)
+        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
             self.words[word] = np.array(found.ids, dtype="<u4").tobytes()
         return [
             b"".join(map(self.words.__getitem__, words))
@@ -58,6 +87,12 @@ class WordTokenizer:
         ]
 
 
+@cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker process, which serves many tasks."""
+    return WordTokenizer(path)
+
+
 def _text_runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
     run, size = [], 0
     for text in texts:
@@ -77,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words = _tokenizer(tokenizer)
         step, tail = capacity * 4, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {x: [] for x in ("doc", "piece", "start", "length", "crc", "ids")}
