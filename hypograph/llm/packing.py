@@ -27,7 +27,6 @@ GROUP_ROWS = 200_000
 #: Words whose ids a worker keeps; memory for them is bounded, results do not depend on it.
 CACHED_WORDS = 600_000
 
-_SPACES = str.maketrans("\n\t\r", "   ")
 #: Marks between a letter and a blank: the tokenizer cuts them off as well, so the word may be looked up alone.
 _CLOSING = re.compile(r"(?<=[^\W\d_])([,.!?;:]+)(?= |$)")
 
@@ -60,7 +59,8 @@ class WordTokenizer:
     @staticmethod
     def _split(text: str) -> list[str]:
         lower = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return _CLOSING.sub(r" \1", lower.translate(_SPACES)).split(" ")
+        blanks = lower.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return _CLOSING.sub(r" \1", blanks).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit numbers."""
