@@ -56,7 +56,9 @@ def _matches(words: DataFrame, vocab: DataFrame, own: list[str], one_word: Colum
     terms = terms.withColumn("several", _several(F.col("term")))
     terms = terms.withColumn("probe", F.when(F.col("several"), tx.lead_key(F.col("term"))).otherwise(F.col("term")))
     terms = terms.withColumn("lead", F.when(F.col("several"), tx.lead_width(F.col("term"))).otherwise(0)).filter("probe != ''")
-    has_one, has_several, longest = terms.agg(F.bool_or(~F.col("several")), F.bool_or("several"), F.max(F.length("term"))).first()
+    has_one, has_several, longest, lead = terms.agg(
+        F.bool_or(~F.col("several")), F.bool_or("several"), F.max(F.length("term")), F.max("lead")
+    ).first()
     keys = [F.struct(F.col("token").alias("probe"), F.lit(False).alias("several"))] if has_one else []
     keys += [F.struct(tx.lead_key(F.col("raw")).alias("probe"), F.lit(True).alias("several"))] if has_several else []
     probes = words.withColumn("usable", one_word)
@@ -65,18 +67,20 @@ def _matches(words: DataFrame, vocab: DataFrame, own: list[str], one_word: Colum
     else:
         probes = probes.withColumns({"probe": F.lit(""), "several": F.lit(False)})
     probes = probes.filter((F.col("probe") != "") & (F.col("several") | F.col("usable")))
-    lead = tx.lead_width(F.col("raw"))
-    rest = tx.blanks_only(F.col("text").substr(F.col("at") + 1, lead + F.lit(longest or 0)))
+    # Where the word's first letter or digit stands, and the text from the longest lead before it on.
+    letter = F.col("at") + tx.lead_width(F.col("raw"))
+    begin = F.greatest(letter - F.lit(lead or 0), F.lit(0))
+    rest = tx.blanks_only(F.col("text").substr(begin + 1, F.lit((lead or 0) + (longest or 0))))
     side, is_small = small_side(terms)
     if is_small:
-        hits = probes.join(side, ["probe", "several"]).withColumns({"own_lead": lead, "rest": rest})
+        hits = probes.join(side, ["probe", "several"]).withColumns({"letter": letter, "begin": begin, "rest": rest})
     else:
-        slim = probes.withColumns({"own_lead": lead, "rest": F.when(F.col("several"), rest)})
-        hits = keyed_join(slim.select(*own, "at", "probe", "several", "own_lead", "rest"), terms, ["probe", "several"])
-    shift = F.col("own_lead") - F.col("lead")
-    found = (shift >= 0) & (F.col("rest").substr(shift + 1, F.length("wanted")) == F.col("wanted"))
+        slim = probes.withColumns({"letter": letter, "begin": begin, "rest": F.when(F.col("several"), rest)})
+        hits = keyed_join(slim.select(*own, "at", "probe", "several", "letter", "begin", "rest"), terms, ["probe", "several"])
+    start = F.col("letter") - F.col("lead")
+    found = (start >= 0) & (F.col("rest").substr(start - F.col("begin") + 1, F.length("wanted")) == F.col("wanted"))
     hits = hits.filter(~F.col("several") | found)
-    return hits.select(*own, "cat", "term", (F.col("at") + F.when(F.col("several"), shift).otherwise(0)).alias("start"))
+    return hits.select(*own, "cat", "term", F.when(F.col("several"), start).otherwise(F.col("at")).alias("start"))
 
 
 def mentions(sents: DataFrame, vocab: DataFrame, id_col: str = "article_id", strip_punct: bool = False) -> DataFrame:

@@ -213,9 +213,9 @@ def _digest_lines(spark: SparkSession, path: str, multi_line: bool) -> DataFrame
 
 
 def failed_digests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """(path, text) of documents that are no digest."""
-    rows = _digest_lines(spark, path, multi_line).select(F.col("_metadata.file_path").alias("path"), F.col("id"), F.col("_malformed").alias("text"))
-    return rows.filter("text is not null").select("path", "text")
+    """(path, id, text) of documents that are no digest; the id as far as it could be read."""
+    rows = _digest_lines(spark, path, multi_line).select(F.col("_metadata.file_path").alias("path"), "id", F.col("_malformed").alias("text"))
+    return rows.filter("text is not null")
 
 
 def read_digests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -156,7 +156,7 @@ def test_facts_tag_and_refs(spark):
     assert ("a", "c", True) in rows(with_ac, "l", "r", "fact")
     assert rows(fc.pair_support(pairs, refs), "l", "r", "n_refs", "first_ref") == [("a", "b", 2, "1"), ("a", "c", 1, "9")]
     with_refs = fc.tag_facts(pairs, facts, with_refs=True)
-    assert rows(with_refs, "l", "r", "refs") == [("a", "b", ["1", "2", ""]), ("a", "c", []), ("b", "c", []), ("q", "b", [])]
+    assert rows(with_refs, "l", "r", "refs") == [("a", "b", ["1", "2"]), ("a", "c", []), ("b", "c", []), ("q", "b", [])]
     assert rows(fc.fact_counts(tagged), "code", "n_predicted", "n_curated") == [(1, 2, 1), (2, 1, 1), (3, 1, 0)]
 
 

@@ -36,7 +36,7 @@ def _write(path, text):
 
 def _corpus(tmp_path):
     first = (
-        f"<p>In rat heart cells {CHEMICAL} blocks the channel <italic>KCNQ1</italic>, a risk gene of osteoarthritis and"
+        f"<p>In rat heart cells {CHEMICAL} blocks the channel <italic>KCNQ1</italic> which is a risk gene of osteoarthritis and"
         " Diabetes Mellitus, Type 2.</p><sec><p>Loss of 11-BETA-HSD3 leads to Hypokinesia.</p></sec>"
     )
     fourth = f"<p>The {CHEMICAL} and KCNQ1 here. Again {CHEMICAL} with KCNQ1 there.</p>"
@@ -281,7 +281,7 @@ def test_entities_failed_files_and_typed_literals(spark, tmp_path):
     xml = sa.article_xml(spark, str(tmp_path / "c"))
     assert [r["paragraphs"] for r in sa.parse_articles(xml).collect()] == [["caf\u00e9\u00a0<x> &c"]]
     failed = sa.failed_articles(xml).collect()
-    assert len(failed) == 1 and failed[0]["path"].endswith("b.fxml") and "unknown" in failed[0]["reason"]
+    assert len(failed) == 1 and failed[0]["path"].endswith("b.fxml") and "undefined entity" in failed[0]["reason"]
     _write(tmp_path / "d/1.json", '{"id": "1"}\n{ no\n')
     assert [r["text"] for r in sa.failed_digests(spark, str(tmp_path / "d")).collect()] == ["{ no"]
     assert sa.read_digests(spark, str(tmp_path / "d")).count() == 1
