@@ -220,7 +220,9 @@ def failed_digests(spark: SparkSession, path: str, multi_line: bool = False) ->
 
 def read_digests(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Digests with defaults for missing parts; unreadable documents are rows of ``failed_digests`` instead."""
-    raw = _digest_lines(spark, path, multi_line).filter("_malformed is null").drop("_malformed")
+    # The reader refuses queries on the mark of unreadable documents alone, so another field is looked at too.
+    readable = F.col("_malformed").isNull() & (F.coalesce(F.length("id"), F.lit(0)) >= 0)
+    raw = _digest_lines(spark, path, multi_line).filter(readable).drop("_malformed")
     types = {f.name: f.dataType for f in DIGEST.fields}
     lists = ["A", "B", "C", "AB", "BC", "AC", "BB", "ABC"]
     return raw.withColumns({c: F.coalesce(F.col(c), F.array().cast(types[c])) for c in lists})
