@@ -3,9 +3,10 @@
 One pass over the text gives each document its shingle count, a class key of its words, a packed signature of
 the low bits of its minima, and band keys. Documents with the same words form a class; only one of each class
 goes on. Members of a band bucket are paired with the bucket's first member, the packed signatures estimate
-their similarity, and what may reach the threshold is confirmed on the full shingle sets. Members that this
-star leaves outside are compared with the rest of their buckets, so no link is lost to the star; exact
-distances to the star's centre rule out most of those pairs by the triangle inequality of Jaccard distance.
+their similarity, and what may reach the threshold is confirmed on the full shingle sets. Where a bucket is not
+in one component then, a second star is tried, and what is still outside is compared with the rest of its star
+in blocks, so no link is lost to the stars; exact distances to the star's centre rule out many of those
+comparisons by the triangle inequality of Jaccard distance.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ BITS = 4
 #: deviation of 0.037, so a true link falls under it once in about 10**10 pairs.
 ESTIMATE_FLOOR = 0.56
 
+#: Members of each side that a task compares at once.
+BLOCK_ROWS = 128
+
 _LANES = 64 // BITS
 _WORDS = BANDS * ROWS // _LANES
 _LANE_MASK = 0x1111111111111111
@@ -184,14 +188,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
     sig = firsts.select("id", "n", "sig")
     star = shared.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = written(_estimated(star, sig, percent), "star")
-    checked = written(confirmed(likely, docs, size), "confirmed")
-    links = checked.filter(_linked(percent)).select("a", "b")
-    first_labels = written(components(links), "labels")
+    checked = written(confirmed(written(_estimated(star, sig, percent), "star"), docs, size), "confirmed")
+    labels = written(components(checked.filter(_linked(percent)).select("a", "b")), "labels")
+
+    # A second star around other members, where the first has left several components in a bucket.
+    split = _placed(shared, labels).filter("apart")
+    other = split.groupBy("key").agg(F.min_by("id", F.xxhash64("id")).alias("b"))
+    again = split.join(other, "key").filter("id != b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
+    links = confirmed(written(_estimated(again, sig, percent), "star"), docs, size).filter(_linked(percent)).select("a", "b")
+    labels = written(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "labels")
 
-    rest = written(_outside(shared, sig, checked, first_labels, percent), "rest")
-    more = confirmed(rest, docs, size).filter(_linked(percent)).select("a", "b")
-    merged = components(first_labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    rest = written(_outside(shared, sig, checked, labels, docs, size, percent), "rest")
+    links = confirmed(rest, docs, size).filter(_linked(percent)).select("a", "b")
+    merged = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     labelled = base.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left").join(merged, F.col("rep") == F.col("node"), "left")
     out = labelled.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -214,28 +223,82 @@ def _estimated(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     return joined.filter(_sizes_fit("n_a", "n_b", percent)).filter(estimate(F.col("sig_a"), F.col("sig_b")) >= ESTIMATE_FLOOR).select("a", "b")
 
 
-def _outside(shared: DataFrame, sig: DataFrame, checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members that the star has left in different components and that may still be linked."""
-    known = checked.select(
-        F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("far")
-    )
+def _placed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket members with their component ``own``, and ``apart``: it is not that of the bucket's centre."""
     of = lambda name, out: labels.select(F.col("node").alias(name), F.col("component").alias(out))
     placed = shared.join(of("id", "own"), "id", "left").join(of("centre", "hub"), "centre", "left")
-    placed = placed.withColumn("own", F.coalesce("own", "id")).withColumn("hub", F.coalesce("hub", "centre"))
-    split = placed.filter("own != hub").select("key").distinct()
-    placed = placed.join(split, "key", "left_semi").join(known, ["id", "centre"], "left")
-    placed = placed.withColumn("far", F.when(F.col("id") == F.col("centre"), F.lit(0.0)).otherwise(F.col("far"))).join(sig, "id")
-    x = placed.filter("own != hub").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "own", "far", "n", "sig")])
-    y = placed.filter("id != centre").select("key", *[F.col(c).alias(f"y_{c}") for c in ("id", "own", "hub", "far", "n", "sig")])
-    apart = (
-        (F.col("x_own") != F.col("y_own"))
-        # Of two members outside the centre's component, the pair is made once.
-        & ((F.col("y_own") == F.col("y_hub")) | (F.col("x_id") < F.col("y_id")))
-        & (F.coalesce(F.abs(F.col("x_far") - F.col("y_far")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
-        & _sizes_fit("x_n", "y_n", percent)
+    placed = placed.withColumns({"own": F.coalesce("own", "id"), "hub": F.coalesce("hub", "centre")})
+    return placed.withColumn("apart", F.col("own") != F.col("hub"))
+
+
+def _hash_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for first, end, texts in slices(batch.column("text"), SPACED):
+                hashes = texts.hashes()
+                out += [np.unique(shingles(hashes[texts.words[i] : texts.words[i + 1]], size)).tobytes() for i in range(end - first)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "set"])
+
+    return run
+
+
+def _compare_block(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = {name: table.column(name).to_pylist() for name in ("id", "own", "apart", "far", "n", "set")}
+        sig = np.array(table.column("sig").to_pylist(), dtype=np.int64).view(np.uint64)
+        side = np.array(table.column("left").to_pylist(), dtype=bool)
+        own, n, ids, apart = (np.array(rows[x]) for x in ("own", "n", "id", "apart"))
+        far = np.array([np.nan if x is None else x for x in rows["far"]])
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in rows["set"]]
+        right, found = np.flatnonzero(~side), []
+        chance = 1.0 / (1 << BITS)
+        for y in np.flatnonzero(side).tolist():
+            x = sig[right] ^ sig[y]
+            for shift in (1, 2):
+                x |= x >> np.uint64(shift)
+            differ = np.bitwise_count(x & np.uint64(_LANE_MASK)).sum(axis=1)
+            likely = (1.0 - differ / (BANDS * ROWS) - chance) / (1.0 - chance) >= ESTIMATE_FLOOR
+            likely &= (own[right] != own[y]) & (100 * np.minimum(n[right], n[y]) >= percent * np.maximum(n[right], n[y]))
+            # Distances to the centre that differ by more than a link allows rule the link out.
+            likely &= ~(np.abs(far[right] - far[y]) > 1 - percent / 100 + 1e-9)
+            # Of two members outside the centre's component the pair is met twice.
+            likely &= ~apart[right] | (ids[right] > ids[y])
+            for z in right[likely].tolist():
+                at = np.minimum(np.searchsorted(sets[z], sets[y]), len(sets[z]) - 1)
+                both = int((sets[z][at] == sets[y]).sum())
+                if 100 * both >= percent * (len(sets[y]) + len(sets[z]) - both):
+                    found.append((max(rows["id"][y], rows["id"][z]), min(rows["id"][y], rows["id"][z])))
+        return pa.table([pa.array([p[i] for p in found], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    return run
+
+
+def _outside(shared: DataFrame, sig: DataFrame, checked: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) by hashed sets between members of a centre's buckets that are still in different components.
+
+    Members outside the centre's component are met with all others of the centre, in blocks of at most twice
+    ``BLOCK_ROWS`` sets a task: no table of pairs is made, and no task holds a whole group.
+    """
+    known = checked.select(
+        F.col("a").alias("id"), F.col("b").alias("centre"), (1 - F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both"))).alias("far")
     )
-    pairs = x.join(y, (x["key"] == y["key"]) & apart & (estimate(F.col("x_sig"), F.col("y_sig")) >= ESTIMATE_FLOOR))
-    return pairs.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
+    placed = written(_placed(shared, labels).filter("id != centre").select("centre", "id", "own", "apart").distinct(), "placed")
+    counts = placed.groupBy("centre").agg(F.count("*").alias("n_all"), F.count_if("apart").alias("n_apart")).filter("n_apart > 0 and n_all > 1")
+    chunks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    sized = counts.select("centre", chunks("n_all").alias("rights"), chunks("n_apart").alias("lefts"))
+    members = placed.join(sized, "centre").join(known, ["id", "centre"], "left").join(sig, "id")
+    need, _ = small_side(members.select("id").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    sets = texts.join(need, "id", "left_semi").mapInArrow(_hash_sets(size), "id long, set binary")
+    members = members.join(sets, "id")
+    own_chunk = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    block = lambda l, r, left: F.struct(l.alias("l"), r.alias("r"), F.lit(left).alias("left"))
+    as_right = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda l: block(l, own_chunk("rights"), False))
+    as_left = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda r: block(own_chunk("lefts"), r, True))
+    placed_rows = members.withColumn("block", F.explode(F.when(F.col("apart"), F.concat(as_right, as_left)).otherwise(as_right)))
+    rows = placed_rows.select("centre", "block.*", "id", "own", "apart", "far", "n", "sig", "set")
+    return rows.groupBy("centre", "l", "r").applyInArrow(_compare_block(percent), "a long, b long").distinct()
 
 
 def firsts_of_groups(docs: DataFrame, near: DataFrame) -> DataFrame:
