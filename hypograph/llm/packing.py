@@ -25,7 +25,7 @@ CAPACITY = 2048
 #: Pieces that one task ranks; a length with more of them is split over several groups.
 GROUP_ROWS = 200_000
 #: Words whose ids a worker keeps; memory for them is bounded, results do not depend on it.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 #: Marks between a letter and a blank: the tokenizer cuts them off as well, so the word may be looked up alone.
 _CLOSING = re.compile(r"(?<=[^\W\d_])([,.!?;:]+)(?= |$)")
