@@ -29,6 +29,8 @@ BITS = 4
 #: Estimates under this are not confirmed. With 128 minima the estimate of a pair at 0.8 has a standard
 #: deviation of 0.037, so a true link falls under it once in about 10**10 pairs.
 ESTIMATE_FLOOR = 0.56
+#: Links at less than this would be lost to the bands and to the floor.
+LEAST_PERCENT = 80
 
 #: Members of each side that a task compares at once.
 BLOCK_ROWS = 128
@@ -169,13 +171,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
     Words are what white space separates, A-Z lower-cased. A document's set holds its distinct shingles of
     ``size`` words, of fewer words the whole sequence. Sets that share at least ``percent`` of their union are
-    linked; ``component_id`` is the least doc_id reachable over links.
+    linked; ``component_id`` is the least doc_id reachable over links. ``percent`` under 80 is an error.
 
     * Null or blank text: no shingles, no links, its own component, kept.
     * Rows that repeat an id are one node of the graph; each row is labelled by its own words.
     * Null doc_id: takes the component of documents with the same words, else null; kept if that is null.
     * An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"bands and estimate are made for links at {LEAST_PERCENT} percent and more")
     base = written(signatures(docs, size), "signatures")
     classes = base.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     members = base.join(classes, "cls", "left")

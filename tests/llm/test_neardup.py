@@ -107,3 +107,8 @@ def test_components_equal_union_find(spark, seed):
         root[y] = x
     out = {x["node"]: x["component"] for x in _stages.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_thresholds_that_bands_and_floor_are_not_made_for():
+    with pytest.raises(ValueError, match="80 percent"):
+        neardup.near_duplicates(None, percent=60)
