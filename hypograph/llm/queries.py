@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..operators.sizing import scratch_dir, small_side, written
-from . import decontam, langid, neardup, packing, passages, rollup, sharding, topk, toxicity, warc
+from . import clusters, decontam, langid, neardup, packing, passages, rollup, sharding, simhash, topk, toxicity, trie, warc
 
 SHARDS = 24
 
@@ -109,6 +109,18 @@ def op10_benchmark_leaks(spark, d):
     )
 
 
+def op11_prefix_trie(spark, d):
+    return trie.prefix_trie(_table(spark, d, "conversations"))
+
+
+def op12_simhash(spark, d):
+    return simhash.near_duplicates(_table(spark, d, "documents"))
+
+
+def op13_clusters(spark, d):
+    return clusters.clusters(_table(spark, d, "embeddings"))
+
+
 QUERIES = {
     x.__name__: x
     for x in (
@@ -122,11 +134,48 @@ QUERIES = {
         op8_token_totals,
         op9_toxicity,
         op10_benchmark_leaks,
+        op11_prefix_trie,
+        op12_simhash,
+        op13_clusters,
     )
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _clusters_sql(k=40, rounds=5):
+    """Rounds as one common table expression each; components are summed place by place."""
+    assign = """a{i} AS MATERIALIZED (
+  SELECT vec_id, v, cluster, distance FROM (
+    SELECT v.vec_id, v.v, c.cluster, list_sum(list_transform(generate_series(1, 64), lambda j: (v.v[j] - c.v[j]) * (v.v[j] - c.v[j])))::BIGINT AS distance
+    FROM v, c{i} c
+  ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+)"""
+    update = """s{i} AS (
+  SELECT cluster, j, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(generate_series(1, 64)) AS j, unnest(v) AS x FROM a{i}) GROUP BY 1, 2
+),
+c{n} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(u.v, c.v) AS v
+  FROM c{i} c LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY 1) u ON u.cluster = c.cluster
+)"""
+    steps = [part for i in range(rounds) for part in (assign.format(i=i), update.format(i=i, n=i + 1))]
+    return """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1)::INTEGER AS cluster, v FROM v WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= %d
+),
+%s,
+%s
+SELECT a.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+       (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a%d a JOIN c%d c ON c.cluster = a.cluster
+""" % (k, ",\n".join(steps), assign.format(i=rounds), rounds, rounds)
+
+
 ORACLE = {
     "op1_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -207,4 +256,33 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """,
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS w
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+),
+h AS (
+  SELECT a.conv_id AS c, a.w, coalesce(b.w, []) AS base,
+         (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(a.conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) AS inverse
+  FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 100
+),
+k AS (SELECT c, w, base, ((4294967295 - inverse) % 6)::INTEGER AS h FROM h),
+r AS (SELECT c, base[1:h] || w[h + 1:] AS w FROM k),
+p AS (SELECT c, len(w) AS n, unnest(generate_series(0, len(w))) AS d, w FROM r),
+q AS (SELECT c, n, d, sha256(to_json(w[1:d])::VARCHAR) AS id, CASE WHEN d > 0 THEN sha256(to_json(w[1:d - 1])::VARCHAR) END AS up, CASE WHEN d > 0 THEN length(w[d].t) ELSE 0 END AS size FROM p),
+g AS (
+  SELECT d, id, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+  FROM q GROUP BY 1, 2
+),
+kids AS (SELECT up AS id, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY 1),
+m AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN kids USING (id)),
+s AS (
+  SELECT q.id, sum((m.n_convs - 1) * m.size)::BIGINT AS saved_tokens, (count(*) FILTER (m.n_children = 0))::BIGINT AS n_leaves
+  FROM m JOIN q ON q.c = m.conv_id AND q.d <= m.d GROUP BY 1
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM m JOIN s ON s.id = m.id LEFT JOIN m u ON u.id = m.up
+""",
+    "op13_clusters": _clusters_sql(),
 }
