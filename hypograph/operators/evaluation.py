@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
-from .sizing import keyed_join
+from .sizing import keyed_join, written
 from .vocab import STOP_EVALUATION
 
 KEY = ["l", "r", "pmid"]
@@ -90,6 +90,20 @@ def special_interest(l: Column, r: Column, targets: list[str] | None = None) ->
     return l.isin(names) | r.isin(names)
 
 
+def mark_special_interest(pairs: DataFrame, targets: DataFrame, term: str = "term") -> DataFrame:
+    """``pairs`` (l, r, any others) with ``special``: whether ``l`` or ``r`` is one of the ``targets``, a table of any size.
+
+    Two keyed joins, in which the targets are broadcast if they were measured as small; nothing is collected.
+    """
+    columns = pairs.columns
+    names = written(targets.select(F.col(term).alias("_term")).filter("_term is not null").distinct(), "targets")
+    for side in ("l", "r"):
+        known = names.select(F.col("_term").alias(side), F.lit(True).alias(f"_{side}"))
+        pairs = keyed_join(pairs, known, [side], "left")
+    special = F.coalesce("_l", F.lit(False)) | F.coalesce("_r", F.lit(False))
+    return pairs.withColumn("special", special).select(*[F.col(f"`{c}`") for c in columns], "special")
+
+
 def confusion(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     return scored.groupBy(label, prediction).agg(F.count("*").alias("n"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import keyed_join
+from .sizing import keyed_join, written
 
 
 def trim_uri(uri: Column) -> Column:
@@ -77,3 +77,37 @@ def two_hop_counts(graph_edges: DataFrame, starts: DataFrame) -> DataFrame:
         .groupBy("src", "dst")
         .agg(F.sum(F.col("n1") * F.col("n2")).alias("n_paths"))
     )
+
+
+def walk_counts(graph_edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(id, n_paths): paths of ``hops`` edges ``(x)-[]->()-[]->...`` from every vertex that has one.
+
+    No path is listed: the paths from x are those from its neighbours one edge shorter, so every hop is one join
+    of edges (parallel ones counted) with a number per vertex, in which hubs are split, and one sum.
+    """
+    links = written(graph_edges.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
+    counts = links.groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("n_paths"))
+    for _ in range(hops - 1):
+        step = keyed_join(links, written(counts, "walks").withColumnRenamed("id", "dst"), ["dst"])
+        counts = step.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("n") * F.col("n_paths")).alias("n_paths"))
+    return counts
+
+
+def triangle_counts(graph_edges: DataFrame) -> DataFrame:
+    """(id, n_triangles) of every vertex in a triangle; direction, parallel edges and loops do not count.
+
+    Edges go from the end with fewer neighbours to the one with more (ties by name), so a vertex has at most
+    the square root of twice the number of edges going out, and a hub few. Two edges out of one vertex that a
+    third edge closes are a triangle, met once; the join on that vertex is split where it is heavy.
+    """
+    ends = graph_edges.filter("src != dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    ends = written(ends, "ends")
+    degrees = written(ends.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("k")), "degrees")
+    for side in ("x", "y"):
+        ends = keyed_join(ends, degrees.select(F.col("id").alias(side), F.col("k").alias(f"k_{side}")), [side])
+    up = F.struct("k_x", "x") <= F.struct("k_y", "y")
+    low, high = F.when(up, F.col("x")).otherwise(F.col("y")), F.when(up, F.col("y")).otherwise(F.col("x"))
+    out = written(ends.select(low.alias("u"), high.alias("v")), "oriented")
+    wedges = keyed_join(out, out.withColumnRenamed("v", "w"), ["u"]).filter("v < w")
+    closed = keyed_join(wedges, out.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w")), ["v", "w"], "left_semi")
+    return closed.select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count("*").alias("n_triangles"))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.measures import composite_distance
+from .sizing import written
 from .vocab import STOP_EQUIVALENCE
 
 # List code, left category, right category.
 AB, BC, AC, BB = (1, "A", "B"), (2, "B", "C"), (3, "A", "C"), (4, "B", "B")
 PAIR_THRESHOLD = 800
 KINASE_THRESHOLD = 8000
+#: Pairs of a stretch of text that are matched inside one row.
+FEW_PAIRS = 48
 
 
 def cooccurrences(
@@ -126,40 +127,86 @@ def equivalence_sets(
     return match_one_to_one(pairs, id_col)
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _greedy_picks(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Numbers of the pairs that a greedy one-to-one matching keeps, given both positions in rank order."""
+_ITEM = ["doc_dist", "l_pos", "r_pos", "para_dist", "sent_dist", "uber_dist"]
 
-    def picks(ls, rs):
-        used_left, used_right, kept = set(), set(), []
-        for i, (a, b) in enumerate(zip(ls.tolist(), rs.tolist(), strict=True)):
-            if a not in used_left and b not in used_right:
-                used_left.add(a)
-                used_right.add(b)
-                kept.append(i)
-        return kept
 
-    return pd.Series([picks(a, b) for a, b in zip(left, right, strict=True)], dtype=object)
+def _picked_in_row(ranked: Column) -> Column:
+    """The pairs that a greedy matching keeps of a short list in rank order."""
+    none = F.expr("cast(array() as array<int>)")
+    start = F.struct(F.filter(ranked, lambda x: F.lit(False)).alias("kept"), none.alias("ls"), none.alias("rs"))
+
+    def step(state, x):
+        free = ~F.array_contains(state["ls"], x["l_pos"]) & ~F.array_contains(state["rs"], x["r_pos"])
+        taken = F.struct(
+            F.array_append(state["kept"], x).alias("kept"), F.array_append(state["ls"], x["l_pos"]).alias("ls"), F.array_append(state["rs"], x["r_pos"]).alias("rs")
+        )
+        return F.when(free, taken).otherwise(state)
+
+    return F.aggregate(ranked, start, step, lambda state: state["kept"])
+
+
+def _round_picks(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """``pairs`` with ``picked``: whether the greedy matching is sure to keep the pair, judged by its neighbours.
+
+    A pair is ripe if no other one of its left or right position is closer. Ripe pairs of one distance that
+    touch form chains, each one distance further than the last, and the matching goes through a chain from its
+    low end: it keeps the first pair, drops the second, keeps the third. What comes before the chain decides
+    about its first pair, so a chain that follows on a pair which is not ripe waits. The least distance of all
+    is always ripe, so there are at most as many rounds as distances, which the pair threshold bounds.
+    """
+    by_left, by_right = (Window.partitionBy(*key, c) for c in ("l_pos", "r_pos"))
+    d, low = F.col("doc_dist"), F.least("l_pos", "r_pos")
+    ripe = (d == F.min("doc_dist").over(by_left)) & (d == F.min("doc_dist").over(by_right))
+    # Left and right positions alternate along a chain, so it has one remainder of twice the distance.
+    phase = F.when(d > 0, F.pmod(low + F.when(F.col("l_pos") < F.col("r_pos"), 0).otherwise(d), 2 * F.greatest(d, F.lit(1)))).otherwise(low)
+    marked = pairs.withColumns({"ripe": ripe, "low": low, "phase": phase})
+    chain = Window.partitionBy(*key, "doc_dist", "phase").orderBy("low")
+    follows = F.coalesce(F.lag("low").over(chain) == low - d, F.lit(False))
+    begins = F.col("ripe") & ~(follows & F.lag("ripe").over(chain))
+    first = F.last(F.when(begins, F.struct("low", follows.alias("waits"))), ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    place = F.when(d > 0, (F.col("low") - F.col("first.low")) / F.greatest(d, F.lit(1))).otherwise(F.lit(0))
+    return marked.withColumn("first", first).withColumn("picked", F.col("ripe") & ~F.col("first.waits") & (place % 2 == 0)).select(*pairs.columns, "picked")
+
+
+def _match_in_rounds(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Greedy matching of all ``pairs`` at once, round by round; every round is written, and no list is gathered."""
+    done = None
+    # Mentions that stand twice give the same pair twice.
+    rest = pairs.groupBy(*key, "doc_dist", "l_pos", "r_pos").agg(F.min(F.struct(*_ITEM[3:])).alias("x")).select(*key, *_ITEM[:3], "x.*")
+    by_left, by_right = (Window.partitionBy(*key, c) for c in ("l_pos", "r_pos"))
+    while True:
+        judged = written(_round_picks(rest, key), "round")
+        picked = judged.filter("picked").drop("picked")
+        done = picked if done is None else done.unionByName(picked)
+        gone = F.bool_or("picked").over(by_left) | F.bool_or("picked").over(by_right)
+        rest = written(judged.withColumn("gone", gone).filter("not gone").drop("gone", "picked"), "rest")
+        if rest.isEmpty():
+            return done
 
 
 def match_one_to_one(pairs: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Take the closest pair, drop all pairs sharing its left or right position, repeat.
 
-    Pairs of two words in one article fall into stretches of text that no pair reaches across; each stretch
-    is matched alone, in linear time, so a group is as long as a stretch and not as the article.
+    Ties go to the lower left, then the lower right position. Pairs of two words in one article fall into
+    stretches of text that no pair reaches across. Short ones, of up to ``FEW_PAIRS`` pairs, are matched inside
+    a row. Pairs of longer ones stay rows: all of them are matched together in rounds that settle every pair
+    whose neighbours leave no doubt, which gives the same result in bounded memory.
     """
     key = [id_col, "code", "l", "r"]
     low, high = F.least("l_pos", "r_pos"), F.greatest("l_pos", "r_pos")
     ahead = Window.partitionBy(*key).orderBy("_low")
     reached = F.max("_high").over(ahead.rowsBetween(Window.unboundedPreceding, -1))
-    spans = pairs.withColumns({"_low": low, "_high": high})
+    spans = pairs.select(*key, *_ITEM).withColumns({"_low": low, "_high": high})
     opened = spans.withColumn("_new", F.coalesce(F.col("_low") > reached, F.lit(True)).cast("int"))
     stretched = opened.withColumn("_stretch", F.sum("_new").over(ahead.rangeBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("doc_dist", "l_pos", "r_pos", "para_dist", "sent_dist", "uber_dist")
-    ranked = stretched.groupBy(*key, "_stretch").agg(F.sort_array(F.collect_list(item)).alias("ranked"))
-    picks = _greedy_picks(F.transform("ranked", lambda e: e["l_pos"]), F.transform("ranked", lambda e: e["r_pos"]))
-    kept = ranked.withColumn("picks", picks).select(*key, F.explode(F.transform("picks", lambda i: F.get("ranked", i))).alias("x"))
-    return kept.select(*key, "x.*")
+    counted = stretched.withColumn("_n", F.count("*").over(Window.partitionBy(*key, "_stretch")))
+    stored = written(counted.select(*key, *_ITEM, "_stretch", "_n"), "stretches")
+    alone = stored.filter("_n = 1").select(*key, *_ITEM)
+    few = stored.filter(F.col("_n").between(2, FEW_PAIRS)).groupBy(*key, "_stretch")
+    few = few.agg(F.sort_array(F.collect_list(F.struct(*_ITEM))).alias("ranked")).select(*key, F.explode(_picked_in_row(F.col("ranked"))).alias("x"))
+    out = alone.unionByName(few.select(*key, "x.*"))
+    many = stored.filter(F.col("_n") > max(FEW_PAIRS, 1)).select(*key, *_ITEM)
+    return out if many.isEmpty() else out.unionByName(_match_in_rounds(many, key))
 
 
 def unordered(pairs: DataFrame, code: int = 4) -> DataFrame:

@@ -10,7 +10,12 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-JOIN_SALTS = 16
+#: Rows of one key that a task of a shuffled join gets; a key with more is split.
+GROUP_ROWS = 1_000_000
+#: Keys that a join splits at most, so that their list can always be broadcast.
+HEAVY_KEYS = 100_000
+#: Groups that rows with a null in the key are spread over: they match nothing.
+NULL_SALTS = 1024
 
 
 def _width(field: T.StructField):
@@ -39,19 +44,42 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
     return df, False
 
 
-def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = JOIN_SALTS) -> DataFrame:
+def heavy_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """(_key, _salts) of the keys with more than ``GROUP_ROWS`` rows, ``_key`` being the hash of the columns ``on``.
+
+    Keys are counted with partial aggregation, so what is shuffled is a row per distinct key and map task. A key is
+    listed if it has more than ``GROUP_ROWS`` rows and more than one in ``HEAVY_KEYS`` of all rows; so the list has
+    fewer than ``HEAVY_KEYS`` rows whatever the input.
+    """
+    counts = written(rows.groupBy(F.xxhash64(*[F.col(f"`{c}`") for c in on]).alias("_key")).agg(F.count("*").alias("n")), "key-counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(GROUP_ROWS, total // HEAVY_KEYS)
+    return counts.filter(F.col("n") > limit).select("_key", F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """``left`` joined with ``right`` on columns of the same names, where keys of ``left`` may be hot.
 
-    ``right`` is broadcast if it was measured as small. Otherwise the rows of a key of ``left`` are spread over
-    ``salts`` groups and ``right`` is repeated for each, so no key meets in one task. For inner, left, semi
-    and anti joins; the result is the same either way.
+    ``right`` is broadcast if it was measured as small. Otherwise the keys of ``left`` are counted, a key with more
+    than ``GROUP_ROWS`` rows is split into as many groups as it fills, and only the rows of ``right`` with such a
+    key are repeated, once for each group. Rows with a null in the key, which match nothing, are spread. For inner,
+    left, semi and anti joins; the result is the same either way. Rows of ``left`` are dealt out by a hash of all
+    their columns, so only rows that are equal throughout stay together.
     """
     side, is_small = small_side(right)
     if is_small:
         return left.join(side, on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    return left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
+    typed = [F.col(f"`{c}`").cast(left.schema[c].dataType) for c in on]
+    heavy = F.broadcast(heavy_keys(left, on))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    absent = F.lit(False)
+    for c in on:
+        absent = absent | F.col(f"`{c}`").isNull()
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.when(absent, F.lit(NULL_SALTS)).otherwise(salts)).cast("int")
+    split = left.withColumn("_key", F.xxhash64(*typed)).join(heavy, "_key", "left").withColumn("_salt", spread).select(*left.columns, "_salt")
+    repeated = right.withColumn("_key", F.xxhash64(*typed)).join(heavy, "_key", "left")
+    repeated = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select(*right.columns, "_salt")
+    return split.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import PROFILE_BIN_SECONDS, equal_width_bin
-from .sizing import written
+from .sizing import fits_broadcast, small_side, written
 
 # Fixed values: (tenth, weight) of the cumulative counts in the sum of the twice applied gradient of a
 # 10-bin histogram; the total has weight 1.25.
@@ -244,23 +244,61 @@ def profiled(
     return profiles.withColumn("kind", kind).filter(F.col("kind").isNotNull() & shown & (F.col("n") > 1))
 
 
+#: Parts that a range of values is cut into in one round of a selection.
+SELECTION_PARTS = 1024
+
+
+def exact_quantiles(values: DataFrame, keys: list[str], cuts: list[float], value: str = "value") -> DataFrame:
+    """(keys, cut, quantile): exact quantiles of a whole-numbered column per key, between ranks by interpolation.
+
+    Selection by refinement. Each wanted rank has a range of values that holds it, at first from the key's least
+    to its greatest value. A round cuts every range into ``SELECTION_PARTS`` and counts the rows of each part with
+    partial aggregation; the part with the rank is the next range, until it is one value. So a key with most rows
+    costs a task at most that many counts per rank, and a round one pass; a span of 2**40 takes four of them.
+    ``values`` should be a written table. Null values are left out, null keys are a key.
+    """
+    rows = values.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("long").alias("_v"))
+    spans = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    listed = F.array(*[F.lit(float(c)) for c in cuts])
+    wanted = spans.withColumn("cut", F.explode(listed)).withColumn("_at", F.col("cut") * (F.col("_n") - 1))
+    wanted = written(wanted.withColumn("_part", F.col("_at") - F.floor("_at")), "wanted")
+    ranks = wanted.select(*keys, "_low", "_high", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank")).distinct()
+    state = written(ranks.withColumn("_below", F.lit(0).cast("long")), "ranks")
+    same = lambda left, right, columns: [left[c].eqNullSafe(right[c]) for c in columns]
+    while not state.filter("_low < _high").isEmpty():
+        open_ranges = state.filter("_low < _high").groupBy(*keys).agg(F.collect_list(F.struct("_rank", "_low", "_high", "_below")).alias("_ranges"))
+        side, _ = small_side(open_ranges)
+        met = rows.join(side, same(rows, side, keys)).select(
+            *[rows[c] for c in keys], "_v", F.explode(F.filter("_ranges", lambda r: (F.col("_v") >= r["_low"]) & (F.col("_v") <= r["_high"]))).alias("r")
+        )
+        width = F.ceil((F.col("r._high") - F.col("r._low") + 1) / SELECTION_PARTS)
+        counts = met.groupBy(*keys, "r", F.floor((F.col("_v") - F.col("r._low")) / width).alias("_cell")).agg(F.count("*").alias("_m"))
+        upto = F.sum("_m").over(Window.partitionBy(*keys, "r").orderBy("_cell")) + F.col("r._below")
+        # Cells are few: at most SELECTION_PARTS a rank.
+        cells = counts.withColumns({"_upto": upto, "_width": width}).filter((F.col("r._rank") < F.col("_upto")) & (F.col("r._rank") >= F.col("_upto") - F.col("_m")))
+        low = F.col("r._low") + F.col("_cell") * F.col("_width")
+        new = cells.select(*keys, low.alias("_low"), F.least(low + F.col("_width") - 1, "r._high").alias("_high"), F.col("r._rank").alias("_rank"), (F.col("_upto") - F.col("_m")).alias("_below"))
+        state = written(state.filter("_low = _high").unionByName(new.select(*state.columns)), "ranks")
+    found = state.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_rank").alias("_r"), F.col("_low").alias("_x"))
+    on_keys = [wanted[c].eqNullSafe(found[f"_k{i}"]) for i, c in enumerate(keys)]
+    both = wanted.join(F.broadcast(found) if fits_broadcast(found) else found, [*on_keys, (found["_r"] == F.floor("_at")) | (found["_r"] == F.ceil("_at"))])
+    lower, upper = F.min("_x").cast("double"), F.max("_x").cast("double")
+    return both.groupBy(*keys, "cut", "_part").agg((lower + (upper - lower) * F.col("_part")).alias("quantile")).drop("_part")
+
+
 def distance_distribution(pairs: DataFrame, fact: str = "fact") -> DataFrame:
     """Minimum, quartiles and maximum of the three distances by truth."""
-    cuts = "array(0.0D, 0.25D, 0.5D, 0.75D, 1.0D)"
-    stats = pairs.groupBy(fact).agg(
-        F.count("*").alias("n"),
-        *[F.expr(f"percentile({c}, {cuts})").alias(c) for c in ("doc_dist", "para_dist", "sent_dist")],
-    )
     names = ["low", "q1", "median", "q3", "high"]
-    return stats.select(
-        fact,
-        "n",
-        *[
-            F.col(c)[i].alias(f"{c}_{name}")
-            for c in ("doc_dist", "para_dist", "sent_dist")
-            for i, name in enumerate(names)
-        ],
-    )
+    kinds = ["doc_dist", "para_dist", "sent_dist"]
+    stored = written(pairs.select(F.col(fact).alias("_fact"), *[F.col(c).cast("long").alias(c) for c in kinds]), "distances")
+    long = stored.select("_fact", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in kinds])).alias("x"))
+    found = exact_quantiles(long.select("_fact", "x.*"), ["_fact", "kind"], [0.0, 0.25, 0.5, 0.75, 1.0])
+    wanted = [(c, i, name) for c in kinds for i, name in enumerate(names)]
+    cells = [F.max(F.when((F.col("kind") == c) & (F.col("cut") == i / 4), F.col("quantile"))).alias(f"{c}_{name}") for c, i, name in wanted]
+    counts = stored.groupBy("_fact").agg(F.count("*").alias("n"))
+    cuts = found.groupBy(F.col("_fact").alias("_own")).agg(*cells)
+    joined = counts.join(cuts, counts["_fact"].eqNullSafe(cuts["_own"]), "left")
+    return joined.select(F.col("_fact").alias(fact), "n", *[f"{c}_{name}" for c, _, name in wanted])
 
 
 def monthly(rows: DataFrame, day: str = "pub_date", measure: Column | None = None) -> DataFrame:
@@ -304,6 +342,25 @@ def window_members(rows: DataFrame, depth: int, day: str = "pub_date") -> DataFr
     )
 
 
+def window_distinct(rows: DataFrame, term: str, day: str = "pub_date", depths: dict[str, int] | None = None, lg_entries: int = 14) -> DataFrame:
+    """(window, window_end, n_terms): distinct terms of every trailing window and of all text up to each month.
+
+    Every row is read once, into the sketch of its month: a theta sketch of at most ``2 ** lg_entries`` hashes, which
+    several tasks build and one merges. Windows are unions of months' sketches, so what a window costs does not
+    depend on its rows. Exact up to ``2 ** lg_entries`` terms; beyond, the standard error is ``2 ** (-lg_entries / 2)``.
+    Undated rows and null terms are left out. Windows end in the months from the corpus' first to its last.
+    """
+    dated = rows.filter(F.col(day).isNotNull() & F.col(term).isNotNull()).groupBy(F.trunc(day, "month").alias("month"))
+    months = written(dated.agg(F.theta_sketch_agg(term, lg_entries).alias("sketch")), "months")
+    last = months.agg(F.max("month")).scalar()
+    ends = [F.struct(F.lit(k).alias("window"), F.add_months("month", v - 1).alias("upto")) for k, v in (depths or WINDOW_MONTHS).items()]
+    ends.append(F.struct(F.lit("cumulative").alias("window"), last.alias("upto")))
+    panes = months.select("month", "sketch", F.explode(F.array(*ends)).alias("w"))
+    spread = panes.select("w.window", "sketch", F.explode(F.sequence("month", F.least("w.upto", last), F.expr("interval 1 month"))).alias("window_end"))
+    merged = spread.groupBy("window", "window_end").agg(F.theta_union_agg("sketch", lg_entries).alias("sketch"))
+    return merged.select("window", "window_end", F.round(F.theta_sketch_estimate("sketch")).cast("long").alias("n_terms"))
+
+
 def cumulative_windows(months: DataFrame, min_size: int = 0) -> DataFrame:
     """Corpus size up to each month; months below ``min_size`` are left out.
 

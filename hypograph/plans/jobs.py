@@ -174,13 +174,13 @@ def train_relevance(annotated: DataFrame, model_path: str | None = None) -> Rele
 def stored_series(spark: SparkSession, store: str, mentions: DataFrame, keys: list[str], min_size: int = 400, ts: str = "pub_ts") -> DataFrame:
     """Sorted series of the keys with at least ``min_size`` dated mentions: from the store, else built and stored.
 
-    The threshold is part of the table's name, so another one is another table.
+    A store holds a table for each threshold and content of ``mentions``: other mentions are another table.
     """
     def build():
         dated = mentions.filter(F.col(ts).isNotNull())
         return tl.mention_series(tl.long_series(dated, keys, min_size), keys, ts=ts)
 
-    return sb.read_or_build(spark, f"{store}/series-{min_size}", build)
+    return sb.read_or_build(spark, f"{store}/series-{min_size}", build, [mentions], (tuple(keys), ts, min_size))
 
 
 @dataclass(frozen=True)

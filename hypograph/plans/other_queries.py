@@ -17,14 +17,15 @@ from ..operators import pairs as pr
 from ..operators import relevance as rl
 from ..operators.sentences import sentences, token_corpus
 from ..operators.sizing import scratch_dir, written
-from ..operators.timeline import model_grid
+from ..operators.timeline import WINDOW_MONTHS, model_grid
 from ..operators.vocab import classify_trees
 from ..sources import articles as sa
 from ..sources import records as sr
 from ..sources import tables as sb
-from ..streaming.incremental import incremental_result, run_incremental
+from ..streaming.incremental import done_articles, incremental_result, run_incremental
 from . import fixtures as fx
 from .fixtures import with_cte
+from .text_queries import _CORPUS
 
 
 def _scored(spark, d):
@@ -96,6 +97,26 @@ def embedding_store(spark, d):
     return rows.withColumn("n_again", F.lit(len(again)))
 
 
+_GRID_SIZE = 8
+
+
+def embedding_grid(spark, d):
+    """Vectors of every trailing and cumulative window, of words and of bigrams: per window the vocabulary, its uses, and
+    sums over all vectors; a second run finds nothing to do."""
+    months = fx.articles(spark, d).select("article_id", F.trunc("pub_date", "month").alias("month"))
+    corpus = token_corpus(fx.article_sentences(spark, d)).join(months, "article_id")
+    stored = em.training_corpus(corpus, ["article_id", "sent_pos"])
+    grid, store = model_grid(months.select("month").distinct()), scratch_dir(spark, "vectors")
+    em.sketch_grid(stored, grid, store, min_size=1, size=_GRID_SIZE)
+    again = em.sketch_grid(stored, grid, store, min_size=1, size=_GRID_SIZE)
+    rows = spark.read.parquet(store)
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    sums = rows.groupBy(*em.GRID).agg(
+        F.count("*").alias("n_words"), F.sum("n").alias("n_uses"), F.sum(F.col("vector")[0]).cast("long").alias("first"), F.sum(squares).cast("long").alias("squares")
+    )
+    return sums.withColumn("n_again", F.lit(again.count()).cast("long")).withColumn("until", F.col("until").cast("string"))
+
+
 def nearest_vectors(spark, d):
     """The five rows most similar to each vector whose id is divisible by 50."""
     e = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").alias("vector"))
@@ -153,6 +174,25 @@ def motif_two_hop(spark, d):
     return gr.two_hop_counts(edges, named)
 
 
+def _wide_edges(spark, d):
+    """The graph with parts placed in nations as well, so that it has triangles, and nations as hubs."""
+    parts = fx.table(spark, d, "part").select(
+        F.concat(F.lit("part/"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("src"),
+        F.concat(F.lit("nation/"), (F.col("p_partkey") % 25).cast("string")).alias("dst"),
+        F.lit("resource/made_in").alias("relationship"),
+    )
+    return _edges(spark, d).unionByName(parts)
+
+
+def walk_counts(spark, d):
+    """Paths of two edges from every vertex."""
+    return gr.walk_counts(_wide_edges(spark, d))
+
+
+def triangle_counts(spark, d):
+    return gr.triangle_counts(_wide_edges(spark, d))
+
+
 def uri_trim(spark, d):
     p = fx.table(spark, d, "pages").select("page_id", "url")
     wrapped = F.concat(F.lit("<"), "url", F.lit(">"))
@@ -536,10 +576,43 @@ def incremental_mentions(spark, d):
         return mt.single_word_mentions(sentences(arts), vocab)
 
     for checkpoint in (state, state, scratch_dir(spark, "state")):  # the third run has lost its checkpoint
-        run_incremental(spark, source, docs.schema, find, target, checkpoint, files_per_batch=2, key="article_id")
+        run_incremental(spark, source, docs.schema, find, target, checkpoint, files_per_batch=2, key="article_id", source_key="doc_id")
     return incremental_result(spark, target)
 
 
+def _arrivals(spark, d, n):
+    """Documents in ``n`` folders of a source: each document comes twice in the first, and again in the others."""
+    docs, source = fx.table(spark, d, "documents").select("doc_id", "text"), scratch_dir(spark, "arrivals")
+    parts = [docs.filter("doc_id % 3 <> 2").unionByName(docs.filter("doc_id % 3 = 0")), docs.filter("doc_id % 3 <> 0"), docs]
+    return docs.schema, source, parts[:n]
+
+
+def incremental_repeats(spark, d):
+    """Documents that come again in the same file, in later files, in later runs and after a lost checkpoint: each once."""
+    schema, source, parts = _arrivals(spark, d, 3)
+    target, state = scratch_dir(spark, "mentions"), scratch_dir(spark, "state")
+    vocab = written(fx.vocab(spark, d), "vocab")
+
+    def find(batch):
+        arts = batch.select(F.col("doc_id").alias("article_id"), F.split("text", "\n").alias("paragraphs"))
+        return mt.single_word_mentions(sentences(arts), vocab)
+
+    for part, checkpoint in zip(parts, (state, state, scratch_dir(spark, "state")), strict=True):
+        part.repartition(2).write.mode("append").parquet(source)
+        run_incremental(spark, source, schema, find, target, checkpoint, files_per_batch=2, key="article_id", source_key="doc_id")
+    return incremental_result(spark, target)
+
+
+def pending_after_run(spark, d):
+    """Articles that a run over a part of the source has left to do; those without a hit count as done."""
+    schema, source, parts = _arrivals(spark, d, 1)
+    parts[0].write.parquet(source)
+    target = scratch_dir(spark, "mentions")
+    none = lambda batch: batch.filter("doc_id < 0")
+    run_incremental(spark, source, schema, none, target, scratch_dir(spark, "state"), key="doc_id")
+    return sa.pending(fx.table(spark, d, "documents").select("doc_id"), done_articles(spark, target, "doc_id"), "doc_id")
+
+
 def pending_articles(spark, d):
     """Articles without an output yet, where the labelled documents count as done."""
     arts = fx.articles(spark, d).select("article_id")
@@ -556,6 +629,7 @@ _ALL = (
     cosine_pairs,
     embedding_synonyms,
     embedding_store,
+    embedding_grid,
     nearest_vectors,
     graph_vertices,
     graph_vertices_distinct,
@@ -594,7 +668,11 @@ _ALL = (
     corpus_listing,
     model_store,
     incremental_mentions,
+    incremental_repeats,
     pending_articles,
+    pending_after_run,
+    walk_counts,
+    triangle_counts,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -608,8 +686,10 @@ CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END AS f FROM cells),
 fm AS (SELECT *, CASE WHEN 4 * p + r = 0 THEN 0 ELSE 5 * p * r / (4 * p + r) END AS fb, (tp + fn) / n AS w FROM pr)"""
 _COSINE = """round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / (sqrt(list_dot_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[]))
 * sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[]))), 5) AS similarity"""
-_TRIPLES = """SELECT a.pmid, a.term AS a, b.term AS b, c.term AS c FROM heads a JOIN heads b ON b.pmid = a.pmid AND b.cat = 'B'
-JOIN heads c ON c.pmid = a.pmid AND c.cat = 'C' WHERE a.cat = 'A'"""
+_TRIPLES = """SELECT pmid, a, b, unnest(cs) AS c FROM (SELECT pmid, a, unnest(bs) AS b, cs FROM (
+SELECT pmid, unnest(['chem-' || (c % 40), 'chem-' || (k % 7)]) AS a,
+CASE WHEN k % 4 IN (0, 1) THEN [lower(pri)] ELSE [] END || ['sub ' || (c % 13)] AS bs,
+CASE WHEN k % 3 = 0 THEN ['cond-' || (k % 11)] ELSE [] END || CASE WHEN k % 4 IN (0, 1) THEN [lower(st)] ELSE [] END AS cs FROM cites))"""
 _CITE_TS = """SELECT pmid, coalesce(CAST(epoch(least(created, published)) AS BIGINT), -1) AS pub_ts FROM (SELECT pmid,
 CASE WHEN k % 10 <> 0 THEN d END AS created,
 CASE WHEN k % 7 <> 0 THEN CAST(date_trunc('month', date_trunc('month', d) + to_months(CAST(c % 5 - 2 AS INTEGER))) AS DATE) END AS published FROM cites)"""
@@ -618,6 +698,43 @@ CASE WHEN o_orderkey % 8 <> 0 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGI
 CAST(epoch(DATE '1996-01-01' + CAST(c_custkey % 1500 AS INTEGER)) AS BIGINT) AS ref_ts FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
+def _grid_sql(radius: int = 5) -> str:
+    """Monthly sums of signs, then of months in windows, with the merged words of the bigram mode."""
+    signs = ", ".join(f"sum(CASE WHEN substr(md5(ctx), {i + 1}, 1) >= '8' THEN n ELSE -n END) AS v{i}" for i in range(_GRID_SIZE))
+    total = ", ".join(f"sum(coalesce(v{i}, 0)) AS v{i}" for i in range(_GRID_SIZE))
+    squares = " + ".join(f"v{i} * v{i}" for i in range(_GRID_SIZE))
+    trailing = ", ".join(f"('{k}', {v})" for k, v in WINDOW_MONTHS.items())
+    return with_cte(
+        "articles sents",
+        f""", {_CORPUS}, placed AS (SELECT article_id, sent_pos, i, w[i] AS t FROM corpus, unnest(range(1, len(w) + 1)) x(i)),
+        hit AS (SELECT article_id, sent_pos, i, i - row_number() OVER (PARTITION BY article_id, sent_pos ORDER BY i) AS island
+          FROM (SELECT article_id, sent_pos, i, w[i] AS w1, w[i + 1] AS w2 FROM corpus, unnest(range(1, len(w))) x(i))
+          SEMI JOIN (FROM scored WHERE score > 10) s USING (w1, w2)),
+        starts AS (SELECT article_id, sent_pos, i FROM (SELECT *, row_number() OVER (PARTITION BY article_id, sent_pos, island ORDER BY i) AS k FROM hit) WHERE k % 2 = 1),
+        merged AS (SELECT p.article_id, p.sent_pos, p.i, CASE WHEN s.i IS NULL THEN p.t ELSE p.t || '_' || q.t END AS t FROM placed p
+          LEFT JOIN starts s ON s.article_id = p.article_id AND s.sent_pos = p.sent_pos AND s.i = p.i
+          LEFT JOIN placed q ON q.article_id = p.article_id AND q.sent_pos = p.sent_pos AND q.i = p.i + 1
+          LEFT JOIN starts b ON b.article_id = p.article_id AND b.sent_pos = p.sent_pos AND b.i = p.i - 1 WHERE b.i IS NULL),
+        tok AS (SELECT 'word' AS mode, * FROM placed UNION ALL SELECT 'bigram', article_id, sent_pos, row_number() OVER (PARTITION BY article_id, sent_pos ORDER BY i), t FROM merged),
+        dated AS MATERIALIZED (SELECT tok.*, date_trunc('month', pub_date)::DATE AS m FROM tok JOIN articles USING (article_id)),
+        used AS (SELECT mode, m, t AS w, count(*) AS n FROM dated GROUP BY ALL),
+        pairs AS (SELECT a.mode, a.m, a.t AS w, b.t AS ctx, count(*) AS n FROM dated a JOIN dated b
+          ON b.mode = a.mode AND b.article_id = a.article_id AND b.sent_pos = a.sent_pos AND b.i <> a.i AND abs(b.i - a.i) <= {radius} GROUP BY ALL),
+        vec AS (SELECT mode, m, w, {signs} FROM pairs GROUP BY ALL),
+        month_rows AS MATERIALIZED (SELECT u.*, vec.* EXCLUDE (mode, m, w) FROM used u LEFT JOIN vec ON vec.mode = u.mode AND vec.m = u.m AND vec.w = u.w),
+        months AS (SELECT DISTINCT date_trunc('month', pub_date)::DATE AS m FROM articles),
+        grid AS (SELECT k AS "window", strftime(m, '%Y-%m') AS until, (m - to_months(depth - 1))::DATE AS low, m AS high FROM months, (VALUES {trailing}) x(k, depth)
+          UNION ALL SELECT DISTINCT 'cumulative', strftime(m, '%Y'), DATE '1900-01-01', strptime(strftime(m, '%Y') || '-12-01', '%Y-%m-%d')::DATE FROM months),
+        totals AS (SELECT "window", until, mode, w, sum(n) AS n, {total} FROM month_rows JOIN grid ON m BETWEEN low AND high GROUP BY ALL HAVING sum(n) >= 3)
+        SELECT "window", until, mode, count(*) AS n_words, sum(n)::BIGINT AS n_uses, sum(v0)::BIGINT AS "first", sum({squares})::BIGINT AS squares, 0::BIGINT AS n_again
+        FROM totals GROUP BY ALL""",
+    )
+
+
+_WIDE = """, wide AS (SELECT * FROM spo UNION ALL
+SELECT 'part/' || lpad(CAST(p_partkey AS VARCHAR), 8, '0'), 'nation/' || (p_partkey % 25), 'resource/made_in' FROM part)"""
+
+
 def _extend(base: str, extra: str, body: str) -> str:
     return with_cte(base, f", {extra}\n{body}")
 
@@ -659,8 +776,8 @@ ORACLE = {
     "uri_trim": """SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN p[-2] || '/' || p[-1] ELSE '<' || url || '>' END AS short,
         url AS same, p[-1] AS base FROM (SELECT *, string_split(url, '/') AS p FROM pages)""",
     "heading_classes": with_cte("heads", "SELECT pmid, cat, term FROM heads"),
-    "citation_triples": with_cte("heads", _TRIPLES),
-    "roundtrip_triples_json": with_cte("heads", _TRIPLES),
+    "citation_triples": with_cte("cites", _TRIPLES),
+    "roundtrip_triples_json": with_cte("cites", _TRIPLES),
     "citation_dates": with_cte("cites", _CITE_TS),
     "interaction_partners": """WITH p AS (SELECT c_custkey AS k, c_mktsegment AS m, CAST(c_custkey AS VARCHAR) AS pmid, s AS side,
           (s = 'a' AND c_custkey % 3 = 0) OR (s = 'b' AND c_custkey % 3 = 1) AS own FROM customer, (VALUES ('a'), ('b')) t(s))
@@ -734,6 +851,7 @@ ORACLE = {
         SELECT "window", until, count(*) AS n_words, 0 AS n_again FROM uses
         WHERE n >= 3 AND until IN (SELECT strftime(m, '%Y') FROM tok UNION ALL SELECT strftime(m, '%Y-%m') FROM tok) GROUP BY ALL""",
     ),
+    "embedding_grid": _grid_sql(),
     "nearest_vectors": f"""SELECT query, word, rank, similarity FROM (SELECT x.vec_id AS query, y.vec_id AS word, {_COSINE},
         row_number() OVER (PARTITION BY x.vec_id ORDER BY list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) / sqrt(list_dot_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])) DESC, y.vec_id) AS rank
         FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = 0 AND y.vec_id <> x.vec_id) WHERE rank <= 5""",
@@ -751,5 +869,18 @@ ORACLE = {
         FROM (SELECT doc_dist, (article_id + l_pos) % 3 = 0 AS fact FROM pairs)""",
     ),
     "incremental_mentions": with_cte("found", "SELECT * FROM found"),
+    "incremental_repeats": with_cte("found", "SELECT * FROM found"),
+    "pending_after_run": "SELECT doc_id FROM documents WHERE doc_id % 3 = 2",
+    "walk_counts": with_cte(
+        "spo",
+        f"""{_WIDE} SELECT a.src AS id, CAST(sum(n) AS BIGINT) AS n_paths FROM wide a
+        JOIN (SELECT src AS mid, count(*) AS n FROM wide GROUP BY 1) b ON a.dst = b.mid GROUP BY 1""",
+    ),
+    "triangle_counts": with_cte(
+        "spo",
+        f"""{_WIDE}, ends AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM wide WHERE src <> dst),
+        found AS (SELECT a.x, a.y, b.y AS z FROM ends a JOIN ends b ON a.x = b.x AND a.y < b.y JOIN ends c ON c.x = a.y AND c.y = b.y)
+        SELECT id, count(*) AS n_triangles FROM (SELECT unnest([x, y, z]) AS id FROM found) GROUP BY 1""",
+    ),
     "pending_articles": "SELECT doc_id AS article_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 }

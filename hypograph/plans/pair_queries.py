@@ -157,9 +157,9 @@ def earliest_confirmation(spark, d):
 def special_interest(spark, d):
     """Whether a term of the pair is on the list of targets: here the terms of eight letters that are found."""
     close = fx.close_pairs(spark, d)
-    named = fx.vocab(spark, d).filter("length(term) = 8 or term like 'th%'").select("term").distinct()
-    targets = [*ev.TARGET_GENES, *[x["term"] for x in named.collect()]]
-    return close.select("article_id", "code", "l", "r", ev.special_interest(F.col("l"), F.col("r"), targets).alias("special"))
+    named = fx.vocab(spark, d).filter("length(term) = 8 or term like 'th%'").select("term")
+    targets = named.unionByName(spark.createDataFrame([(x,) for x in ev.TARGET_GENES], "term string"))
+    return ev.mark_special_interest(close, targets).select("article_id", "code", "l", "r", "special")
 
 
 def sampled_pairs(spark, d):
@@ -238,6 +238,22 @@ def hypotheses(spark, d):
     return out.select("a", "b", "c", F.round("score", 9).alias("score"))
 
 
+def best_hypotheses(spark, d):
+    """The hundred best chains of the same scores, without making the others."""
+    close = fx.close_pairs(spark, d).withColumn("p", 1 / (1 + F.exp(F.lit(0.01) * F.col("doc_dist") - 2)))
+    stored = written(close, "scored")
+    out = rl.best_hypotheses(rl.pair_scores(stored, 1), rl.pair_scores(stored, 2), 100)
+    return out.select("a", "b", "c", F.round("score", 9).alias("score"))
+
+
+def ranked_hypotheses(spark, d):
+    """Models fitted on the known facts of four fifths of the pairs, all pairs scored, the hundred best chains."""
+    tagged = fc.tag_facts(*_tagging(spark, d)).filter(F.col("code").isin(1, 2))
+    data = written(tagged, "tagged")
+    train, _ = rl.split_80_20(data)
+    return rl.ranked_hypotheses(train, data, n=100)
+
+
 def pairs_tagged_refs(spark, d):
     """All references of the facts that closest pairs turn out to be, as one sorted list."""
     tagged = fc.tag_facts(*_tagging(spark, d), with_refs=True)
@@ -279,6 +295,8 @@ QUERIES = {
         hypothesis_scores,
         relevance_model,
         hypotheses,
+        best_hypotheses,
+        ranked_hypotheses,
     )
 }
 
@@ -426,6 +444,12 @@ ORACLE = {
         SELECT ab.l AS a, ab.r AS b, bc.r AS c, round(ab.p * bc.p, 9) AS score FROM best ab JOIN best bc
         ON ab.code = 1 AND bc.code = 2 AND bc.l = ab.r""",
     ),
+    "best_hypotheses": with_cte(
+        "pairs",
+        """, best AS (SELECT code, l, r, 1 / (1 + exp(0.01 * min(doc_dist) - 2)) AS p FROM pairs WHERE code IN (1, 2) GROUP BY code, l, r)
+        SELECT ab.l AS a, ab.r AS b, bc.r AS c, round(ab.p * bc.p, 9) AS score FROM best ab JOIN best bc
+        ON ab.code = 1 AND bc.code = 2 AND bc.l = ab.r ORDER BY ab.p * bc.p DESC, ab.p DESC, bc.p DESC, ab.l, ab.r, bc.r LIMIT 100""",
+    ),
     "hypothesis_scores": with_cte(
         "pairs",
         """, best AS (SELECT code, l, r, 1 / (1 + min(doc_dist)) AS p FROM pairs WHERE code IN (1, 2) GROUP BY code, l, r)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions.measures import DAY
 from ..operators import timeline as tl
-from ..operators.sizing import scratch_dir
+from ..operators.sizing import scratch_dir, written
 from . import fixtures as fx
 from . import jobs
 from .fixtures import SERIES_KEYS, with_cte
@@ -46,6 +46,31 @@ def mention_series_store(spark, d):
     return jobs.stored_series(spark, store, series, ["user_id"], min_size=50, ts="ts").select("user_id", "seq", "id", "ts")
 
 
+def series_store_inputs(spark, d):
+    """One store asked for the series of two inputs: each gets its own, the second time from the store."""
+    series, store = fx.series(spark, d), scratch_dir(spark, "series")
+    out = None
+    for name, rows in (("even", series.filter("user_id % 2 = 0")), ("all", series), ("even again", series.filter("user_id % 2 = 0"))):
+        stored = jobs.stored_series(spark, store, rows, ["user_id"], min_size=50, ts="ts")
+        part = stored.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("input"), "user_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gap_quantiles(spark, d):
+    """Quartiles of the seconds between neighbouring mentions, per kind of event and over all users."""
+    gaps = written(tl.mention_gaps(fx.series(spark, d), SERIES_KEYS).select("event_type", "gap"), "gaps")
+    out = tl.exact_quantiles(gaps, ["event_type"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0], "gap")
+    return out.select("event_type", "cut", F.round("quantile", 4).alias("quantile"))
+
+
+def date_quantiles(spark, d):
+    """Quantiles of the time stamps themselves: nearly all values differ."""
+    rows = written(fx.table(spark, d, "events").select("event_type", (F.col("event_id") * 1_000_003 % 998_244_353).alias("x")), "stamps")
+    out = tl.exact_quantiles(rows, ["event_type"], [0.01, 0.5, 0.99], "x")
+    return out.select("event_type", "cut", F.round("quantile", 4).alias("quantile"))
+
+
 def mention_histogram(spark, d):
     return tl.time_histogram(fx.series(spark, d), SERIES_KEYS, width=3 * DAY)
 
@@ -98,6 +123,13 @@ def trailing_members(spark, d):
     return out.groupBy(F.date_format("window_end", "yyyy-MM").alias("until")).agg(F.sum("n_chars").alias("n_chars"))
 
 
+def window_vocabulary(spark, d):
+    """Distinct words of every trailing window and up to every month; sketches this large are exact on the samples."""
+    words = fx.table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word"), fx.pub_date().alias("pub_date"))
+    out = tl.window_distinct(words, "word", lg_entries=18)
+    return out.select("window", F.date_format("window_end", "yyyy-MM").alias("until"), "n_terms")
+
+
 def cumulative_window(spark, d):
     out = tl.cumulative_windows(_months(spark, d), min_size=100)
     return out.select(F.date_format("month", "yyyy-MM").alias("until"), "n_until")
@@ -146,6 +178,9 @@ QUERIES = {
         mention_series,
         long_mention_series,
         mention_series_store,
+        series_store_inputs,
+        gap_quantiles,
+        date_quantiles,
         mention_histogram,
         decile_histogram,
         neighbour_window,
@@ -155,6 +190,7 @@ QUERIES = {
         months_sorted,
         trailing_window,
         trailing_members,
+        window_vocabulary,
         cumulative_window,
         window_grid,
         param_todo,
@@ -200,6 +236,22 @@ ORACLE = {
         "series",
         """SELECT user_id, id, ts FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM series WHERE ts IS NOT NULL) WHERE n >= 50""",
     ),
+    "series_store_inputs": with_cte(
+        "series",
+        """, sizes AS (SELECT user_id, count(*) AS n FROM series WHERE ts IS NOT NULL GROUP BY 1 HAVING count(*) >= 50)
+        SELECT 'all' AS input, user_id, n FROM sizes UNION ALL
+        SELECT unnest(['even', 'even again']), user_id, n FROM sizes WHERE user_id % 2 = 0""",
+    ),
+    "gap_quantiles": with_cte(
+        "series",
+        """, gaps AS (SELECT event_type, abs(coalesce(lead(ts) OVER w, first(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts)) - ts) AS gap
+          FROM series WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, id))
+        SELECT event_type, cut, round(CASE cut WHEN 0 THEN quantile_cont(gap, 0) WHEN 0.1 THEN quantile_cont(gap, 0.1) WHEN 0.25 THEN quantile_cont(gap, 0.25)
+          WHEN 0.5 THEN quantile_cont(gap, 0.5) WHEN 0.75 THEN quantile_cont(gap, 0.75) WHEN 0.9 THEN quantile_cont(gap, 0.9) ELSE quantile_cont(gap, 1) END, 4) AS quantile
+        FROM gaps, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0])::DOUBLE AS cut) GROUP BY event_type, cut""",
+    ),
+    "date_quantiles": """SELECT event_type, cut, round(CASE cut WHEN 0.01 THEN quantile_cont(x, 0.01) WHEN 0.5 THEN quantile_cont(x, 0.5) ELSE quantile_cont(x, 0.99) END, 4) AS quantile
+        FROM (SELECT event_type, event_id * 1000003 % 998244353 AS x FROM events), (SELECT unnest([0.01, 0.5, 0.99])::DOUBLE AS cut) GROUP BY event_type, cut""",
     "mention_series_store": with_cte(
         "series",
         """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) - 1 AS seq, id, ts
@@ -237,6 +289,13 @@ ORACLE = {
         SELECT window_name AS "window", strftime(e, '%Y-%m') AS until, CAST(sum(n) AS BIGINT) AS n FROM ends, {_DEPTHS}, months
         WHERE month <= e AND month > e - to_months(depth) GROUP BY ALL""",
     ),
+    "window_vocabulary": with_cte(
+        "articles",
+        f""", tm AS (SELECT DISTINCT date_trunc('month', DATE '2010-01-01' + CAST(doc_id % 3650 AS INTEGER)) AS m, unnest(string_split(text, ' ')) AS t FROM documents),
+        ends AS (SELECT unnest(generate_series((SELECT min(m) FROM tm), (SELECT max(m) FROM tm), INTERVAL 1 MONTH)) AS e)
+        SELECT window_name AS "window", strftime(e, '%Y-%m') AS until, count(DISTINCT t) AS n_terms FROM ends, {_DEPTHS}, tm WHERE m <= e AND m > e - to_months(depth) GROUP BY ALL
+        UNION ALL SELECT 'cumulative', strftime(e, '%Y-%m'), count(DISTINCT t) FROM ends, tm WHERE m <= e GROUP BY ALL""",
+    ),
     "trailing_members": """SELECT strftime(e, '%Y-%m') AS until, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM (
         SELECT n_chars, unnest([m, m + INTERVAL 1 MONTH]) AS e FROM (SELECT n_chars, date_trunc('month', DATE '2010-01-01' + CAST(doc_id % 3650 AS INTEGER)) AS m FROM documents))
         GROUP BY 1""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,8 +187,41 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def read_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """A stored table if it is there, else the table that ``build()`` gives, written first."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        write_table(build(), path)
-    return spark.read.parquet(path)
+def fingerprint(inputs: list[DataFrame], params: tuple = ()) -> str:
+    """A digest of the rows of all inputs (their order and files do not matter), their schemas and the parameters.
+
+    One pass over each input; what reaches the driver is a count and a sum.
+    """
+    seen = []
+    for df in inputs:
+        rows = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+        again = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
+        seen.append((df.schema.simpleString(), *df.agg(F.count("*"), F.sum(rows), F.sum(again)).first()))
+    return hashlib.sha256(repr((seen, params)).encode()).hexdigest()[:32]
+
+
+def _publish(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Write a table so that it is there as a whole or not at all; of two writers at once the first one counts."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    draft = f"{parent}/_draft-{name}-{uuid.uuid4().hex}"
+    write_table(rows, draft)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop_path(draft), hadoop_path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target) and not path_exists(spark, f"{path}/_SUCCESS"):
+        files.delete(target, True)  # left by a writer that broke off
+    # A rename onto a folder that another writer made meanwhile fails, or ends inside it under a name that readers pass over.
+    if files.exists(target) or not files.rename(source, target):
+        files.delete(source, True)
+
+
+def read_or_build(spark: SparkSession, path: str, build, inputs: list[DataFrame] | None = None, params: tuple = ()) -> DataFrame:
+    """A stored table if it is there, else the table that ``build()`` gives, written first.
+
+    With ``inputs``, ``path`` holds one table for each content of the inputs and the parameters, in a folder named by
+    their fingerprint: other rows are another table, and a stored one is never taken for them.
+    """
+    folder = path if inputs is None else f"{path.rstrip('/')}/{fingerprint(inputs, params)}"
+    if not path_exists(spark, f"{folder}/_SUCCESS"):
+        _publish(spark, build(), folder)
+    return spark.read.parquet(folder)
