@@ -69,19 +69,18 @@ def op7_repeated_passages(spark, d):
 
 
 def op8_token_totals(spark, d):
-    """Count all documents, count the labelled ones anew with a byte-level vocabulary, take the toxic ones out."""
+    """All documents come in under one vocabulary, all are counted anew with another, the toxic ones go."""
     docs, store = _table(spark, d, "documents"), scratch_dir(spark, "totals")
-    labels = _table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labels, _ = small_side(written(labels, "labels"))
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    words = written(rollup.token_counts(docs, "words"), "counts")
-    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
-    pieces = written(rollup.token_counts(labelled, "byte_bpe_50k", vocabulary, public_tokenizers.PATTERN), "counts")
-    toxic = labels.filter("toxic = 1").select("doc_id")
+    old, new = (
+        written(rollup.token_counts(docs, name, public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN), "counts")
+        for name in ("byte_bpe_50k", "byte_bpe_multi_50k")
+    )
+    toxic = _table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct()
+    toxic, _ = small_side(written(toxic, "toxic"))
     batches = {
-        "1-inserts": rollup.inserts(words),
-        "2-revisions": rollup.revisions(words.join(labels.select("doc_id"), "doc_id", "left_semi"), pieces),
-        "3-deletes": rollup.deletes(pieces.join(toxic, "doc_id", "left_semi")),
+        "1-inserts": rollup.inserts(old),
+        "2-revisions": rollup.revisions(old, new),
+        "3-deletes": rollup.deletes(new.join(toxic, "doc_id", "left_semi")),
     }
     for name, changes in batches.items():
         rollup.commit(changes, store, name)

@@ -7,7 +7,9 @@ committed batches. Committing a name again changes nothing, whatever the retry c
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -18,6 +20,18 @@ GROUP = ["source", "lang", "tokenizer"]
 _TOTALS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
+@cache
+def _encoding(path: str, pattern: str):
+    """The tokenizer of a ranks file, read once in each worker process, which serves many tasks."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(docs: DataFrame, tokenizer: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, source, lang, tokenizer, n_tokens) per row of ``docs``; null texts have no tokens.
 
@@ -34,13 +48,7 @@ def token_counts(docs: DataFrame, tokenizer: str, path: str | None = None, patte
         return rows.withColumn("n_tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(path, pattern)
         for batch in batches:
             counts = [len(encoding.encode_ordinary(x)) for x in batch.column("text").to_pylist()]
             columns = [batch.column(x) for x in ("doc_id", *GROUP)] + [pa.array(counts, pa.int64())]
@@ -72,16 +80,34 @@ def _marker(store: str, batch: str) -> str:
     return f"{store.rstrip('/')}/committed={batch}"
 
 
-def committed(spark: SparkSession, store: str, batch: str) -> bool:
-    """Whether the batch is there as a whole: its marker, one row in a table of its own, is written last."""
+def _published(spark: SparkSession, store: str, batch: str) -> str | None:
+    """The folder of a batch that is there as a whole: its marker, a row in a table of its own, names it."""
     try:
-        return bool(spark.read.parquet(_marker(store, batch)).take(1))
+        found = spark.read.schema("folder string").parquet(_marker(store, batch)).take(1)
     except AnalysisException:
-        return False
+        return None
+    return found[0]["folder"] if found else None
 
 
-def _mark(spark: SparkSession, store: str, batch: str) -> None:
-    spark.range(1).coalesce(1).write.mode("overwrite").parquet(_marker(store, batch))
+def committed(spark: SparkSession, store: str, batch: str) -> bool:
+    """Whether the batch is there as a whole."""
+    return _published(spark, store, batch) is not None
+
+
+def _publish(sums: DataFrame, store: str, batch: str) -> bool:
+    """Write a batch under a name of this attempt, then its marker in one move: of two writers at once one counts."""
+    spark, attempt = sums.sparkSession, uuid.uuid4().hex
+    folder = f"{_batch_path(store, batch)}/attempt={attempt}"
+    sums.write.parquet(folder)
+    draft = f"{store.rstrip('/')}/_marker-{attempt}"
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.parquet(draft)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop_path(draft), hadoop_path(_marker(store, batch))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    # A move onto a marker that another writer made meanwhile fails, or ends inside it under a name that readers pass over.
+    if files.exists(target) or not files.rename(source, target):
+        files.delete(source, True)
+    return _published(spark, store, batch) == folder
 
 
 def commit(changes: DataFrame, store: str, batch: str) -> bool:
@@ -94,25 +120,21 @@ def commit(changes: DataFrame, store: str, batch: str) -> bool:
     if committed(spark, store, batch):
         return False
     sums = changes.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"))
-    sums.filter("n_docs != 0 or n_tokens != 0").write.mode("overwrite").parquet(_batch_path(store, batch))
-    _mark(spark, store, batch)
-    return True
+    return _publish(sums.filter("n_docs != 0 or n_tokens != 0"), store, batch)
 
 
 def totals(spark: SparkSession, store: str, batches: list[str]) -> DataFrame:
     """(source, lang, tokenizer, n_docs, n_tokens) over the committed ones of ``batches``; groups that have gone are left out."""
     rows = spark.createDataFrame([], _TOTALS)
     for batch in batches:
-        if committed(spark, store, batch):
-            rows = rows.unionByName(spark.read.schema(_TOTALS).parquet(_batch_path(store, batch)))
+        if folder := _published(spark, store, batch):
+            rows = rows.unionByName(spark.read.schema(_TOTALS).parquet(folder))
     sums = rows.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return sums.filter("n_docs != 0 or n_tokens != 0")
 
 
 def compact(spark: SparkSession, store: str, batches: list[str], into: str) -> str:
     """Sum committed batches into one under a new name and return it; the caller lists it in their place."""
-    path = _batch_path(store, into)
     if not committed(spark, store, into):
-        totals(spark, store, batches).write.mode("overwrite").parquet(path)
-        _mark(spark, store, into)
+        _publish(totals(spark, store, batches), store, into)
     return into
