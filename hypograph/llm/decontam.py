@@ -18,31 +18,50 @@ from pyspark.sql import types as T
 from ._arrays import ALPHANUMERIC, shingles, slices
 
 WINDOW = 10
-#: Benchmark text that one broadcast holds; a larger benchmark is scanned in blocks of about this size.
-BLOCK_BYTES = 16 * 1024 * 1024
+#: Benchmark text that one broadcast holds; a larger benchmark is scanned in blocks of about this size. With its
+#: windows a block is about five times its text; a window of ten words has some sixty bytes.
+BLOCK_BYTES = 8 * 1024 * 1024
 
 _RANGES = T.ArrayType(T.StructType([T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
 
 
 class Windows:
-    """The hash set of a block of test items: windows by length, with their words and items."""
+    """The windows of a block of test items as arrays: by length, their hashes in order, words and items.
+
+    Words are kept once, in one run of bytes; a window is a range of it. So a window costs 24 bytes beside its
+    share of the text, in the broadcast and in every worker.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.by_length: dict[int, dict[bytes, set]] = {}
-        hashes: dict[int, list] = {}
+        self.names = [name for name, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        plain, at = [], 0
         for row, end, texts in slices(pa.array([x for _, x in items], pa.string()), ALPHANUMERIC):
             words = texts.hashes()
             for i in range(row, end):
                 low, high = texts.words[i - row], texts.words[i - row + 1]
-                size = min(window, high - low)
-                if size:
-                    hashes.setdefault(size, []).append(shingles(words[low:high], size))
-                    known = self.by_length.setdefault(size, {})
-                    for at in range(low, high - size + 1):
-                        known.setdefault(texts.joined(at, at + size), set()).add(items[i][0])
-        self.hashes = {size: np.unique(np.concatenate(x)) for size, x in hashes.items()}
+                size = int(min(window, high - low))
+                if not size:
+                    continue
+                lengths = texts.ends[low:high] - texts.starts[low:high]
+                starts = at + np.cumsum(lengths + 1) - lengths - 1
+                plain.append(texts.joined(low, high))
+                at += len(plain[-1]) + 1
+                own = shingles(words[low:high], size)
+                parts.setdefault(size, []).append((own, starts[: len(own)], (starts + lengths)[size - 1 :], np.full(len(own), i)))
+        self.text = b" ".join(plain)
+        #: By length: hashes in order, where the words of each window begin and end, and its item's number.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, found in parts.items():
+            hashes, first, last, item = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[size] = hashes[order], first[order].astype(np.int32), last[order].astype(np.int32), item[order].astype(np.int32)
         self._tables: dict[int, tuple[np.ndarray, np.uint64]] = {}
 
+    def nbytes(self) -> int:
+        """What a broadcast sends, but for the ids of the items."""
+        return len(self.text) + sum(x.nbytes for arrays in self.by_length.values() for x in arrays)
+
     def tables(self) -> dict[int, tuple[np.ndarray, np.uint64]]:
         """A bit table per length that lets nearly all other windows pass at the cost of one look-up.
 
@@ -51,19 +70,24 @@ class Windows:
         if self._tables:
             return self._tables
         out = self._tables
-        for size, hashes in self.hashes.items():
+        for size, (hashes, *_) in self.by_length.items():
             mask = np.uint64(min(1 << 24, max(1 << 16, 1 << int(len(hashes) * 32).bit_length())) - 1)
             table = np.zeros(int(mask) + 1, dtype=bool)
             table[(hashes & mask).astype(np.int64)] = True
             out[size] = table, mask
         return out
 
+    def matches(self, size: int, low: int, high: int, words: bytes) -> set:
+        """The ids of the items with this window, of those between two places in the order of hashes."""
+        _, first, last, item = self.by_length[size]
+        return {self.names[item[k]] for k in range(low, high) if self.text[first[k] : last[k]] == words}
+
 
 def _hits(texts, windows: Windows, tables: dict) -> dict[int, tuple[list, set]]:
     """By text number: word ranges of the windows that occur, and their items."""
     found: dict[int, tuple[list, set]] = {}
     words = texts.hashes()
-    for size, known in windows.by_length.items():
+    for size, (sorted_hashes, *_) in windows.by_length.items():
         if len(words) < size:
             continue
         table, mask = tables[size]
@@ -71,13 +95,11 @@ def _hits(texts, windows: Windows, tables: dict) -> dict[int, tuple[list, set]]:
         at = np.flatnonzero(table[(own & mask).astype(np.int64)])
         if not len(at):
             continue
-        sorted_hashes = windows.hashes[size]
-        place = np.minimum(np.searchsorted(sorted_hashes, own[at]), len(sorted_hashes) - 1)
-        at = at[sorted_hashes[place] == own[at]]
+        low, high = (np.searchsorted(sorted_hashes, own[at], side=x) for x in ("left", "right"))
         owner = np.searchsorted(texts.words, at, side="right") - 1
-        whole = at + size <= texts.words[owner + 1]
-        for i, text in zip(at[whole].tolist(), owner[whole].tolist(), strict=True):
-            if items := known.get(texts.joined(i, i + size)):
+        whole = (low < high) & (at + size <= texts.words[owner + 1])
+        for i, text, a, b in zip(*(x[whole].tolist() for x in (at, owner, low, high)), strict=True):
+            if items := windows.matches(size, a, b, texts.joined(i, i + size)):
                 ranges, names = found.setdefault(text, ([], set()))
                 ranges.append((i - int(texts.words[text]), i - int(texts.words[text]) + size))
                 names |= items

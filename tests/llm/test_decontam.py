@@ -76,3 +76,22 @@ def test_removed_and_clean(spark):
 def test_empty_tables(spark):
     assert decontam.scan(c.docs(spark, []), bench(spark)).count() == 0
     assert decontam.scan(c.docs(spark, ["a b"]), bench(spark, [])).first()["n_hit"] == 0
+
+
+def test_windows_are_as_small_as_their_arrays():
+    """What is sent and held grows with the text and 24 bytes a window at most, not with words times windows."""
+    import pickle
+
+    items = [(str(i), c.text(i, 400, 10**6)) for i in range(200)]
+    windows = decontam.Windows(items, 10)
+    text = sum(len(t) for _, t in items)
+    assert windows.nbytes() <= text + 200 + 24 * 200 * 391
+    assert len(pickle.dumps(windows)) <= windows.nbytes() + 20_000
+
+
+def test_items_with_the_same_window(spark):
+    """A window that several items have counts for each of them."""
+    words = c.words(3, 10)
+    bench = spark.createDataFrame([("a", " ".join(words)), ("b", " ".join(["x", *words])), (None, " ".join(words)), ("c", c.text(9, 12))], "item_id string, text string")
+    row = decontam.scan(c.docs(spark, [" ".join([*c.words(4, 20), *words])]), bench).first()
+    assert row["items"] == ["a", "b"] and row["n_hit"] == 10
