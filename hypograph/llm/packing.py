@@ -7,7 +7,6 @@ place by their rank among those of their length, all in parallel.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -20,16 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.sizing import written
+from ._arrays import Texts, byte_class, mix, slices
 
 CAPACITY = 2048
 #: Pieces that one task ranks; a length with more of them is split over several groups.
 GROUP_ROWS = 200_000
 #: Words whose ids a worker keeps; memory for them is bounded, results do not depend on it.
-CACHED_WORDS = 250_000
-
-#: Marks between a letter and a blank: the tokenizer cuts them off as well, so the word may be looked up alone.
-_CLOSING = re.compile(r"(?<=[^\W\d_])([,.!?;:]+)(?= |$)")
-
+CACHED_WORDS = 500_000
+#: Text that a worker cuts into words at once.
+TEXT_BYTES = 1 << 20
 
 def _byte_characters() -> dict[int, str]:
     """The characters that byte-level vocabularies write bytes as: printable Latin-1 ones stay, the others, in
@@ -42,11 +40,55 @@ def _byte_characters() -> dict[int, str]:
 _BYTE_CHARACTERS = _byte_characters()
 
 
+#: White space at which texts are cut; the tokenizer cuts at any other by itself.
+_BLANKS = byte_class([(0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D)])
+#: Marks behind an ASCII letter are words of their own to the tokenizer, so they are cut off, up to this many.
+_MARKS, _MOST_MARKS = byte_class([(0, 0x20), (0x22, 0x2B), (0x2D, 0x2D), (0x2F, 0x39), (0x3C, 0x3E), (0x40, 0xFF)]), 4
+#: Words of up to this many bytes are told apart by two 64-bit numbers that hold their bytes.
+_SHORT = 16
+#: The first k of eight bytes.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _cut_marks(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and, by text, numbers of the words, with the marks ``,.!?;:`` behind an ASCII letter apart."""
+    starts, ends = texts.starts, texts.ends
+    stem = ends.copy()
+    for _ in range(_MOST_MARKS):
+        stem -= (stem > starts) & _MARKS[texts.data[np.maximum(stem - 1, 0)]]
+    letter = texts.data[np.maximum(stem - 1, 0)]
+    cut = np.flatnonzero((stem < ends) & (stem > starts) & (letter >= ord("a")) & (letter <= ord("z")))
+    more = np.zeros(len(starts) + 1, dtype=np.int64)
+    more[cut + 1] = 1
+    first = ends.copy()
+    first[cut] = stem[cut]
+    return np.insert(starts, cut + 1, stem[cut]), np.insert(first, cut + 1, ends[cut]), texts.words + np.cumsum(more)[texts.words]
+
+
+class _Rows:
+    """Rows of numbers that grow at the end, in a buffer that doubles."""
+
+    def __init__(self, width: int, dtype: str):
+        self.buffer, self.n = np.zeros((width, 1 << 12), dtype=dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        need = self.n + rows.shape[1]
+        if need > self.buffer.shape[1]:
+            grown = np.zeros((len(self.buffer), max(need, 2 * self.buffer.shape[1])), dtype=self.buffer.dtype)
+            grown[:, : self.n] = self.buffer[:, : self.n]
+            self.buffer = grown
+        self.buffer[:, self.n : need] = rows
+        self.n = need
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word, from a tokenizer that never merges across white space.
 
-    Words between blanks repeat a lot, so their ids are kept; what is not known is encoded in one call. A-Z are
-    lower-cased first, as the tokenizer does later. A text that spells out a special token is encoded as a whole.
+    Words repeat a lot, so each is encoded once and its ids are kept. The words of a slice of text are found and
+    told apart by array operations on its bytes: up to 16 of them are two numbers, and these, not a hash of them,
+    decide which word it is. Longer words, and words whose hash another one has, are looked up by their bytes.
+    A-Z are lower-cased first, as the tokenizer does later. A text that spells out a special token is encoded as
+    a whole.
     """
 
     def __init__(self, path: str):
@@ -54,37 +96,90 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        lower = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        blanks = lower.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        return _CLOSING.sub(r" \1", blanks).split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text as little-endian unsigned 32-bit numbers."""
-        split = [None if any(s in text for s in self.special) else self._split(text) for text in texts]
-        if len(self.words) > CACHED_WORDS:
-            self.words = {"": b""}
-        new = {w for words in split if words is not None for w in words if w not in self.words}
-        tokenize, other = self.tokenizer.model.tokenize, []
-        for word in new:
+        self._clear()
+
+    def _clear(self) -> None:
+        self.of_hash: dict[int, int] = {}
+        self.of_bytes: dict[bytes, int] = {}
+        #: Per known word: its two numbers, its bytes' count, where its ids begin, how many they are.
+        self.known = _Rows(5, "u8")
+        self.ids = _Rows(1, "<u4")
+
+    def _learn(self, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+        """Encode new words (with their numbers and sizes) and return their places among the known ones."""
+        tokenize, found, other = self.tokenizer.model.tokenize, [None] * len(words), []
+        for i, raw in enumerate(words):
+            word = raw.decode("utf-8", "surrogatepass")
             lower = word.lower()
             if word.isalpha() and lower.isalpha() and max(word) < "\u0250":
                 # Latin letters are one word for the tokenizer and stay as they are but for their case.
-                plain = lower.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                self.words[word] = np.array([x.id for x in tokenize(plain)], dtype="<u4").tobytes()
+                found[i] = [x.id for x in tokenize(lower.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
             else:
-                other.append(word)
-        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return [
-            b"".join(map(self.words.__getitem__, words))
-            if words is not None
-            else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            for text, words in zip(texts, split, strict=True)
-        ]
+                other.append((i, word))
+        for (i, _), encoded in zip(other, self.tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
+            found[i] = encoded.ids
+        sizes = np.array([len(x) for x in found], dtype=np.uint64)
+        begins, first = np.uint64(self.ids.n) + np.cumsum(sizes) - sizes, self.known.n
+        self.known.add(np.vstack((numbers, begins, sizes)))
+        self.ids.add(np.array([[x for ids in found for x in ids]], dtype="<u4"))
+        return np.arange(first, first + len(words))
+
+    def _by_bytes(self, words: list[bytes], numbers: np.ndarray) -> list[int]:
+        new = {raw: j for j, raw in enumerate(words) if raw not in self.of_bytes}
+        if new:
+            places = self._learn(list(new), numbers[:, list(new.values())])
+            self.of_bytes.update(zip(new, places.tolist(), strict=True))
+        return [self.of_bytes[raw] for raw in words]
+
+    def encode_words(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of a slice as little-endian unsigned 32-bit numbers, and where each text's ids begin and end."""
+        if self.known.n > CACHED_WORDS:
+            self._clear()
+        starts, ends, bounds = _cut_marks(texts)
+        n = ends - starts
+        if not len(starts):
+            return np.zeros(0, dtype="<u4"), np.zeros(len(bounds), dtype=np.int64)
+        padded = np.concatenate((texts.data, np.zeros(_SHORT + 8, dtype=np.uint8)))
+        eight = np.ndarray((len(texts.data) + _SHORT,), dtype="<u8", buffer=padded, strides=(1,))
+        low = eight[starts] & _FIRST[np.minimum(n, 8)]
+        high = eight[starts + 8] & _FIRST[np.clip(n - 8, 0, 8)]
+        numbers = np.vstack((low, high, n.astype(np.uint64)))
+        word = lambda j: texts.data[starts[j] : ends[j]].tobytes()
+        coded = pa.array(mix(low * np.uint64(0x9E3779B97F4A7C15) + mix(high + numbers[2]))).dictionary_encode()
+        hashes, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        first = np.zeros(len(hashes), dtype=np.int64)
+        first[place[::-1]] = np.arange(len(place) - 1, -1, -1)
+        rows = np.array([self.of_hash.get(h, -1) for h in hashes], dtype=np.int64)
+        new = np.flatnonzero((rows < 0) & (n[first] <= _SHORT))
+        if len(new):
+            rows[new] = self._learn([word(j) for j in first[new].tolist()], numbers[:, first[new]])
+            self.of_hash.update(zip((hashes[i] for i in new.tolist()), rows[new].tolist(), strict=True))
+        rows = rows[place]
+        odd = np.flatnonzero((n > _SHORT) | (rows < 0) | (self.known.buffer[:3, rows] != numbers).any(axis=0))
+        if len(odd):
+            rows[odd] = self._by_bytes([word(j) for j in odd.tolist()], numbers[:, odd])
+        begin, size = (self.known.buffer[i, rows].astype(np.int64) for i in (3, 4))
+        upto = np.cumsum(size)
+        flat = self.ids.buffer[0, np.repeat(begin - (upto - size), size) + np.arange(upto[-1])]
+        return flat, np.concatenate(([0], upto))[bounds]
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit numbers."""
+        return list(self.documents(pa.array(texts, pa.string())))
+
+    def documents(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of every text of a column, null being empty, a slice at a time."""
+        for first, end, texts in slices(column, _BLANKS, TEXT_BYTES):
+            spelled, raw = set(), texts.data.tobytes()
+            # The slice is lower-cased: what has a special in it may have one in the text.
+            if any(s.lower().encode() in raw for s in self.special):
+                spelled = {i for i in range(first, end) if any(s in (column[i].as_py() or "") for s in self.special)}
+            flat, bounds = self.encode_words(texts)
+            for i in range(first, end):
+                yield self.encode_whole(column[i].as_py()).tobytes() if i in spelled else flat[bounds[i - first] : bounds[i - first + 1]].tobytes()
 
 
 @cache
@@ -93,18 +188,6 @@ def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _text_runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
-    run, size = [], 0
-    for text in texts:
-        run.append(text or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document: its ids, ``end_id`` after them, cut at ``capacity``.
 
@@ -116,15 +199,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         step, tail = capacity * 4, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {x: [] for x in ("doc", "piece", "start", "length", "crc", "ids")}
-            doc = 0
-            for texts in _text_runs(batch.column("text").to_pylist()):
-                for raw in words.encode(texts):
-                    raw += tail
-                    for piece, at in enumerate(range(0, len(raw), step)):
-                        ids = raw[at : at + step]
-                        for name, value in zip(out, (doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids), ids), strict=True):
-                            out[name].append(value)
-                    doc += 1
+            for doc, raw in enumerate(words.documents(batch.column("text"))):
+                raw += tail
+                for piece, at in enumerate(range(0, len(raw), step)):
+                    ids = raw[at : at + step]
+                    for name, value in zip(out, (doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids), ids if with_ids else None), strict=True):
+                        out[name].append(value)
             columns = {
                 "doc_id": batch.column("doc_id").take(pa.array(out["doc"], pa.int64())),
                 "piece": pa.array(out["piece"], pa.int32()),

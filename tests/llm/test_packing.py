@@ -76,7 +76,9 @@ def test_reduction_never_costs_a_sequence(items):
 def test_plans_are_whole(histogram):
     plan = check(histogram, 64)
     total = sum(k * n for k, n in histogram.items())
-    assert -(-total // 64) <= plan.bins <= max(1, 11 / 9 * (-(-total // 64)) + 1 + sum(n for k, n in histogram.items() if k > 32)) or not histogram
+    # No packing has fewer: k pieces of more than a (k + 1)-th of the capacity fill a sequence at most.
+    fewest_ = max([-(-total // 64), *(-(-sum(n for x, n in histogram.items() if (k + 1) * x > 64) // k) for k in range(1, 64))])
+    assert fewest_ <= plan.bins <= max(1, 11 / 9 * fewest_ + 1 + sum(n for k, n in histogram.items() if k > 32)) or not histogram
 
 
 def test_classes_of_millions_are_planned_at_once():
