@@ -142,6 +142,15 @@ def _index_line(offset: int, length: int, fields: dict[str, str]) -> str:
     return "\t".join(map(str, values)) + "\n"
 
 
+def _archive_name(uri: str) -> str:
+    """The name of a rewritten archive: the file's without its ending, and a hash of its whole path.
+
+    Archives of the same name in different folders, or with the same name up to a dot, stay apart.
+    """
+    name = uri.rstrip("/").rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".warc")
+    return f"{name}-{hashlib.sha256(uri.encode()).hexdigest()[:16]}"
+
+
 def _normalise_file(uri: str, target: str, level: int) -> tuple[str, int]:
     """Rewrite one archive; returns the new one's path and its number of records.
 
@@ -150,7 +159,7 @@ def _normalise_file(uri: str, target: str, level: int) -> tuple[str, int]:
     """
     source, path = _open(uri)
     out, folder = _open(target)
-    name = path.rsplit("/", 1)[-1].split(".")[0]
+    name = _archive_name(uri)
     attempt = f"{folder}/.attempt-{uuid.uuid4().hex}"
     records = offset = 0
     with (

@@ -85,3 +85,17 @@ def test_archives_of_many_members_and_broken_ones(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/pages.parquet")
     assert queries.op1_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_archives_of_one_stem_stay_apart(spark, tmp_path):
+    """Names that are the same up to a dot, or in several folders, give an archive each."""
+    record = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x:{}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for k, name in enumerate(["a/crawl.00001.warc.gz", "a/crawl.00002.warc.gz", "b/crawl.00001.warc.gz", "b/crawl"]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).with_name(name[2:] + ("" if name.endswith(".gz") else ".gz")).write_bytes(gzip.compress(record.format(k).encode()))
+    done = []
+    for folder in ("a", "b", "a"):  # once more: the same archive takes its own place
+        done += [r["archive"] for r in warc.normalise(spark, f"{tmp_path}/{folder}", f"{tmp_path}/out").collect()]
+    assert len(set(done)) == 4 and sum("crawl.00001" in x for x in set(done)) == 2
+    ids = sorted(r["record_id"] for r in warc.read_index(spark, f"{tmp_path}/out").collect())
+    assert ids == [f"<urn:x:{k}>" for k in range(4)]
