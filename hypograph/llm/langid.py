@@ -81,17 +81,49 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _last_orders(rows: DataFrame, n: int) -> DataFrame:
+    """(lang, last): the n-th least ``order`` of each language, or the greatest possible where there are fewer.
+
+    Sixteen bits of the order a round: rows of each language are counted by the next bits, among those that have
+    the bits found so far, until the n-th is one value. Counts are summed before they are shuffled, so a
+    language with nearly all rows costs a task 65,536 numbers at most; the driver keeps two numbers a language.
+    """
+    place = F.col("order").bitwiseXOR(F.lit(-(1 << 63)))  # unsigned order of the signed number
+    bits = lambda depth: F.shiftrightunsigned(place, 64 - 16 * depth)
+    found: dict[str, tuple[int, int]] | None = None
+    for depth in range(1, 5):
+        counts = rows
+        if found is not None:
+            state = F.broadcast(rows.sparkSession.createDataFrame([(k, v) for k, (v, _) in found.items()], "lang string, prefix long"))
+            counts = rows.join(state, "lang").filter(bits(depth - 1) == F.col("prefix"))
+        counts = counts.groupBy("lang", bits(depth).alias("bits")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bits"))
+        below = F.lit(0)
+        if found is not None:
+            below = F.broadcast(rows.sparkSession.createDataFrame([(k, b) for k, (_, b) in found.items()], "lang string, below long"))
+            counts, below = counts.join(below, "lang"), F.col("below")
+        upto = counts.withColumn("upto", upto + below).filter((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n))
+        found = {r["lang"]: (r["bits"], r["upto"] - r["n"]) for r in upto.collect()}
+        if not found:
+            break
+    signed = lambda x: (x ^ (1 << 63)) - (1 << 64) if (x ^ (1 << 63)) >> 63 else x ^ (1 << 63)
+    last = [(k, signed(v & (1 << 64) - 1)) for k, (v, _) in (found or {}).items()]
+    return rows.sparkSession.createDataFrame(last, "lang string, last long")
+
+
 def training_rows(docs: DataFrame, eligible: Column, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(lang, text) of the ``train_docs`` rows of each language that come first by a hash of their id."""
+    """(lang, text) of the ``train_docs`` rows of each language that come first by a hash of their id.
+
+    Rows with the hash of the last one are all taken.
+    """
     rows = docs.select(
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
         F.xxhash64(F.col("doc_id").cast("string")).alias("order"),
         F.coalesce(eligible, F.lit(False)).alias("eligible"),
     ).filter("eligible and lang is not null")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    last = rows.select("lang", "order").withColumn("nth", nth).filter(F.col("nth") <= train_docs).groupBy("lang").agg(F.max("order").alias("last"))
-    return rows.join(F.broadcast(last), "lang").filter(F.col("order") <= F.col("last")).select("lang", "text")
+    last = _last_orders(rows.select("lang", "order"), train_docs)
+    return rows.join(F.broadcast(last), "lang", "left").filter(F.col("last").isNull() | (F.col("order") <= F.col("last"))).select("lang", "text")
 
 
 def fit_profiles(training: DataFrame) -> dict[str, np.ndarray]:

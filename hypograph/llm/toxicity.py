@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sizing import written
 from ._arrays import ALPHANUMERIC, mix, slices
 
 BITS = 20
@@ -91,13 +92,20 @@ def train(examples: list[tuple[np.ndarray, int]], ftrl: Ftrl = Ftrl()) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, eligible: Column, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """(order, text, label) of at most ``train_docs`` labelled documents. Of labels that disagree the higher counts."""
+    """(order, text, label) of at most ``train_docs`` labelled documents.
+
+    Of labels that disagree the higher counts; of texts that share an id the one with the least hash is taken.
+    """
     known = labels.filter("toxic is not null").filter(F.coalesce(eligible, F.lit(False)))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")).filter("doc_id is not null")
     # Bounded by ``train_docs`` rows of three numbers.
     chosen = F.broadcast(known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(train_docs))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("order", "text", "label")
+    # Texts of one id are told apart by their hashes, so the same one is taken on every run.
+    found = written(texts.join(chosen, "doc_id").withColumn("hash", F.struct(F.xxhash64("text"), F.sha1(F.encode(F.coalesce("text", F.lit("")), "utf-8")))), "training")
+    least = F.broadcast(found.groupBy(F.col("doc_id").alias("id")).agg(F.min("hash").alias("least")))
+    taken = found.join(least, (F.col("doc_id") == F.col("id")) & (F.col("hash") == F.col("least")))
+    return taken.dropDuplicates(["doc_id"]).select("order", "text", "label")
 
 
 def fit(training: DataFrame, ftrl: Ftrl = Ftrl()) -> Model:

@@ -129,3 +129,27 @@ def test_ftrl_keeps_few_weights():
     model = toxicity.train(examples)
     weight = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
     assert weight[7] > 1 and len(weight) < 200
+
+
+@pytest.mark.parametrize("n", [1, 7, 400, 5000])
+def test_training_rows_are_the_first_by_hash(spark, n):
+    """The same rows as by sorting, for a language with nine tenths of all rows over many splits too."""
+    rows = [(i, f"text {i}", "en" if i % 10 else "de", "s", 6) for i in range(3000)] + [(5000, "x", None, "s", 1)]
+    docs = spark.createDataFrame(rows, c.DOCS).repartition(40)
+    got = sorted(tuple(r) for r in langid.training_rows(docs, F.col("doc_id") % 3 != 0, n).collect())
+    order = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    want = []
+    for lang in ("en", "de"):
+        want += sorted(((order[i], lang, t) for i, t, x, _, _ in rows if x == lang and i % 3), key=lambda x: x[0])[:n]
+    assert got == sorted((lang, t) for _, lang, t in want)
+
+
+def test_texts_of_one_id_give_the_same_model_on_every_run(spark):
+    """Of two texts under one labelled id the same one is taken, whatever the partitions."""
+    rows = [(i, f"{prose('en', i)} {k}", "en", "s", 1) for i in range(30) for k in range(2)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int")
+    found = [
+        sorted(tuple(r) for r in toxicity.training_rows(spark.createDataFrame(x, c.DOCS).repartition(n), labels, F.lit(True)).collect())
+        for x, n in ((rows, 1), (rows[::-1], 7))
+    ]
+    assert found[0] == found[1] and len(found[0]) == 30
