@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,10 +117,8 @@ class Search:
             self.floors[q] = max(self.floors[q], -self.best[q][-1][0])
 
 
-def _pass(items: DataFrame, ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, floors: np.ndarray) -> DataFrame:
+def _pass(items: DataFrame, shared: Broadcast, dim: int) -> DataFrame:
     """(query_id, vec_id, score): the best k of every partition, for one block of queries."""
-    shared = items.sparkSession.sparkContext.broadcast((ids, queries, turn, k, floors))
-    dim = queries.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(*shared.value)
@@ -175,12 +174,21 @@ def top_inner_products(items: DataFrame, queries: DataFrame, k: int = 10, query_
         for i, x in enumerate(taken):
             matrix[i, : len(x["v"])] = x["v"]
         none = np.full(len(ids), -np.inf)
-        first = _ranked(_pass(longest.coalesce(1), ids, matrix, turn, k, none), k).filter(F.col("rank") == k)
+        send = spark.sparkContext.broadcast
+        shared = send((ids, matrix, turn, k, none))
+        first = _ranked(_pass(longest.coalesce(1), shared, dim), k).filter(F.col("rank") == k)
         reached = {x["query_id"]: x["score"] for x in first.select("query_id", "score").collect()}
+        shared.unpersist()
         values, times = np.unique(ids, return_counts=True)
         shared_ids = set(values[times > 1].tolist())
         floors = np.array([-np.inf if x in shared_ids else reached.get(x, -np.inf) for x in ids.tolist()])
-        results.append(_ranked(_pass(by_length, ids, matrix, turn, k, floors), k))
+        shared = send((ids, matrix, turn, k, floors))
+        found = _ranked(_pass(by_length, shared, dim), k)
+        if blocks > 1:
+            # Written, so that its queries need not stay broadcast while others are asked.
+            found = written(found, "ranked")
+            shared.unpersist()
+        results.append(found)
     out = results[0]
     for more in results[1:]:
         out = out.unionByName(more)
