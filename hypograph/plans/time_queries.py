@@ -124,9 +124,9 @@ def trailing_members(spark, d):
 
 
 def window_vocabulary(spark, d):
-    """Distinct words of every trailing window and up to every month; sketches this large are exact on the samples."""
-    words = fx.table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word"), fx.pub_date().alias("pub_date"))
-    out = tl.window_distinct(words, "word", lg_entries=18)
+    """Distinct words of every trailing window and up to every month."""
+    words = fx.table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", " "))).alias("word"), fx.pub_date().alias("pub_date"))
+    out = tl.window_distinct(words, "word")
     return out.select("window", F.date_format("window_end", "yyyy-MM").alias("until"), "n_terms")
 
 

@@ -197,6 +197,17 @@ def test_distinct_terms_of_windows(spark):
             assert abs(n - want) <= error * want
 
 
+def test_distinct_terms_are_exact_at_any_number(spark):
+    """More terms than a sketch of usual size holds, of which every third comes again two months later."""
+    term, month = F.col("id").cast("string").alias("term"), F.lit("2011-01-05").cast("date")
+    df = spark.range(40_000).select(term, F.explode(F.array(month, F.when(F.col("id") % 3 == 0, F.add_months(month, 2)))).alias("pub_date"))
+    out = tl.window_distinct(df, "term", depths={"month": 1, "quarter": 3})
+    got = {(x["window"], x["window_end"].month): x["n_terms"] for x in out.collect()}
+    again = 13_334
+    want = {("month", 1): 40_000, ("month", 3): again} | {(w, m): 40_000 for w in ("quarter", "cumulative") for m in (1, 2, 3)}
+    assert got == want
+
+
 def test_sketch_vectors_of_windows(spark, tmp_path):
     """Vectors of a window are those of its text: a plain count of contexts times signs."""
     import hashlib
