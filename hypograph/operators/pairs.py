@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ PAIR_THRESHOLD = 800
 KINASE_THRESHOLD = 8000
 #: Pairs of a stretch of text that are matched inside one row.
 FEW_PAIRS = 48
+#: Pairs of a stretch of text that one task goes through in rank order; those of longer ones are matched in rounds.
+STREAM_PAIRS = 50_000
 
 
 def cooccurrences(
@@ -184,13 +191,40 @@ def _match_in_rounds(pairs: DataFrame, key: list[str]) -> DataFrame:
             return done
 
 
+def _picked_in_order(stretch: list[str]):
+    """Rows come stretch by stretch in rank order; kept are those whose positions no kept row before them has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, lefts, rights = None, set(), set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).dictionary_encode(null_encoding="encode") for c in stretch]
+            codes = np.column_stack([k.indices.to_numpy() for k in keys])
+            begins = np.any(np.diff(codes, axis=0) != 0, axis=1).tolist()
+            own = tuple(k[0].as_py() for k in keys)
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, (begin, l, r) in enumerate(zip([own != current, *begins], batch.column("l_pos").to_pylist(), batch.column("r_pos").to_pylist(), strict=True)):
+                if begin:
+                    lefts, rights = set(), set()
+                if l not in lefts and r not in rights:
+                    lefts.add(l)
+                    rights.add(r)
+                    kept[i] = True
+            current = tuple(k[batch.num_rows - 1].as_py() for k in keys)
+            yield batch.filter(pa.array(kept))
+
+    return run
+
+
 def match_one_to_one(pairs: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Take the closest pair, drop all pairs sharing its left or right position, repeat.
 
     Ties go to the lower left, then the lower right position. Pairs of two words in one article fall into
     stretches of text that no pair reaches across. Short ones, of up to ``FEW_PAIRS`` pairs, are matched inside
-    a row. Pairs of longer ones stay rows: all of them are matched together in rounds that settle every pair
-    whose neighbours leave no doubt, which gives the same result in bounded memory.
+    a row. Pairs of longer ones stay rows: of up to ``STREAM_PAIRS`` pairs, they are sorted, and a task goes through
+    them once, holding the positions taken in one stretch; so the text's size adds no jobs. All still longer ones
+    are matched together in rounds that settle every pair whose neighbours leave no doubt. All give the same result.
     """
     key = [id_col, "code", "l", "r"]
     low, high = F.least("l_pos", "r_pos"), F.greatest("l_pos", "r_pos")
@@ -205,7 +239,12 @@ def match_one_to_one(pairs: DataFrame, id_col: str = "article_id") -> DataFrame:
     few = stored.filter(F.col("_n").between(2, FEW_PAIRS)).groupBy(*key, "_stretch")
     few = few.agg(F.sort_array(F.collect_list(F.struct(*_ITEM))).alias("ranked")).select(*key, F.explode(_picked_in_row(F.col("ranked"))).alias("x"))
     out = alone.unionByName(few.select(*key, "x.*"))
-    many = stored.filter(F.col("_n") > max(FEW_PAIRS, 1)).select(*key, *_ITEM)
+    middle = stored.filter((F.col("_n") > max(FEW_PAIRS, 1)) & (F.col("_n") <= STREAM_PAIRS)).drop("_n")
+    if not middle.isEmpty():
+        ranked = middle.repartition(*key, "_stretch").sortWithinPartitions(*key, "_stretch", *_ITEM)
+        picked = ranked.mapInArrow(_picked_in_order([*key, "_stretch"]), middle.schema)
+        out = out.unionByName(written(picked.select(*key, *_ITEM), "matched"))
+    many = stored.filter(F.col("_n") > max(FEW_PAIRS, STREAM_PAIRS, 1)).select(*key, *_ITEM)
     return out if many.isEmpty() else out.unionByName(_match_in_rounds(many, key))
 
 

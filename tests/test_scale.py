@@ -81,6 +81,32 @@ def test_matching_inside_rows_and_in_rounds_together(spark, monkeypatch):
     assert rows(out, "doc_dist", "l_pos", "r_pos") == _greedy(items)
 
 
+@pytest.mark.parametrize("rows_in_batch", [7, 10_000])
+def test_matching_of_middling_stretches_takes_no_round(spark, monkeypatch, rows_in_batch):
+    """Each distance of many is a round otherwise; stretches and keys end inside batches, one key is null."""
+    monkeypatch.setattr(pr, "_match_in_rounds", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_in_batch))
+    r, data = random.Random(8), {}
+    for a in (None, "d", "e"):
+        for word in ("x", "y"):
+            ls, rs = ([base + r.randrange(700) for base in (0, 5000) for _ in range(25)] for _ in range(2))
+            data[a, word] = {(abs(x - y), x, y) for x in ls for y in rs if abs(x - y) < 800}
+    found = [(a, 1, "w", word, d, lp, rp, d, 0, 0) for (a, word), items in data.items() for d, lp, rp in items]
+    out = pr.match_one_to_one(spark.createDataFrame([*found, *found[:5]], PAIRS).repartition(5)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {k: sorted((x["doc_dist"], x["l_pos"], x["r_pos"]) for x in out if (x["article_id"], x["r"]) == k) for k in data}
+    assert got == {k: _greedy(x) for k, x in data.items()}
+
+
+def test_rounds_give_what_the_other_ways_give(spark, monkeypatch):
+    r = random.Random(9)
+    items = {(abs(x - y), x, y) for x in {r.randrange(900) for _ in range(25)} for y in {r.randrange(900) for _ in range(25)} if abs(x - y) < 300}
+    monkeypatch.setattr(pr, "FEW_PAIRS", 0)
+    monkeypatch.setattr(pr, "STREAM_PAIRS", 0)
+    out = pr.match_one_to_one(spark.createDataFrame([("d", 1, "x", "y", d, a, b, d, 0, 0) for d, a, b in items], PAIRS))
+    assert rows(out, "doc_dist", "l_pos", "r_pos") == _greedy(items)
+
+
 def test_a_dense_stretch_takes_few_rounds(spark):
     """A hundred thousand pairs of one stretch, neighbours at equal distances: no list of them is made."""
     n = 50_000
