@@ -73,7 +73,8 @@ def earliest_confirmation(
         .groupBy("l", "r")
         .agg(F.min("ref_ts").alias("first_ts"))
     )
-    dated = positives.join(dates.select("pmid", "pub_ts"), "pmid", "left")
+    # Written, since the join counts its keys before it is made.
+    dated = written(positives.join(dates.select("pmid", "pub_ts"), "pmid", "left"), "positives")
     return keyed_join(dated, first, ["l", "r"], "left").withColumn(
         "time_until_verified", F.col("first_ts") - F.col("pub_ts")
     )
