@@ -328,3 +328,16 @@ def test_feature_vectors(spark, tmp_path):
     vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0])], "word string, vector array<float>")
     jobs.annotate_similarity(spark, str(tmp_path / "model*split*"), 4, vec, str(tmp_path / "ext"))
     assert [tuple(r) for r in sb.read_delimited(spark, str(tmp_path / "ext"), 5).collect()] == [("1", "A", "B", "0.5", "1.0")]
+
+
+def test_written_xml_files_hold_a_bounded_number_of_records(spark, tmp_path, monkeypatch):
+    """One writing task, several files: so no reading task gets all that one task has written."""
+    from hypograph.plans import other_queries as oq
+    from hypograph.sources import records as sr
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(oq, "XML_RECORDS", 10)
+    raw = spark.range(45).coalesce(1).select(F.concat(F.lit("D"), "id").alias("DescriptorUI"), F.struct(F.lit("N").alias("String")).alias("DescriptorName"))
+    oq._write_xml(raw, str(tmp_path / "x"), "DescriptorRecord", "DescriptorRecordSet")
+    assert len([x for x in (tmp_path / "x").iterdir() if x.name.startswith("part-")]) == 5
+    assert {x["ui"] for x in sr.read_thesaurus(spark, str(tmp_path / "x")).collect()} == {f"D{i}" for i in range(45)}
