@@ -341,3 +341,17 @@ def test_written_xml_files_hold_a_bounded_number_of_records(spark, tmp_path, mon
     oq._write_xml(raw, str(tmp_path / "x"), "DescriptorRecord", "DescriptorRecordSet")
     assert len([x for x in (tmp_path / "x").iterdir() if x.name.startswith("part-")]) == 5
     assert {x["ui"] for x in sr.read_thesaurus(spark, str(tmp_path / "x")).collect()} == {f"D{i}" for i in range(45)}
+
+
+def test_written_triples_are_compressed_in_bounded_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from hypograph.plans import other_queries as oq
+
+    monkeypatch.setattr(oq, "TEXT_LINES", 5_000)
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    known = set(shared.glob("triples-*"))
+    assert oq.ntriples(spark, "/root/testdata/sf0.001").agg(F.sum("n")).first()[0] > 20_000
+    (path,) = set(shared.glob("triples-*")) - known
+    files = [x for x in path.iterdir() if x.name.startswith("part-")]
+    assert len(files) > 5 and all(x.name.endswith(".gz") for x in files)
