@@ -93,21 +93,42 @@ def walk_counts(graph_edges: DataFrame, hops: int = 2) -> DataFrame:
     return counts
 
 
+def _numbered(ends: DataFrame) -> DataFrame:
+    """(id, n): the vertices of the edges (x, y), numbered in the order of their number of neighbours, then their name."""
+    degrees = ends.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("k"))
+    return written(degrees.orderBy("k", "id").select("id", F.monotonically_increasing_id().alias("n")), "vertices")
+
+
+def _third_vertices(lists: DataFrame) -> DataFrame:
+    """(u, v, w) for the edges u to v of ``lists`` (u, vs), v with edges of its own: each w that v leads to, where these
+    are no more than those of u, else one row with a null."""
+    steps = lists.select("u", F.size("vs").alias("n"), F.explode("vs").alias("v"))
+    met = keyed_join(steps, lists.select(F.col("u").alias("v"), F.col("vs").alias("ws")), ["v"])
+    none = F.array(F.lit(None).cast("long"))
+    return met.select("u", "v", F.explode(F.when(F.size("ws") <= F.col("n"), F.col("ws")).otherwise(none)).alias("w"))
+
+
 def triangle_counts(graph_edges: DataFrame) -> DataFrame:
     """(id, n_triangles) of every vertex in a triangle; direction, parallel edges and loops do not count.
 
     Edges go from the end with fewer neighbours to the one with more (ties by name), so a vertex has at most
-    the square root of twice the number of edges going out, and a hub few. Two edges out of one vertex that a
-    third edge closes are a triangle, met once; the join on that vertex is split where it is heavy.
+    the square root of twice the number of edges going out, and a hub few. A triangle u, v, w is met once, at its
+    edge u to v, where the third vertex is sought among the neighbours of that end which has fewer going out: those
+    of v need an edge from u, those of u one from v. Names are met only where vertices are numbered and at the end.
     """
     ends = graph_edges.filter("src != dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
     ends = written(ends, "ends")
-    degrees = written(ends.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("k")), "degrees")
+    numbers = _numbered(ends)
     for side in ("x", "y"):
-        ends = keyed_join(ends, degrees.select(F.col("id").alias(side), F.col("k").alias(f"k_{side}")), [side])
-    up = F.struct("k_x", "x") <= F.struct("k_y", "y")
-    low, high = F.when(up, F.col("x")).otherwise(F.col("y")), F.when(up, F.col("y")).otherwise(F.col("x"))
-    out = written(ends.select(low.alias("u"), high.alias("v")), "oriented")
-    wedges = keyed_join(out, out.withColumnRenamed("v", "w"), ["u"]).filter("v < w")
-    closed = keyed_join(wedges, out.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w")), ["v", "w"], "left_semi")
-    return closed.select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count("*").alias("n_triangles"))
+        named = keyed_join(ends, numbers.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), [side])
+        ends = written(named.drop(side), "ends")
+    out = written(ends.select(F.least("n_x", "n_y").alias("u"), F.greatest("n_x", "n_y").alias("v")), "oriented")
+    lists = written(out.groupBy("u").agg(F.collect_list("v").alias("vs")), "neighbours")
+    thirds = written(_third_vertices(lists), "thirds")
+    # At most as many rows of one u and w as u has edges, so no key is hot.
+    by_v = thirds.filter("w is not null").join(out.withColumnRenamed("v", "w"), ["u", "w"], "left_semi")
+    wedges = thirds.filter("w is null").select("u", "v").join(out.withColumnRenamed("v", "w"), "u").filter("v < w")
+    by_u = keyed_join(wedges, out.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
+    closed = by_v.select("u", "v", "w").unionByName(by_u.select("u", "v", "w"))
+    counts = closed.select(F.explode(F.array("u", "v", "w")).alias("n")).groupBy("n").agg(F.count("*").alias("n_triangles"))
+    return numbers.join(counts, "n").select("id", "n_triangles")

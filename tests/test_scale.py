@@ -187,6 +187,23 @@ def test_walks_and_triangles(spark, shuffled):
     assert dict(rows(gr.triangle_counts(df), "id", "n_triangles")) == tri
 
 
+def test_triangles_are_sought_at_the_end_with_fewer_neighbours(spark, shuffled):
+    """Both ways of closing a triangle, and no more rows than the smaller of the two lists of each edge."""
+    fans = [(f"p{i:02d}", f"s{j:02d}") for i in range(20) for j in range(30)] + [(f"s{j:02d}", f"n{j % 3}") for j in range(30)]
+    fans += [(f"p{i:02d}", f"n{i % 3}") for i in range(20)] + [(f"t{i}", f"m{i}_{j}") for i in range(3) for j in range(2)]
+    fans += [(f"m{i}_0", f"m{i}_1") for i in range(3)] + [(f"m{i}_{j}", f"z{i}{j}{k}") for i in range(3) for j in range(2) for k in range(9)]
+    near = {}
+    for a, b in fans:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {a: sum(1 for b in near[a] for c in near[a] if b < c and c in near[b]) for a in near}
+    df = spark.createDataFrame([(a, b, "e") for a, b in fans], "src string, dst string, relationship string")
+    assert dict(rows(gr.triangle_counts(df), "id", "n_triangles")) == {a: n for a, n in want.items() if n}
+    lists = {1: [4, 5, 6, 7, 8], 2: [4, 9], 4: [9], 5: [6, 7, 8, 9, 10, 11]}
+    found = gr._third_vertices(spark.createDataFrame(list(lists.items()), "u long, vs array<long>")).collect()
+    assert sorted((r.u, r.v, r.w or 0) for r in found) == [(1, 4, 9), (1, 5, 0), (2, 4, 9)]
+
+
 def test_a_store_knows_its_input(spark, tmp_path):
     one, two = (spark.range(n).withColumn("x", F.lit("v")) for n in (5, 6))
     built = []
