@@ -181,3 +181,13 @@ def test_padded_mentions_meet_terms_behind_line_ends(spark):
     vocab = spark.createDataFrame([("A", "protein kinase c"), ("B", "p53")], "cat string, term string")
     found = rows(mt.padded_mentions(st.sentences(arts), vocab), "word", "doc_pos", "para_pos")
     assert found == [("p53", 18 + 22, 1), ("protein kinase c", 2, 0), ("protein kinase c", 18 + 5, 1)]
+
+
+def test_mentions_need_one_step_outside_the_engine(spark, sents):
+    """One running sum per article: every further Python step would be one more worker beside each task."""
+    vocab = spark.createDataFrame([("A", "type 2 diabetes"), ("B", "kcnq1")], "cat string, term string")
+    text = spark.createDataFrame([("a", TEXT), ("n", None), ("m", ["x kcnq1.", None, "so\tkcnq1"])], "article_id string, paragraphs array<string>")
+    found = mt.mentions(st.sentences(text), vocab)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert rows(found.filter("article_id = 'm'"), "word", "doc_pos", "para_pos", "sent_pos") == [("kcnq1", 2, 0, 0), ("kcnq1", 11, 2, 1)]
