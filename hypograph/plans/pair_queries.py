@@ -79,10 +79,10 @@ def fact_refs(spark, d):
 
 
 def _tagging(spark, d):
-    """Close pairs and facts from one reading of the text."""
-    wide = fx.wide_pairs(spark, d, shared=True)
-    close = pr.shortest_pairs(wide.filter((F.col("doc_dist") > 0) & (F.col("doc_dist") < pr.PAIR_THRESHOLD)))
-    return close, fx.facts(spark, d, wide)
+    """Close pairs and facts from one reading of the text; both are written, since joins measure and count them first."""
+    hits = written(fx.found(spark, d), "mentions")
+    close = pr.shortest_pairs(pr.cooccurrences(hits, distinct_words=True))
+    return written(close, "close"), written(fx.facts_of(spark, d, hits), "facts")
 
 
 def pairs_known(spark, d):

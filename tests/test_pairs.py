@@ -3,6 +3,7 @@
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from hypograph.operators import evaluation as ev
 from hypograph.operators import facts as fc
@@ -195,3 +196,18 @@ def test_metrics_agree_with_mllib(spark):
     r = ev.regression_metrics(df).first()
     for name, column in (("var", "explained_variance"), ("mae", "mae"), ("mse", "mse"), ("rmse", "rmse"), ("r2", "r2")):
         assert abs(r[column] - RegressionEvaluator(metricName=name).evaluate(df)) < 1e-12
+
+
+def test_tagging_reads_stored_pairs(spark):
+    """Close pairs and facts are made once, whatever measures and counts them afterwards; facts are those of all wide pairs."""
+    from hypograph.plans import fixtures as fx
+    from hypograph.plans import pair_queries as pq
+
+    d = "/root/testdata/sf0.001"
+    close, facts = pq._tagging(spark, d)
+    assert close.inputFiles() and all("close-" in f for f in close.inputFiles())
+    assert facts.inputFiles() and all("facts-" in f for f in facts.inputFiles())
+    wide = fx.wide_pairs(spark, d)
+    assert rows(facts, "code", "l", "r", "refs") == rows(fx.facts(spark, d, wide), "code", "l", "r", "refs")
+    near = wide.filter((F.col("doc_dist") > 0) & (F.col("doc_dist") < pr.PAIR_THRESHOLD))
+    assert rows(close, *close.columns) == rows(pr.shortest_pairs(near), *close.columns)
