@@ -93,3 +93,16 @@ def test_the_session_keeps_its_state_store(spark, tmp_path):
     before = spark.conf.get(name, None)
     run("state")
     assert spark.conf.get(name, None) == before
+
+
+def test_arrivals_come_in_more_files_as_they_grow(spark, tmp_path, monkeypatch):
+    from hypograph.plans import other_queries as oq
+
+    monkeypatch.setattr(oq, "_ARRIVAL_ROWS", 30)
+    docs = spark.range(100).withColumnRenamed("id", "doc_id")
+    assert oq._arrive(docs, str(tmp_path / "many"), 2) == 4
+    assert oq._arrive(docs.limit(10), str(tmp_path / "few"), 2) == 2
+    stored = spark.read.parquet(str(tmp_path / "many"))
+    assert len(stored.inputFiles()) == 4 and stored.count() == 100
+    sizes = [r["count"] for r in stored.groupBy("_metadata.file_name").count().collect()]
+    assert max(sizes) <= 30
