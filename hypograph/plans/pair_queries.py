@@ -207,6 +207,7 @@ def hypothesis_scores(spark, d):
     """A-B and B-C scores joined on B; the score of a pair falls with its closest distance."""
     close = fx.close_pairs(spark, d)
     best = close.filter(F.col("code").isin(1, 2)).groupBy("code", "l", "r").agg((1 / (1 + F.min("doc_dist"))).alias("p"))
+    best = written(best, "best")  # both lists, and the counts before their join, are read from it instead of the text
     out = rl.hypotheses(best.filter("code = 1"), best.filter("code = 2"))
     return out.select("a", "b", "c", F.round("score", 9).alias("score"))
 
