@@ -9,6 +9,7 @@ from ..functions.dates import month_tag, tagged_month
 from ..operators import mentions as mt
 from ..operators import sentences as st
 from ..operators import vocab as vc
+from ..operators.sizing import written
 from ..sources import articles as sa
 from . import fixtures as fx
 from .fixtures import with_cte
@@ -126,7 +127,8 @@ def bigram_corpus(spark, d):
     corpus = st.token_corpus(fx.article_sentences(spark, d)).select(
         *keys, F.filter("tokens", lambda t: t != "").alias("tokens")
     )
-    phrases = mt.phrase_scores(corpus)
+    corpus = written(corpus, "corpus")  # read for the scores, for the phrases of each sentence and for the sentences
+    phrases = written(mt.phrase_scores(corpus), "phrases")
     merged = mt.join_phrases(corpus, phrases, keys)
     return merged.groupBy("article_id").agg(
         F.sum(F.size("tokens")).alias("n_tokens"), F.count_if(F.size("tokens") > 0).alias("n_sentences")
