@@ -211,3 +211,13 @@ def test_tagging_reads_stored_pairs(spark):
     assert rows(facts, "code", "l", "r", "refs") == rows(fx.facts(spark, d, wide), "code", "l", "r", "refs")
     near = wide.filter((F.col("doc_dist") > 0) & (F.col("doc_dist") < pr.PAIR_THRESHOLD))
     assert rows(close, *close.columns) == rows(pr.shortest_pairs(near), *close.columns)
+
+
+def test_the_text_is_read_once_for_both_lists(spark):
+    """Scores, read-back digests and corpora that several parts of a plan use are stored, not made again for each."""
+    from hypograph.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    for name in ("hypothesis_scores", "roundtrip_json", "bigram_corpus"):
+        read = catalogue.QUERIES[name](spark, d).inputFiles()
+        assert read and not any(f.endswith(("documents.parquet", ".json")) for f in read), name
