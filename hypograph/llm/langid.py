@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._arrays import pieces
+
 PROFILE = 300
 #: Documents of each language that a fit uses at most; all of them where there are fewer.
 TRAIN_DOCS = 3000
@@ -67,8 +69,8 @@ def _top(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by language, summed over each batch before they leave the task."""
-    for batch in batches:
+    """Counts by language, summed over pieces of each batch before they leave the task."""
+    for batch in (x for whole in batches for x in pieces(whole, whole.column("text"), limit=_PIECE)):
         sums: dict[str, list] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             sums.setdefault(lang, []).append(ngram_counts(text or ""))
@@ -168,13 +170,18 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], carry: list[str]
     Only ``text`` decides. ``lang_pred`` is ``und`` with score 0 for null texts, texts without a letter, and
     where nothing was learned. Carried columns may have any names. An empty table gives an empty result.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in (carry or docs.columns)]).alias("row"), F.col("text").cast("string").alias("text"))
+    carry = carry or docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    # A text that is carried is sent once.
+    inside = carry.index("text") if "text" in carry and isinstance(docs.schema["text"].dataType, T.StringType) else None
+    rows = docs.select(row) if inside is not None else docs.select(row, F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast({name: codes.tolist() for name, codes in profiles.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker({name: np.array(codes, dtype=np.uint64) for name, codes in shared.value.items()})
-        for batch in batches:
-            found = [ranker.predict(x) for x in batch.column("text").to_pylist()]
+        text_of = lambda batch: batch.column("text") if inside is None else batch.column("row").field(inside)
+        for batch in (x for whole in batches for x in pieces(whole, text_of(whole))):
+            found = [ranker.predict(x) for x in text_of(batch).to_pylist()]
             names, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), names, scores], names=["row", "lang_pred", "score"])
 
