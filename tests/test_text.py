@@ -1,6 +1,7 @@
 """Sentences, coordinates and mentions against literals and brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import rows
@@ -191,3 +192,22 @@ def test_mentions_need_one_step_outside_the_engine(spark, sents):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert rows(found.filter("article_id = 'm'"), "word", "doc_pos", "para_pos", "sent_pos") == [("kcnq1", 2, 0, 0), ("kcnq1", 11, 2, 1)]
+
+
+def test_a_word_is_counted_with_its_follower_only(spark, monkeypatch):
+    """Counts of words come from those of pairs: one row per word of the text is grouped, not two."""
+    sentences = [["a", "b", "", "a", "b"], ["b"], [], None, ["a", "b", "a", "c"], ["c", "", ""]]
+    stored = {}
+
+    def kept(df, name):
+        stored[name] = df
+        return df
+
+    monkeypatch.setattr(mt, "written", kept)
+    toks = spark.createDataFrame([(s,) for s in sentences], "tokens array<string>")
+    got = {(r["w1"], r["w2"]): tuple(r)[2:] for r in mt.phrase_scores(toks, min_count=1, threshold=-1.0).collect()}
+    words = [[t for t in s or [] if t] for s in sentences]
+    n = Counter(t for s in words for t in s)
+    n12 = Counter(p for s in words for p in zip(s, s[1:]))
+    assert got == {p: (k, n[p[0]], n[p[1]], (k - 1) * len(n) / (n[p[0]] * n[p[1]])) for p, k in n12.items()}
+    assert sum(r["n"] for r in stored["grams"].collect()) == sum(n.values())
