@@ -78,10 +78,15 @@ def fact_refs(spark, d):
     return fc.fact_refs(_facts(spark, d))
 
 
-def _tagging(spark, d):
-    """Close pairs and facts from one reading of the text; both are written, since joins measure and count them first."""
+#: The lists that chains are made of.
+_CHAINED = (pr.AB, pr.BC)
+
+
+def _tagging(spark, d, combos=(pr.AB, pr.BC, pr.AC)):
+    """Close pairs of the lists ``combos``, and facts, from one reading of the text; both are written, since joins
+    measure and count them first."""
     hits = written(fx.found(spark, d), "mentions")
-    close = pr.shortest_pairs(pr.cooccurrences(hits, distinct_words=True))
+    close = pr.shortest_pairs(pr.cooccurrences(hits, combos, distinct_words=True))
     return written(close, "close"), written(fx.facts_of(spark, d, hits), "facts")
 
 
@@ -205,8 +210,8 @@ def distance_boxplot(spark, d):
 
 def hypothesis_scores(spark, d):
     """A-B and B-C scores joined on B; the score of a pair falls with its closest distance."""
-    close = fx.close_pairs(spark, d)
-    best = close.filter(F.col("code").isin(1, 2)).groupBy("code", "l", "r").agg((1 / (1 + F.min("doc_dist"))).alias("p"))
+    close = fx.close_pairs(spark, d, _CHAINED)
+    best = close.groupBy("code", "l", "r").agg((1 / (1 + F.min("doc_dist"))).alias("p"))
     best = written(best, "best")  # both lists, and the counts before their join, are read from it instead of the text
     out = rl.hypotheses(best.filter("code = 1"), best.filter("code = 2"))
     return out.select("a", "b", "c", F.round("score", 9).alias("score"))
@@ -233,7 +238,7 @@ def relevance_model(spark, d):
 
 def hypotheses(spark, d):
     """Chains of scored pairs through a model whose coefficients are given: p = 1 / (1 + exp(0.01 * distance - 2))."""
-    close = fx.close_pairs(spark, d).withColumn("p", 1 / (1 + F.exp(F.lit(0.01) * F.col("doc_dist") - 2)))
+    close = fx.close_pairs(spark, d, _CHAINED).withColumn("p", 1 / (1 + F.exp(F.lit(0.01) * F.col("doc_dist") - 2)))
     stored = written(close, "scored")
     out = rl.hypotheses(rl.pair_scores(stored, 1), rl.pair_scores(stored, 2))
     return out.select("a", "b", "c", F.round("score", 9).alias("score"))
@@ -241,7 +246,7 @@ def hypotheses(spark, d):
 
 def best_hypotheses(spark, d):
     """The hundred best chains of the same scores, without making the others."""
-    close = fx.close_pairs(spark, d).withColumn("p", 1 / (1 + F.exp(F.lit(0.01) * F.col("doc_dist") - 2)))
+    close = fx.close_pairs(spark, d, _CHAINED).withColumn("p", 1 / (1 + F.exp(F.lit(0.01) * F.col("doc_dist") - 2)))
     stored = written(close, "scored")
     out = rl.best_hypotheses(rl.pair_scores(stored, 1), rl.pair_scores(stored, 2), 100)
     return out.select("a", "b", "c", F.round("score", 9).alias("score"))
@@ -249,7 +254,7 @@ def best_hypotheses(spark, d):
 
 def ranked_hypotheses(spark, d):
     """Models fitted on the known facts of four fifths of the pairs, all pairs scored, the hundred best chains."""
-    tagged = fc.tag_facts(*_tagging(spark, d)).filter(F.col("code").isin(1, 2))
+    tagged = fc.tag_facts(*_tagging(spark, d, _CHAINED))
     data = written(tagged, "tagged")
     train, _ = rl.split_80_20(data)
     return rl.ranked_hypotheses(train, data, n=100)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hypograph.operators import evaluation as ev
 from hypograph.operators import facts as fc
 from hypograph.operators import pairs as pr
+from hypograph.plans import pair_queries
 
 MENTIONS = "article_id string, cat string, word string, doc_pos int, para_pos int, sent_pos int"
 
@@ -221,3 +222,18 @@ def test_the_text_is_read_once_for_both_lists(spark):
     for name in ("hypothesis_scores", "roundtrip_json", "bigram_corpus"):
         read = catalogue.QUERIES[name](spark, d).inputFiles()
         assert read and not any(f.endswith(("documents.parquet", ".json")) for f in read), name
+
+
+def test_chains_are_made_of_the_two_lists_they_need(spark, monkeypatch):
+    stored = {}
+
+    def kept(df, name):
+        stored[name] = df
+        return df
+
+    monkeypatch.setattr(pair_queries, "written", kept)
+    for query, name in ((pair_queries.hypotheses, "scored"), (pair_queries.best_hypotheses, "scored"), (pair_queries.ranked_hypotheses, "close")):
+        if query is pair_queries.ranked_hypotheses:
+            monkeypatch.setattr(pair_queries.rl, "ranked_hypotheses", lambda train, data, n: data)
+        query(spark, "/root/testdata/sf0.001")
+        assert {r["code"] for r in stored[name].select("code").distinct().collect()} == {1, 2}
