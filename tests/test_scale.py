@@ -1,6 +1,9 @@
 """Operators that hold for hot keys, long stretches, hubs and wide ranges, against plain versions."""
 
 import random
+import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -283,3 +286,23 @@ def test_sketch_vectors_of_windows(spark, tmp_path):
         want = {w: (n, [float(y) for y in vectors[w]]) for w, n in uses.items() if n >= 2}
         assert got.get(key, {}) == (want if len(texts) >= 8 else {}), key
     assert em.sketch_grid(stored, grid, store, min_size=8, min_count=2, size=40, radius=2).isEmpty()
+
+
+def _shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {x.name for f in manager.localDirsString() for x in Path(f).rglob("shuffle_*") if x.name.endswith(".data")}
+
+
+def test_a_stored_table_leaves_no_shuffle_files_and_can_be_dropped(spark):
+    before = _shuffle_files(spark)
+    table = sizing.written(spark.range(10_000).groupBy((F.col("id") % 97).alias("k")).agg(F.count("*").alias("n")), "counts")
+    again = sizing.written(table.join(table.groupBy("k").agg(F.max("n").alias("most")), "k").repartition(3), "again")
+    for _ in range(50):  # files are removed a moment later
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    folder = Path(urlparse(table.inputFiles()[0]).path).parent
+    assert folder.is_dir() and again.count() == 97
+    sizing.dropped(table, spark.range(3))
+    assert not folder.exists() and again.agg(F.sum("n")).first()[0] == 10_000
