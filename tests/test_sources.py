@@ -1,6 +1,8 @@
 """Readers, writers, vocabulary, graph, citations, interactions and models on small files."""
 
+import datetime
 import json
+from pathlib import Path
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -344,8 +346,6 @@ def test_written_xml_files_hold_a_bounded_number_of_records(spark, tmp_path, mon
 
 
 def test_written_triples_are_compressed_in_bounded_files(spark, monkeypatch):
-    from pathlib import Path
-
     from hypograph.plans import other_queries as oq
 
     monkeypatch.setattr(oq, "TEXT_LINES", 5_000)
@@ -355,3 +355,24 @@ def test_written_triples_are_compressed_in_bounded_files(spark, monkeypatch):
     (path,) = set(shared.glob("triples-*")) - known
     files = [x for x in path.iterdir() if x.name.startswith("part-")]
     assert len(files) > 5 and all(x.name.endswith(".gz") for x in files)
+
+
+def _size(folder):
+    return sum(x.stat().st_size for x in folder.rglob("*") if x.is_file())
+
+
+def test_written_records_and_digests_take_little_disk(spark, tmp_path):
+    """Citations in XML and digests in JSON are compressed, and no text is kept beside what is read back."""
+    from hypograph.plans import other_queries as oq
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    orders = [(i, i % 90, "O", "1-URGENT", datetime.datetime(1995, 1 + i % 12, 3)) for i in range(600)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp"
+    spark.createDataFrame(orders, schema).write.parquet(str(tmp_path / "orders.parquet"))
+
+    old = set(shared.iterdir())
+    assert oq.roundtrip_citations_xml(spark, str(tmp_path)).count() == 600
+    made = set(shared.iterdir()) - old
+    xml = [x for x in made if list(x.glob("part-*.xml.gz"))]
+    assert len(xml) == 1 and _size(xml[0]) < 600 * 200  # 1,500 bytes a record as plain text
+    assert {x.name.rsplit("-", 1)[0] for x in made - set(xml)} == {"read"}
