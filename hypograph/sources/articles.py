@@ -16,6 +16,7 @@ from ..functions.dates import parse_date
 from ..functions.text import base_name, clean_ascii, split_sentences
 from ..operators.pairs import pair_id
 from ..operators.sentences import prepared_paragraphs
+from ..operators.sizing import shuffles_freed, written
 from ..schemas import DIGEST
 
 ARTICLE_GLOB = "*.fxml"
@@ -163,7 +164,8 @@ def digests(articles: DataFrame, found: DataFrame, tagged: DataFrame, triples: D
 
     ``tagged`` are pairs with ``fact`` and ``refs``. Sentences are nested inside the article's own row.
     """
-    # The parts have the same key, so they meet without moving again; the text moves once, to the last join.
+    # The parts have the same key, so they meet without moving again. They are stored, so that what was shuffled for them is gone
+    # when the text moves, once, to the last join; what is made of the text, twice its size, is made there.
     mention_part = found.groupBy("article_id").agg(*[_mention_list(c) for c in ("A", "B", "C")])
     pair_part = tagged.groupBy("article_id").agg(
         *[_pair_list(code, name) for code, name in ((1, "AB"), (2, "BC"), (3, "AC"), (4, "BB"))]
@@ -171,39 +173,43 @@ def digests(articles: DataFrame, found: DataFrame, tagged: DataFrame, triples: D
     triple_part = triples.groupBy("article_id").agg(
         F.collect_list(F.struct(F.col("a").alias("A"), F.col("b").alias("B"), F.col("c").alias("C"))).alias("ABC")
     )
-    head = articles.select(
-        "article_id",
-        F.col("file_name").alias("fileName"),
-        F.date_format("pub_date", "d-M-yyyy").alias("date"),
-        F.col("article_id").cast("string").alias("id"),
-        F.lit("hypograph").alias("generator"),
-        F.array_join(F.transform("paragraphs", clean_ascii), "\n").alias("raw"),
-        F.transform(
-            prepared_paragraphs(F.col("paragraphs")), lambda p: F.struct(split_sentences(p).alias("sentences"))
-        ).alias("paragraphs"),
-    )
     lists_of = mention_part.join(pair_part, "article_id", "full").join(triple_part, "article_id", "full")
-    out = head.join(lists_of, "article_id", "left")
+    lists_of = written(lists_of, "lists")
+    out = articles.select("article_id", "file_name", "pub_date", F.col("paragraphs").alias("_paragraphs")).join(lists_of, "article_id", "left")
+    out = out.withColumn(
+        "paragraphs",
+        F.transform(prepared_paragraphs(F.col("_paragraphs")), lambda p: F.struct(split_sentences(p).alias("sentences"))),
+    )
     lists = ["paragraphs", "A", "B", "C", "AB", "BC", "AC", "BB", "ABC"]
     types = {f.name: f.dataType for f in DIGEST.fields}
     return out.select(
-        "fileName",
-        "date",
-        "id",
-        "generator",
-        "raw",
+        F.col("file_name").alias("fileName"),
+        F.date_format("pub_date", "d-M-yyyy").alias("date"),
+        F.col("article_id").cast("string").alias("id"),
+        F.lit("hypograph").alias("generator"),
+        F.array_join(F.transform("_paragraphs", clean_ascii), "\n").alias("raw"),
         *[F.coalesce(F.col(c), F.array().cast(types[c])).cast(types[c]).alias(c) for c in lists],
     )
 
 
-def write_digests(rows: DataFrame, path: str, by_name: bool = False) -> None:
-    """JSON digests; ``by_name`` spreads them over folders by the first two letters of the file name."""
-    if by_name:
-        rows.withColumn("c1", F.substring("fileName", 1, 1)).withColumn(
-            "c2", F.substring("fileName", 2, 1)
-        ).write.mode("overwrite").partitionBy("c1", "c2").json(path)
-    else:
-        rows.write.mode("overwrite").json(path)
+#: Digests of a compressed file, which is read by one task.
+DIGEST_RECORDS = 5_000
+
+
+def write_digests(rows: DataFrame, path: str, by_name: bool = False, compression: str | None = None) -> None:
+    """JSON digests; ``by_name`` spreads them over folders by the first two letters of the file name.
+
+    With ``compression`` (as of Spark's JSON writer) files have at most ``DIGEST_RECORDS`` each, whatever the number of
+    tasks that write. A digest has its text twice and a name beside every number, so its files get far smaller.
+    """
+    options = {} if compression is None else {"compression": compression, "maxRecordsPerFile": DIGEST_RECORDS}
+    with shuffles_freed(rows.sparkSession):
+        if by_name:
+            rows.withColumn("c1", F.substring("fileName", 1, 1)).withColumn(
+                "c2", F.substring("fileName", 2, 1)
+            ).write.mode("overwrite").options(**options).partitionBy("c1", "c2").json(path)
+        else:
+            rows.write.mode("overwrite").options(**options).json(path)
 
 
 def _digest_lines(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:

@@ -369,6 +369,9 @@ def test_written_records_and_digests_take_little_disk(spark, tmp_path):
     orders = [(i, i % 90, "O", "1-URGENT", datetime.datetime(1995, 1 + i % 12, 3)) for i in range(600)]
     schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate timestamp"
     spark.createDataFrame(orders, schema).write.parquet(str(tmp_path / "orders.parquet"))
+    text = "Aspirin binds kinase one. The protein inhibits tumour growth in tissue.\nSecond paragraph follows. "
+    spark.createDataFrame([(i, text * 5 + str(i)) for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "aspirin kinase protein tumour growth tissue")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
     old = set(shared.iterdir())
     assert oq.roundtrip_citations_xml(spark, str(tmp_path)).count() == 600
@@ -376,3 +379,11 @@ def test_written_records_and_digests_take_little_disk(spark, tmp_path):
     xml = [x for x in made if list(x.glob("part-*.xml.gz"))]
     assert len(xml) == 1 and _size(xml[0]) < 600 * 200  # 1,500 bytes a record as plain text
     assert {x.name.rsplit("-", 1)[0] for x in made - set(xml)} == {"read"}
+
+    old = set(shared.iterdir())
+    out = {(x["kind"], x["article_id"]): (x["n"], x["last_pos"]) for x in oq.roundtrip_json(spark, str(tmp_path)).collect()}
+    assert out["text", "7"] == (sum(1 for p in (text * 5 + "7").split("\n") for s in p.split(". ") if s), len(text * 5 + "7"))
+    made = {x.name.rsplit("-", 1)[0]: x for x in set(shared.iterdir()) - old}
+    assert set(made) == {"lists", "digests", "read-back"}
+    assert list(made["digests"].rglob("part-*")) and all(x.name.endswith(".json.gz") for x in made["digests"].rglob("part-*"))
+    assert not {"raw", "paragraphs"} & set(spark.read.parquet(str(made["read-back"])).columns)
