@@ -306,3 +306,14 @@ def test_a_stored_table_leaves_no_shuffle_files_and_can_be_dropped(spark):
     assert folder.is_dir() and again.count() == 97
     sizing.dropped(table, spark.range(3))
     assert not folder.exists() and again.agg(F.sum("n")).first()[0] == 10_000
+
+
+def test_phrase_scores_keep_no_counts(spark):
+    """Of all that is stored on the way only the phrases are left."""
+    from hypograph.operators.mentions import phrase_scores
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    old = set(shared.iterdir())
+    toks = spark.createDataFrame([(["a", "b", f"x{i}"],) for i in range(80)] + [([f"y{i}"],) for i in range(900)], "tokens array<string>")
+    assert [tuple(x)[:3] for x in phrase_scores(toks).collect()] == [("a", "b", 80)]
+    assert {x.name.rsplit("-", 1)[0] for x in set(shared.iterdir()) - old} == {"phrases"}
